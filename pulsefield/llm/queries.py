@@ -3,10 +3,39 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
+from pulsefield.llm import line_dedup, secret_scan
 from pulsefield.llm.common import read_table
 
 
+def op1_line_dedup(spark, sf_dir):
+    from pulsefield.llm.line_dedup import drop_boilerplate
+
+    return drop_boilerplate(read_table(spark, sf_dir, "documents"))
+
+
+def op3_secret_scan(spark, sf_dir):
+    from pulsefield.llm.secret_scan import scan
+
+    return scan(read_table(spark, sf_dir, "documents"))
+
+
+def op4_decontamination(spark, sf_dir):
+    from pulsefield.llm.decontamination import decontaminate
+
+    out = decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return out.drop("spans", "items", "near")
+
+
+def op6_language_id(spark, sf_dir):
+    from pulsefield.llm.language_id import crc_part, fit, identify
+
+    docs = read_table(spark, sf_dir, "documents")
+    held = docs.withColumn("held_out", F.coalesce(crc_part("doc_id", 4) == 2, F.lit(False)))
+    return identify(held, fit(docs), keep=("doc_id", "held_out"))
+
+
 def op7_bpe_codec(spark, sf_dir):
     from pulsefield.llm.bpe_codec import round_trip
 
@@ -25,5 +54,5 @@ def op10_token_counts(spark, sf_dir):
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op7_bpe_codec, op8_mpeg_audio, op10_token_counts)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_secret_scan, op4_decontamination, op6_language_id, op7_bpe_codec, op8_mpeg_audio, op10_token_counts)}
+ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op3_secret_scan": secret_scan.sql()}
