@@ -38,15 +38,15 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def slices(batch: pa.RecordBatch, text: int, most: int = STEP_BYTES):
-    """Consecutive slices of a record batch whose text column holds about `most` bytes."""
+def slices(batch: pa.RecordBatch, text: int, most: int = STEP_BYTES, rows: int = 8192):
+    """Consecutive slices of a record batch of at most `rows` rows whose text column holds about `most` bytes."""
     if not batch.num_rows:
         return
     ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
         before = ends[at - 1] if at else 0
-        to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+        to = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + most, "right"))))
         yield batch.slice(at, to - at)
         at = to
 

@@ -15,6 +15,12 @@ def op1_line_dedup(spark, sf_dir):
     return drop_boilerplate(read_table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_join(spark, sf_dir):
+    from pulsefield.llm.ngram_join import link_components
+
+    return link_components(read_table(spark, sf_dir, "documents"))
+
+
 def op3_secret_scan(spark, sf_dir):
     from pulsefield.llm.secret_scan import scan
 
@@ -54,5 +60,5 @@ def op10_token_counts(spark, sf_dir):
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op3_secret_scan, op4_decontamination, op6_language_id, op7_bpe_codec, op8_mpeg_audio, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ngram_join, op3_secret_scan, op4_decontamination, op6_language_id, op7_bpe_codec, op8_mpeg_audio, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op3_secret_scan": secret_scan.sql()}
