@@ -78,12 +78,12 @@ def sketch(df: DataFrame, n: int, text: str) -> np.ndarray:
             k = CELLS // ROW
             yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array([TaskContext.get().partitionId()] * k, pa.int64()), pa.array([total[i * ROW : (i + 1) * ROW].astype("<u4").tobytes() for i in range(k)], pa.binary())], names=["row", "part", "cells"])
 
-    def add(key, group: pa.Table):
+    def add(group: pa.Table) -> pa.Table:
         total = np.zeros(ROW, np.uint64)
         for c in group.column("cells"):
             total += np.frombuffer(c.as_buffer(), "<u4")
         capped = np.minimum(total, (1 << 32) - 1).astype("<u4").tobytes()
-        return pa.table({"row": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int64()), "cells": pa.array([capped], pa.binary())})
+        return pa.table({"row": group.column("row")[:1], "part": group.column("part")[:1], "cells": pa.array([capped], pa.binary())})
 
     out = src.mapInArrow(count, schema)
     parts = src.rdd.getNumPartitions()
