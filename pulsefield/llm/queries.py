@@ -34,6 +34,12 @@ def op4_decontamination(spark, sf_dir):
     return out.drop("spans", "items", "near")
 
 
+def op5_suffix_dedup(spark, sf_dir):
+    from pulsefield.llm.suffix_dedup import drop_repeats
+
+    return drop_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark, sf_dir):
     from pulsefield.llm.language_id import crc_part, fit, identify
 
@@ -60,5 +66,5 @@ def op10_token_counts(spark, sf_dir):
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ngram_join, op3_secret_scan, op4_decontamination, op6_language_id, op7_bpe_codec, op8_mpeg_audio, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ngram_join, op3_secret_scan, op4_decontamination, op5_suffix_dedup, op6_language_id, op7_bpe_codec, op8_mpeg_audio, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op3_secret_scan": secret_scan.sql()}
