@@ -60,11 +60,18 @@ def op8_mpeg_audio(spark, sf_dir):
     return audio_columns(read_table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark, sf_dir):
+    from pulsefield.llm.language_id import crc_part
+    from pulsefield.llm.lm_scoring import score
+
+    return score(read_table(spark, sf_dir, "documents"), crc_part("doc_id", 10) == 0)
+
+
 def op10_token_counts(spark, sf_dir):
     from pulsefield.llm.token_counts import count_tokens
 
     return count_tokens(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ngram_join, op3_secret_scan, op4_decontamination, op5_suffix_dedup, op6_language_id, op7_bpe_codec, op8_mpeg_audio, op10_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_ngram_join, op3_secret_scan, op4_decontamination, op5_suffix_dedup, op6_language_id, op7_bpe_codec, op8_mpeg_audio, op9_lm_scoring, op10_token_counts)}
 ORACLE_SQL: dict[str, str] = {"op1_line_dedup": line_dedup.SQL, "op3_secret_scan": secret_scan.sql()}
