@@ -1,9 +1,11 @@
 """Exact Jaccard self-join of word n-gram sets, as components of the link graph.
 
-Texts with equal sets are one node. Shingles are ordered rare first by a frequency sketch over the whole corpus (a
-fixed number of cells; any one order gives the same links, a good one gives short posting lists). Nodes meet where
+Texts with equal sets are one node. Shingles are ordered rare first by sketches of word and shingle frequencies over the
+whole corpus: a shingle's count is at most its own cell's and those of its words (a fixed number of cells; any one
+order gives the same links, a good one gives short posting lists). Nodes meet where
 their prefixes share a shingle; length, positional and suffix filters come before the one verification of a pair. The
-suffix filter bounds the Hamming distance of two sets from below by the parities of their hash partitions.
+suffix filter bounds the Hamming distance of two sets from below by the parities of their hash partitions: first of 256
+partitions inside the join, then of two to four partitions a shingle, so that texts travel for few pairs in vain.
 
 A list of g copies is not g*g pairs: first, twice, each node is verified against a few neighbours in random orders of
 its lists and components are drawn; then every pair that shares a prefix shingle, passes the filters and still lies in
@@ -21,17 +23,18 @@ from pyspark.sql import types as T
 from pulsefield.llm.common import BROADCAST_BYTES, LOWER, SPACES, checkpoint, mix, pack, prefix_hash, slices, span_hash, words
 from pulsefield.llm.components import connected_components
 
-#: Cells of the frequency sketch, and cells in one of its rows.
-CELLS, ROW = 1 << 21, 1 << 16
+#: Cells of the word and shingle sketches, and cells in one of their rows.
+WORD_CELLS, CELLS, ROW = 1 << 22, 1 << 21, 1 << 16
 #: Sketches that one task adds up.
 FAN_IN = 64
 #: Neighbours a node is verified against in a sparse round.
-NEIGHBOURS = 4
+NEIGHBOURS = 3
 FACTS = ("node", "pos", "comp", "n", "s0", "s1", "s2", "s3")
 
 
-def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all word n-grams (of the whole sequence if it is shorter) and n+1 offsets."""
+def grams(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of all word n-grams (of the whole sequence if it is shorter), n+1 offsets, the words' hashes, and for each
+    n-gram its first word's place and its text's end."""
     data, boff = pack(texts)
     starts, ends, off = words(data, boff, SPACES)
     w = span_hash(prefix_hash(LOWER[data]), starts, ends)
@@ -44,7 +47,25 @@ def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
     for k in range(n):
         inside = at + k < last
         h += np.where(inside, mix(w[np.minimum(at + k, max(0, len(w) - 1))] + np.uint64(2 * k + 1)) if len(w) else 0, np.uint64(0)) * np.uint64(2 * k + 3)
-    return mix(h), to
+    return mix(h), to, w, at, last
+
+
+def shingles(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    return grams(texts, n)[:2]
+
+
+def cells(h: np.ndarray, n: int) -> np.ndarray:
+    return (h & np.uint64(n - 1)).astype(np.int64)
+
+
+def rarity(counts: np.ndarray, h: np.ndarray, w: np.ndarray, at: np.ndarray, last: np.ndarray, n: int) -> np.ndarray:
+    """The least of the sketched counts of each n-gram and its words."""
+    out = counts[WORD_CELLS + cells(h, CELLS)]
+    of_word = counts[cells(w, WORD_CELLS)]
+    for k in range(n):
+        inside = np.flatnonzero(at + k < last)
+        out[inside] = np.minimum(out[inside], of_word[at[inside] + k])
+    return out
 
 
 def in_order(h: np.ndarray, off: np.ndarray, code: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,20 +83,20 @@ def in_order(h: np.ndarray, off: np.ndarray, code: np.ndarray | None = None) ->
 
 
 def sketch(df: DataFrame, n: int, text: str) -> np.ndarray:
-    """Occurrences of shingles by hash cell over the whole corpus; sums go up a tree of tasks."""
+    """Occurrences of words and then of shingles by hash cell over the whole corpus; sums go up a tree of tasks."""
     src = df.select(F.col(text).cast("string").alias("t"))
     schema = "row int, part bigint, cells binary"
 
     def count(batches):
-        total = np.zeros(CELLS, np.uint32)
+        total = np.zeros(WORD_CELLS + CELLS, np.uint32)
         for batch in batches:
             for s in slices(batch, 0):
-                h, _ = shingles(s.column(0), n)
-                np.add.at(total, (h & np.uint64(CELLS - 1)).astype(np.int64), np.uint32(1))
+                h, _, w, _, _ = grams(s.column(0), n)
+                np.add.at(total, np.concatenate([cells(w, WORD_CELLS), WORD_CELLS + cells(h, CELLS)]), np.uint32(1))
         if total.any():
             from pyspark import TaskContext
 
-            k = CELLS // ROW
+            k = len(total) // ROW
             yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array([TaskContext.get().partitionId()] * k, pa.int64()), pa.array([total[i * ROW : (i + 1) * ROW].astype("<u4").tobytes() for i in range(k)], pa.binary())], names=["row", "part", "cells"])
 
     def add(group: pa.Table) -> pa.Table:
@@ -90,40 +111,67 @@ def sketch(df: DataFrame, n: int, text: str) -> np.ndarray:
     while parts > 1:
         parts = -(-parts // FAN_IN)
         out = out.withColumn("part", F.expr(f"part div {FAN_IN}")).groupBy("row", "part").applyInArrow(add, schema)
-    total = np.zeros(CELLS, np.uint32)
+    total = np.zeros(WORD_CELLS + CELLS, np.uint32)
     for r in out.collect():
         total[r.row * ROW : (r.row + 1) * ROW] += np.frombuffer(r.cells, "<u4")
     return total
 
 
 def node_rows(df: DataFrame, n: int, num: int, den: int, text: str, doc: str) -> DataFrame:
-    """doc, n, th and node of every row, with the set's parities s0..s3 and its prefix, rarest first."""
+    """doc, n, th and node of every row, with the set's parities s0..s3 (of 256 hash partitions) and sig (of 2n to 4n, a
+    power of two), and its prefix, rarest first."""
     sent = df.sparkSession.sparkContext.broadcast(sketch(df, n, text))
     src = df.select(F.col(doc).alias("doc"), F.xxhash64(text).alias("th"), F.col(text).cast("string").alias("t"))
     longs = T.ArrayType(T.LongType(), False)
-    schema = T.StructType([src.schema["doc"], src.schema["th"], T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), *(T.StructField(f"s{k}", T.LongType()) for k in range(4)), T.StructField("prefix", longs)])
+    schema = T.StructType([src.schema["doc"], src.schema["th"], T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), *(T.StructField(f"s{k}", T.LongType()) for k in range(4)), T.StructField("sig", T.BinaryType()), T.StructField("prefix", longs)])
 
     def run(batches):
         codes = (256 * np.log2(1.0 + sent.value)).astype(np.uint16)
         for batch in batches:
             for s in slices(batch, 2):
-                h, off = shingles(s.column(2), n)
-                o, d, at = in_order(h, off, codes[(h & np.uint64(CELLS - 1)).astype(np.int64)])
+                h, off, w, first, last = grams(s.column(2), n)
+                o, d, at = in_order(h, off, rarity(codes, h, w, first, last, n))
                 x, size = h[o], np.diff(at)
                 print_ = np.zeros(len(x) + 1, np.uint64)
                 np.cumsum(mix(x ^ np.uint64(0x5851F42D4C957F2D)), out=print_[1:])
                 node = mix(print_[at[1:]] - print_[at[:-1]] + size.astype(np.uint64))
                 odd = np.bincount(d.astype(np.int64) * 256 + (x >> np.uint64(56)).astype(np.int64), minlength=256 * len(size)) & 1
                 sig = np.packbits(odd.astype(np.uint8).reshape(-1, 256), axis=1).view(np.int64).reshape(-1, 4)
+                width = 1 << np.ceil(np.log2(np.maximum(64, 2 * size))).astype(np.int64)
+                base = np.concatenate([[0], np.cumsum(width)])
+                cell = (mix(x ^ np.uint64(0x2545F4914F6CDD1D)) & (width[d] - 1).astype(np.uint64)).astype(np.int64)
+                fine = np.packbits((np.bincount(base[d] + cell, minlength=base[-1]) & 1).astype(np.uint8))
+                fine = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((base // 8).astype(np.int32)), pa.py_buffer(fine)])
                 take = np.where(size > 0, size - -(-num * size // den) + 1, 0)
                 to = np.concatenate([[0], np.cumsum(take)])
                 pick = np.repeat(at[:-1] - to[:-1], take) + np.arange(to[-1])
                 prefix = pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(x[pick].view(np.int64)), type=pa.list_(pa.field("element", pa.int64(), False)))
-                yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), pa.array(size, pa.int64()), pa.array(node.view(np.int64)), *(pa.array(sig[:, k].copy()) for k in range(4)), prefix], names=schema.names)
+                yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), pa.array(size, pa.int64()), pa.array(node.view(np.int64)), *(pa.array(sig[:, k].copy()) for k in range(4)), fine, prefix], names=schema.names)
 
     return src.mapInArrow(run, schema)
 
 
+def far_apart(pairs: DataFrame, attrs: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs a, b that the parities of many hash partitions don't show to be too far apart."""
+    left, right = (attrs.select(F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("sig").alias(f"s{k}")) for k in "ab")
+    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "na", "nb", "sa", "sb")
+
+    def run(batches):
+        for batch in batches:
+            ok = []
+            for m, n, x, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
+                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+                while len(x) > len(y):  # parities of half as many partitions
+                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+                while len(y) > len(x):
+                    y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+                least = -(-num * (m + n) // (num + den))
+                ok.append(int(np.bitwise_count(x ^ y).sum()) <= m + n - 2 * least)
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    return both.mapInArrow(run, pairs.select("a", "b").schema)
+
+
 def verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
     """The pairs a, b whose texts' sets reach the similarity; texts: node, t."""
     left, right = (texts.select(F.col("node").alias(k), F.col("t").alias(f"t{k}")) for k in "ab")
@@ -159,11 +207,11 @@ def link_components(df: DataFrame, n: int = 3, num: int = 90, den: int = 100, te
     rows = checkpoint(node_rows(df, n, num, den, text, doc))
     some = rows.where("n > 0")
     reps = checkpoint(some.groupBy("node").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    nodes = some.join(reps.withColumnRenamed("node", "id"), (F.col("node") == F.col("id")) & F.col("doc").eqNullSafe(F.col("rep"))).select("node", "doc", "th", "n", "s0", "s1", "s2", "s3", "prefix")
-    lists = nodes.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "h"))
+    nodes = some.join(reps.withColumnRenamed("node", "id"), (F.col("node") == F.col("id")) & F.col("doc").eqNullSafe(F.col("rep"))).select("node", "doc", "th", "n", "s0", "s1", "s2", "s3", "sig", "prefix")
+    lists = nodes.select("node", F.posexplode("prefix").alias("pos", "h"))
     alone = Window.partitionBy("h")
     lists = checkpoint(lists.withColumn("df", F.count(F.lit(1)).over(alone)).where("df > 1").select("h", "node", "pos"))
-    attrs = checkpoint(nodes.select("node", "doc", "th", "n", "s0", "s1", "s2", "s3").join(lists.select("node").distinct(), "node"))
+    attrs = checkpoint(nodes.select("node", "doc", "th", "n", "s0", "s1", "s2", "s3", "sig").join(lists.select("node").distinct(), "node"))
     need = "({num} * (an + bn) + {both} - 1) div {both}".format(num=num, both=num + den)
     fits = " and ".join(
         [
@@ -183,12 +231,15 @@ def link_components(df: DataFrame, n: int = 3, num: int = 90, den: int = 100, te
         texts = src.join(hint(want), (F.col("h") == F.col("th")) & F.col("d").eqNullSafe(F.col("doc"))).select("node", "t")
         return checkpoint(verified(pairs, texts, n, num, den))
 
+    def plausible(pairs: DataFrame) -> DataFrame:
+        return far_apart(pairs.select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b")).distinct(), attrs, num, den)
+
     def side(t: DataFrame, name: str) -> DataFrame:
         return t.select("h", *[F.col(c).alias(name + c) for c in FACTS])
 
     def open_lists(comp: DataFrame | None) -> DataFrame:
         """Postings with their node's facts, of lists that touch more than one component."""
-        facts = attrs.drop("doc", "th").distinct()
+        facts = attrs.drop("doc", "th", "sig").distinct()
         facts = facts.withColumn("comp", F.col("node")) if comp is None else facts.join(comp, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
         full = lists.join(facts, "node")
         if comp is None:
@@ -205,9 +256,8 @@ def link_components(df: DataFrame, n: int = 3, num: int = 90, den: int = 100, te
             near.append(F.lag(row, lag).over(Window.partitionBy("h").orderBy(*keys)))
         met = full.withColumn("near", F.array_compact(F.array(*near))).select(*[F.col(c).alias("a" + c) for c in FACTS], F.explode("near").alias("o"))
         met = met.select("*", *[F.col(f"o.{c}").alias("b" + c) for c in FACTS]).where("acomp <> bcomp").where(fits)
-        pairs = met.select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b")).distinct()
         few = Window.partitionBy("a").orderBy(F.xxhash64("a", "b", F.lit(turn)))
-        pairs = pairs.withColumn("nth", F.row_number().over(few)).where(F.col("nth") <= NEIGHBOURS).drop("nth")
+        pairs = plausible(met).withColumn("nth", F.row_number().over(few)).where(F.col("nth") <= NEIGHBOURS).drop("nth")
         found = check(pairs)
         links = found if links is None else links.union(found)
         comp = checkpoint(connected_components(links))
@@ -215,8 +265,7 @@ def link_components(df: DataFrame, n: int = 3, num: int = 90, den: int = 100, te
     sizes = full.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("many")).groupBy("h").agg(F.max(F.struct("many", "comp")).alias("top")).select("h", F.col("top.comp").alias("top"))
     minor = side(full.join(sizes, "h").where("comp <> top"), "a")
     left = minor.join(side(full, "b"), "h").where("acomp <> bcomp").where(fits)
-    pairs = left.select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b")).distinct()
-    found = check(pairs)
+    found = check(plausible(left))
     comp = checkpoint(connected_components(links.union(found)))
     of = reps.join(comp, "node", "left").select("node", "rep", "copies", F.coalesce("root", "node").alias("root"))
     lowest = of.groupBy("root").agg(F.min("rep").alias("component_id"))
