@@ -1,4 +1,450 @@
 """Registered queries over the driver's tables, each with the DuckDB SQL that gives the same rows."""
 
+from __future__ import annotations
+
+from dataclasses import replace
+from itertools import product
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pulsefield.config import CompressionMethod, EvalConfig, Frame, KernelLowRankOptions, RBFScheme, RSVDOptions, Scaling, Support, SymmetricCombine
+from pulsefield.functions import lowrank
+from pulsefield.functions.rbf import phi_column
+from pulsefield.functions.spd import clamp_column, with_parts
+from pulsefield.operators import blocks as B
+from pulsefield.operators.kernel import KernelEvaluator
+from pulsefield.operators.mesh import interpolate, locate, unit_grid
+from pulsefield.operators.neighbors import nearest_sample_distance, nearest_samples
+from pulsefield.operators.partition import block_target_sets, recursive_bisection_partition
+from pulsefield.operators.predictions import predictions, predictions_over_targets, support_ellipsoids
+from pulsefield.plans import sql
+from pulsefield.sources import tables as S
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: The configuration of most queries: three neighbours, so that kernel entries have a closed form.
+BASE = EvalConfig(Frame.MEAN_TRANSLATION, Scaling.VOLUME, Support.ELLIPSOID, 2.0, 3)
+OPEN = replace(BASE, support=Support.NONE)
+CROSS = replace(BASE, symmetric_combine=SymmetricCombine.CRISSCROSS)
+RBF = RBFScheme()
+PART = 64
+DIGITS = 6
+
+
+def query(name: str, oracle: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLE_SQL[name] = oracle
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, *names: str) -> DataFrame:
+    return df.withColumns({n: F.round(n, DIGITS) + F.lit(0.0) for n in names})
+
+
+def r(x: str) -> str:
+    return f"round({x}, {DIGITS}) + 0.0"
+
+
+# Meshes, location, interpolation
+
+
+@query("mesh_vertices", f"SELECT CAST(range AS INTEGER) AS vertex_id, (range % 17) / 16.0::DOUBLE AS px, (range // 17) / 16.0::DOUBLE AS py FROM range({17 * 17})")
+def mesh_vertices(spark, sf_dir):
+    return unit_grid(spark, S.GRID).vertices.select("vertex_id", F.col("p")[0].alias("px"), F.col("p")[1].alias("py"))
+
+
+@query("mesh_cells", "SELECT CAST(range AS INTEGER) AS cell_id, CAST(a AS INTEGER) AS v0, CAST(CASE WHEN range % 2 = 0 THEN a + 1 ELSE a + 18 END AS INTEGER) AS v1, CAST(CASE WHEN range % 2 = 0 THEN a + 18 ELSE a + 17 END AS INTEGER) AS v2 FROM (SELECT range, (range // 2 // 16) * 17 + (range // 2) % 16 AS a FROM range(512))")
+def mesh_cells(spark, sf_dir):
+    return unit_grid(spark, S.GRID).cells.select("cell_id", *[F.col("vertex_ids")[k].alias(f"v{k}") for k in range(3)])
+
+
+@query("locate_cells", f"WITH tgt AS ({sql.CUSTOMERS}) SELECT id AS target_id, CAST(cell AS INTEGER) AS cell_id, {r('l0')} AS l0, {r('l1')} AS l1, {r('l2')} AS l2 FROM {sql.located('tgt', 'x0', 'x1')}")
+def locate_cells(spark, sf_dir):
+    at = locate(S.targets(spark, sf_dir), unit_grid(spark, S.GRID), "y", ["target_id"])
+    return rounded(at.select("target_id", "cell_id", *[F.col("alpha")[k].alias(f"l{k}") for k in range(3)]), "l0", "l1", "l2")
+
+
+@query("locate_cells_by_buckets", ORACLE_SQL["locate_cells"])
+def locate_cells_by_buckets(spark, sf_dir):
+    """The same through the join that any mesh takes. (Points on an edge go to the lower cell, as in the closed form.)"""
+    at = locate(S.targets(spark, sf_dir), replace(unit_grid(spark, S.GRID), grid=None), "y", ["target_id"])
+    return rounded(at.select("target_id", "cell_id", *[F.col("alpha")[k].alias(f"l{k}") for k in range(3)]), "l0", "l1", "l2")
+
+
+@query("cg1_interpolate", f"WITH {sql.FIELD}, tgt AS ({sql.CUSTOMERS}), one AS (SELECT * FROM psi WHERE batch_id = 0) SELECT id AS target_id, {r('l0 * a.psi + l1 * b.psi + l2 * c.psi')} AS value FROM {sql.located('tgt', 'x0', 'x1')} JOIN one a ON va = a.vertex_id JOIN one b ON vb = b.vertex_id JOIN one c ON vc = c.vertex_id")
+def cg1_interpolate(spark, sf_dir):
+    f = S.field(spark, sf_dir)
+    psi = f.batches.where("batch_id = 0").select("vertex_id", F.col("psi").alias("value"))
+    return rounded(interpolate(S.targets(spark, sf_dir), f.target, psi, "y", ["target_id"], ["value"]).select("target_id", "value"), "value")
+
+
+# Neighbours
+
+NEAR = f"WITH {sql.FIELD}, src AS ({sql.SUPPLIERS}), d AS (SELECT id, sample_id, (src.x0 - smp.x0) * (src.x0 - smp.x0) + (src.x1 - smp.x1) * (src.x1 - smp.x1) AS d2 FROM src, smp)"
+
+
+@query("knn_samples", f"{NEAR} SELECT id AS source_id, CAST(row_number() OVER w AS INTEGER) AS rnk, sample_id, {r('d2')} AS d2 FROM d WINDOW w AS (PARTITION BY id ORDER BY d2, sample_id) QUALIFY row_number() OVER w <= 5")
+def knn_samples(spark, sf_dir):
+    return rounded(nearest_samples(S.sources(spark, sf_dir), S.samples(spark, sf_dir), 5, 2), "d2")
+
+
+@query("knn_samples_by_buckets", ORACLE_SQL["knn_samples"])
+def knn_samples_by_buckets(spark, sf_dir):
+    """The same rows the way samples too many to broadcast are searched."""
+    return rounded(nearest_samples(S.sources(spark, sf_dir), S.samples(spark, sf_dir), 5, 2, broadcast_rows=0), "d2")
+
+
+@query("nearest_sample_distance", f"{NEAR} SELECT id AS source_id, {r('min(sqrt(d2))')} AS dist FROM d GROUP BY id")
+def nearest_distance(spark, sf_dir):
+    return rounded(nearest_sample_distance(S.sources(spark, sf_dir), S.samples(spark, sf_dir), 2), "dist")
+
+
+# Moments
+
+
+@query("sigma_derived", f"WITH {sql.FIELD} SELECT sample_id, {', '.join(f'{r(c)} AS {c}' for c in ('i00', 'i01', 'i11', 'r00', 'r01', 'r11', 'sdet'))} FROM smp")
+def sigma_derived(spark, sf_dir):
+    s = with_parts(S.samples(spark, sf_dir), "sigma", 2)
+    cols = {f"{n}{i}{j}": F.col(c)[2 * i + j] for n, c in (("i", "sigma_inv"), ("r", "sigma_sqrt")) for i, j in ((0, 0), (0, 1), (1, 1))}
+    return rounded(s.select("sample_id", *[v.alias(k) for k, v in cols.items()], F.col("sigma_det").alias("sdet")), *cols, "sdet")
+
+
+@query("w_field", f"WITH {sql.FIELD} SELECT vertex_id, {r('w00')} AS w00, {r('w01')} AS w01, {r('w11')} AS w11 FROM vrt")
+def w_field(spark, sf_dir):
+    return rounded(S.field(spark, sf_dir).moments.select("vertex_id", F.col("w")[0].alias("w00"), F.col("w")[1].alias("w01"), F.col("w")[3].alias("w11")), "w00", "w01", "w11")
+
+
+CLAMP = """WITH s AS (SELECT s_suppkey AS id, 0.01::DOUBLE * (s_suppkey % 9) - 0.01::DOUBLE AS a, 0.002::DOUBLE * (s_suppkey % 5) AS b, 0.01::DOUBLE * (s_suppkey % 4) AS c FROM supplier),
+e AS (SELECT *, sqrt((a - c) * (a - c) + 4 * b * b) AS gap FROM s), f AS (SELECT *, (a + c - gap) / 2 AS lo, (a + c + gap) / 2 AS hi FROM e),
+g AS (SELECT *, CASE WHEN gap > 0 THEN (greatest(hi, 0.015::DOUBLE) - greatest(lo, 0.015::DOUBLE)) / gap ELSE 0 END AS p FROM f)"""
+
+
+@query("spd_clamp_2x2", f"{CLAMP} SELECT id, lo < 0.015 AS modified, {', '.join(f'{r(f'CASE WHEN lo < 0.015 THEN {e} ELSE {x} END')} AS {x}' for x, e in (('a', 'p * a + greatest(lo, 0.015::DOUBLE) - p * lo'), ('b', 'p * b'), ('c', 'p * c + greatest(lo, 0.015::DOUBLE) - p * lo')))} FROM g")
+def spd_clamp_2x2(spark, sf_dir):
+    k = F.col("s_suppkey")
+    b = 0.002 * (k % 5)
+    s = S.read(spark, sf_dir, "supplier").select(k.alias("id"), F.array(0.01 * (k % 9) - 0.01, b, b, 0.01 * (k % 4)).alias("sigma"))
+    out = clamp_column(s, "sigma", 0.015, 2)
+    return rounded(out.select("id", "modified", F.col("sigma")[0].alias("a"), F.col("sigma")[1].alias("b"), F.col("sigma")[3].alias("c")), "a", "b", "c")
+
+
+# Predictions: every frame, scaling and gate
+
+
+def prediction_query(frame: Frame, scaling: Scaling, support: Support) -> None:
+    c = EvalConfig(frame, scaling, support, 2.0, 3)
+    oracle = f"WITH {sql.predictions(c)} SELECT target_id, source_id, rnk, sample_id, {r('value')} AS value FROM pred WHERE NOT excluded"
+
+    @query(f"pred_{frame.value}_{scaling.value}_{support.value}", oracle)
+    def run(spark, sf_dir):
+        out = predictions(S.field(spark, sf_dir), S.pairs(spark, sf_dir), S.sources(spark, sf_dir), c)
+        return rounded(out.drop("point"), "value")
+
+
+for combination in product(Frame, Scaling, Support):
+    prediction_query(*combination)
+
+SWEEP = EvalConfig(Frame.TRANSLATION, Scaling.NONE, Support.NONE, 2.0, 3)
+
+
+@query("pred_sweep_excluded", f"WITH {sql.predictions(SWEEP, pairs=sql.ALL_PAIRS)} SELECT source_id, rnk, count(*) AS n, count(*) FILTER (WHERE excluded) AS n_excluded, {r('sum(value)')} AS total FROM pred GROUP BY source_id, rnk")
+def pred_sweep_excluded(spark, sf_dir):
+    out = predictions_over_targets(S.field(spark, sf_dir), S.targets(spark, sf_dir), S.sources(spark, sf_dir), SWEEP)
+    got = out.groupBy("source_id", "rnk").agg(F.count(F.lit(1)).alias("n"), F.count_if("excluded").alias("n_excluded"), F.sum("value").alias("total"))
+    return rounded(got, "total")
+
+
+# Radial basis functions
+
+
+def rbf_query(kernel: str) -> None:
+    scheme = RBFScheme(kernel, 2.0, 1, 0.1)
+    c = EvalConfig(Frame.TRANSLATION, Scaling.NONE, Support.NONE, 2.0, 2)
+    oracle = f"WITH {sql.kernel(c, scheme, pairs=sql.ORDERED)} SELECT target_id, source_id, {r('value')} AS value FROM ker"
+
+    @query(f"rbf_k2_{kernel}", oracle)
+    def run(spark, sf_dir):
+        k = KernelEvaluator(S.field(spark, sf_dir), config=c, rbf=scheme)
+        return rounded(k.entries(S.pairs(spark, sf_dir).join(S.sources(spark, sf_dir), "source_id")), "value")
+
+
+for name in ("gaussian", "multiquadric", "inverse_multiquadric", "linear", "thin_plate_spline", "cubic"):
+    rbf_query(name)
+
+for k in (1, 3):
+    conf = EvalConfig(Frame.IDENTITY, Scaling.VOLUME_DET, Support.NONE, 2.0, k)
+
+    @query(f"rbf_k{k}", f"WITH {sql.kernel(conf, RBF, pairs=sql.ORDERED)} SELECT target_id, source_id, {r('value')} AS value FROM ker")
+    def rbf_k(spark, sf_dir, conf=conf):
+        k = KernelEvaluator(S.field(spark, sf_dir), config=conf, rbf=RBF)
+        return rounded(k.entries(S.pairs(spark, sf_dir).join(S.sources(spark, sf_dir), "source_id")), "value")
+
+
+@query("rbf_phi", "SELECT s_suppkey AS id, " + ", ".join(f"{r(sql.phi(n, '(s_suppkey % 40) / 8.0::DOUBLE'))} AS {n}" for n in ("gaussian", "multiquadric", "inverse_multiquadric", "linear", "thin_plate_spline", "cubic")) + " FROM supplier")
+def rbf_phi(spark, sf_dir):
+    u = (F.col("s_suppkey") % 40) / F.lit(8.0)
+    names = ("gaussian", "multiquadric", "inverse_multiquadric", "linear", "thin_plate_spline", "cubic")
+    return rounded(S.read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), *[phi_column(n, u).alias(n) for n in names]), *names)
+
+
+# Kernel blocks
+
+
+def kernel_of(spark, sf_dir, c: EvalConfig) -> KernelEvaluator:
+    f = S.field(spark, sf_dir)
+    return KernelEvaluator(f, f if c is CROSS or c.symmetric_combine is SymmetricCombine.CRISSCROSS else None, c, RBF)
+
+
+KER = f"SELECT target_id, source_id, {r('value')} AS value FROM ker WHERE {r('value')} <> 0"
+
+
+def block_rows(k: KernelEvaluator, spark, sf_dir) -> DataFrame:
+    return rounded(k.block(S.targets(spark, sf_dir), S.sources(spark, sf_dir)), "value").where("value <> 0")
+
+
+@query("kernel_block", f"WITH {sql.kernel(OPEN, RBF)} {KER}")
+def kernel_block(spark, sf_dir):
+    return block_rows(kernel_of(spark, sf_dir, OPEN), spark, sf_dir)
+
+
+@query("kernel_block_gated", f"WITH {sql.kernel(BASE, RBF)} {KER}")
+def kernel_block_gated(spark, sf_dir):
+    return block_rows(kernel_of(spark, sf_dir, BASE), spark, sf_dir)
+
+
+FLIPPED = "SELECT t.id AS target_id, s.id AS source_id FROM tgt t, src s"
+CROSS_SQL = f"""WITH fwd AS (WITH {sql.kernel(CROSS, RBF)} SELECT * FROM ker), bwd AS (WITH {sql.kernel(CROSS, RBF, sql.CUSTOMERS, sql.SUPPLIERS, FLIPPED)} SELECT target_id AS source_id, source_id AS target_id, value FROM ker),
+dist AS (WITH {sql.FIELD} SELECT 's' AS side, p.id, min(sqrt((p.x0 - smp.x0) * (p.x0 - smp.x0) + (p.x1 - smp.x1) * (p.x1 - smp.x1))) AS d FROM ({sql.SUPPLIERS}) p, smp GROUP BY p.id UNION ALL SELECT 't', p.id, min(sqrt((p.x0 - smp.x0) * (p.x0 - smp.x0) + (p.x1 - smp.x1) * (p.x1 - smp.x1))) FROM ({sql.CUSTOMERS}) p, smp GROUP BY p.id),
+ker AS (SELECT coalesce(f.target_id, b.target_id) AS target_id, coalesce(f.source_id, b.source_id) AS source_id, coalesce(f.value, 0) AS fv, coalesce(b.value, 0) AS bv FROM fwd f FULL JOIN bwd b ON f.target_id = b.target_id AND f.source_id = b.source_id)
+SELECT target_id, source_id, {r("v")} AS value FROM (SELECT target_id, source_id, CASE WHEN s.d < t.d THEN fv WHEN t.d < s.d THEN bv ELSE 0.5 * (fv + bv) END AS v FROM ker JOIN dist s ON s.side = 's' AND s.id = source_id JOIN dist t ON t.side = 't' AND t.id = target_id) WHERE {r("v")} <> 0"""
+
+
+@query("kernel_crisscross", CROSS_SQL)
+def kernel_crisscross(spark, sf_dir):
+    return block_rows(kernel_of(spark, sf_dir, CROSS), spark, sf_dir)
+
+
+@query("pooled_block")
+def pooled_block(spark, sf_dir):
+    """Customers and suppliers that an order joins, both sides' predictions pooled; no SQL form."""
+    f = S.field(spark, sf_dir)
+    k = KernelEvaluator(f, f, replace(BASE, symmetric_combine=SymmetricCombine.POOLED), RBF)
+    return rounded(k.entries(S.pairs(spark, sf_dir).join(S.sources(spark, sf_dir), "source_id")), "value")
+
+
+@query("frobenius_norm", f"WITH {sql.kernel(BASE, RBF)} SELECT {r('sqrt(sum(value * value))')} AS norm FROM ker")
+def frobenius_norm(spark, sf_dir):
+    k = kernel_of(spark, sf_dir, BASE).block(S.targets(spark, sf_dir), S.sources(spark, sf_dir))
+    return rounded(k.agg(F.sqrt(F.sum(F.col("value") * F.col("value"))).alias("norm")), "norm")
+
+
+# Supports and partitions
+
+
+@query("support_ellipsoids", f"WITH {sql.predictions(replace(BASE, frame=Frame.TRANSLATION))} SELECT source_id, rnk AS ord, {r('sx0 + m0 - x0')} AS c0, {r('sx1 + m1 - x1')} AS c1, {r('4.0 * s00')} AS s00, {r('4.0 * s01')} AS s01, {r('4.0 * s11')} AS s11 FROM ranked")
+def ellipsoids(spark, sf_dir):
+    e = support_ellipsoids(S.field(spark, sf_dir), S.sources(spark, sf_dir), replace(BASE, frame=Frame.TRANSLATION))
+    cols = {"c0": F.col("c")[0], "c1": F.col("c")[1], "s00": F.col("s")[0], "s01": F.col("s")[1], "s11": F.col("s")[3]}
+    return rounded(e.select("source_id", "ord", *[v.alias(k) for k, v in cols.items()]), *cols)
+
+
+BISECT = f"""RECURSIVE src AS ({sql.SUPPLIERS}), lev AS (
+SELECT id, x0, x1, '' AS path, 0 AS depth, (SELECT count(*) FROM src) AS n FROM src
+UNION ALL
+SELECT id, x0, x1, path || CASE WHEN rn <= n // 2 THEN '0' ELSE '1' END, depth + 1, CASE WHEN rn <= n // 2 THEN n // 2 ELSE n - n // 2 END
+FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY CASE WHEN depth % 2 = 0 THEN x0 ELSE x1 END, id) AS rn FROM lev WHERE n > {PART})),
+leaf AS (SELECT id, path FROM lev WHERE n <= {PART}), part AS (SELECT id AS source_id, CAST(dense_rank() OVER (ORDER BY path) - 1 AS INTEGER) AS part_id FROM leaf)"""
+
+
+def partition(spark, sf_dir) -> DataFrame:
+    return recursive_bisection_partition(S.sources(spark, sf_dir), PART, 2)
+
+
+@query("bisection_partition", f"WITH {BISECT} SELECT part_id, source_id FROM part")
+def bisection_partition(spark, sf_dir):
+    return partition(spark, sf_dir)
+
+
+def reach_sql(c: EvalConfig) -> str:
+    """Common table expressions that end in reach: part_id, target_id."""
+    e = "SELECT {who} AS id, m0_x AS c0, m1_x AS c1, 4.0 * s00 AS s00, 4.0 * s01 AS s01, 4.0 * s11 AS s11 FROM ranked"
+    inside = "(s11 * (p.x0 - c0) * (p.x0 - c0) - 2 * s01 * (p.x0 - c0) * (p.x1 - c1) + s00 * (p.x1 - c1) * (p.x1 - c1)) / (s00 * s11 - s01 * s01) <= 1"
+    out = f"{BISECT}, fe AS (WITH {sql.predictions(c)} {e.format(who='source_id')}), fwd AS (SELECT DISTINCT part_id, p.id AS target_id FROM fe JOIN part ON fe.id = part.source_id JOIN ({sql.CUSTOMERS}) p ON {inside})"
+    if c is not CROSS:
+        return out + ", reach AS (SELECT * FROM fwd)"
+    back = f"be AS (WITH {sql.predictions(c, sql.CUSTOMERS, sql.SUPPLIERS, FLIPPED)} {e.format(who='source_id')}), bwd AS (SELECT DISTINCT part_id, be.id AS target_id FROM be JOIN ({sql.SUPPLIERS}) p ON {inside} JOIN part ON p.id = part.source_id)"
+    return out + f", {back}, reach AS (SELECT * FROM fwd UNION SELECT * FROM bwd)"
+
+
+@query("target_sets_cols", f"WITH {reach_sql(BASE)} SELECT part_id, target_id FROM reach")
+def target_sets_cols(spark, sf_dir):
+    return block_target_sets(kernel_of(spark, sf_dir, BASE), S.targets(spark, sf_dir), S.sources(spark, sf_dir), partition(spark, sf_dir))
+
+
+@query("target_sets_symmetric", f"WITH {reach_sql(CROSS)} SELECT part_id, target_id FROM reach")
+def target_sets_symmetric(spark, sf_dir):
+    return block_target_sets(kernel_of(spark, sf_dir, CROSS), S.targets(spark, sf_dir), S.sources(spark, sf_dir), partition(spark, sf_dir))
+
+
+@query("block_sparsity_stats", f"WITH {reach_sql(BASE)} SELECT part_id, n_sources, n_targets, n_sources * n_targets AS dense_entries FROM (SELECT part_id, count(*) AS n_targets FROM reach GROUP BY part_id) JOIN (SELECT part_id, count(*) AS n_sources FROM part GROUP BY part_id) USING (part_id)")
+def block_sparsity_stats(spark, sf_dir):
+    t = target_sets_cols(spark, sf_dir).groupBy("part_id").agg(F.count(F.lit(1)).alias("n_targets"))
+    s = partition(spark, sf_dir).groupBy("part_id").agg(F.count(F.lit(1)).alias("n_sources"))
+    return s.join(t, "part_id").select("part_id", "n_sources", "n_targets", (F.col("n_sources") * F.col("n_targets")).alias("dense_entries"))
+
+
+# Products
+
+
+def weights(spark, sf_dir) -> DataFrame:
+    return S.read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("source_id")).agg(F.sum("l_quantity").alias("u"))
+
+
+def counts(spark, sf_dir) -> DataFrame:
+    return S.read(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("target_id")).agg(F.count(F.lit(1)).cast("double").alias("u"))
+
+
+def whole(df: DataFrame) -> DataFrame:
+    """Products are sums of large terms of either sign; they are compared to the unit."""
+    return df.withColumn("value", F.round("value", 0) + F.lit(0.0))
+
+
+U = "SELECT l_suppkey AS id, sum(l_quantity) AS u FROM lineitem GROUP BY l_suppkey"
+UT = "SELECT o_custkey AS id, CAST(count(*) AS DOUBLE) AS u FROM orders GROUP BY o_custkey"
+
+
+def product_sql(transpose: bool) -> str:
+    mine, other, axis, u = ("target_id", "source_id", sql.SUPPLIERS, UT) if transpose else ("source_id", "target_id", sql.CUSTOMERS, U)
+    return f"WITH {sql.kernel(BASE, RBF)} SELECT CAST(a.id AS INTEGER) AS {other}, round(coalesce(v, 0.0)) + 0.0 AS value FROM ({axis}) a LEFT JOIN (SELECT {other} AS id, sum(value * u) AS v FROM ker JOIN ({u}) w ON ker.{mine} = w.id GROUP BY {other}) p ON a.id = p.id"
+
+
+def dense_product(spark, sf_dir, transpose: bool) -> DataFrame:
+    mine, other = ("target_id", "source_id") if transpose else ("source_id", "target_id")
+    k = kernel_of(spark, sf_dir, BASE).block(S.targets(spark, sf_dir), S.sources(spark, sf_dir))
+    u = counts(spark, sf_dir) if transpose else weights(spark, sf_dir)
+    axis = (S.sources if transpose else S.targets)(spark, sf_dir).select(other)
+    got = k.join(u, mine).groupBy(other).agg(F.sum(F.col("value") * F.col("u")).alias("value"))
+    return whole(axis.join(got, other, "left").select(F.col(other).cast("int").alias(other), F.coalesce("value", F.lit(0.0)).alias("value")))
+
+
+@query("dense_apply", product_sql(False))
+def dense_apply(spark, sf_dir):
+    return dense_product(spark, sf_dir, False)
+
+
+@query("dense_applyT", product_sql(True))
+def dense_apply_transpose(spark, sf_dir):
+    return dense_product(spark, sf_dir, True)
+
+
+def compressed(spark, sf_dir, rtol: float, options: KernelLowRankOptions | None = None) -> B.BlockLowRank:
+    return B.block_low_rank(kernel_of(spark, sf_dir, BASE), S.targets(spark, sf_dir), S.sources(spark, sf_dir), partition(spark, sf_dir), rtol, options)
+
+
+@query("brlr_apply", product_sql(False))
+def brlr_apply(spark, sf_dir):
+    """The compressed operator at rtol 0 times the suppliers' quantities."""
+    u = weights(spark, sf_dir).select("source_id", F.array("u").alias("u"))
+    return whole(compressed(spark, sf_dir, 0.0).apply(u).select("target_id", F.col("u")[0].alias("value")))
+
+
+@query("brlr_applyT", product_sql(True))
+def brlr_apply_transpose(spark, sf_dir):
+    v = counts(spark, sf_dir).select("target_id", F.array("u").alias("u"))
+    return whole(compressed(spark, sf_dir, 0.0).apply_transpose(v).select("source_id", F.col("u")[0].alias("value")))
+
+
+@query("brlr_to_dense", f"WITH {sql.kernel(BASE, RBF)} SELECT CAST(target_id AS INTEGER) AS target_id, CAST(source_id AS INTEGER) AS source_id, {r('value')} AS value FROM ker WHERE {r('value')} <> 0")
+def brlr_to_dense(spark, sf_dir):
+    return rounded(compressed(spark, sf_dir, 0.0).to_dense(), "value").where("value <> 0")
+
+
+@query("brlr_storage", f"WITH {reach_sql(BASE)} SELECT part_id, n_sources * n_targets AS dense_entries, TRUE AS no_more_than_dense, TRUE AS converged FROM (SELECT part_id, count(*) AS n_targets FROM reach GROUP BY part_id) JOIN (SELECT part_id, count(*) AS n_sources FROM part GROUP BY part_id) USING (part_id)")
+def brlr_storage(spark, sf_dir):
+    b = compressed(spark, sf_dir, 1e-2)
+    dense = (F.size("source_ids").cast("long") * F.size("target_ids")).alias("dense_entries")
+    return b.blocks.select("part_id", dense, (F.size("target_factor") + F.size("source_factor") <= F.size("source_ids") * F.size("target_ids")).alias("no_more_than_dense"), "converged")
+
+
+@query("column_errors", "SELECT s_suppkey AS source_id, TRUE AS within FROM supplier")
+def column_errors(spark, sf_dir):
+    """Whether each column's error, against at least 1 % of the largest column, stays within what rtol 1e-3 allows."""
+    exact = kernel_of(spark, sf_dir, BASE).block(S.targets(spark, sf_dir), S.sources(spark, sf_dir)).withColumnRenamed("value", "a")
+    near = compressed(spark, sf_dir, 1e-3).to_dense().select(F.col("target_id").cast("long"), F.col("source_id").cast("long"), F.col("value").alias("b"))
+    d = exact.join(near, ["target_id", "source_id"], "full").select("source_id", F.coalesce("a", F.lit(0.0)).alias("a"), F.coalesce("b", F.lit(0.0)).alias("b"))
+    per = d.groupBy("source_id").agg(F.sqrt(F.sum((F.col("a") - F.col("b")) * (F.col("a") - F.col("b")))).alias("error"), F.sqrt(F.sum(F.col("a") * F.col("a"))).alias("norm"))
+    top = per.agg(F.max("norm").alias("top"))
+    got = per.crossJoin(F.broadcast(top)).select("source_id", (F.col("error") / F.greatest("norm", F.col("top") * 0.01) <= 1.0).alias("within"))
+    return S.sources(spark, sf_dir).select("source_id").join(got, "source_id", "left").select("source_id", F.coalesce("within", F.lit(True)).alias("within"))
+
+
+# Factorisations, by what holds for any sign or basis
+
+
+def block_errors(b: B.BlockLowRank, kernel: KernelEvaluator, spark, sf_dir) -> DataFrame:
+    """part_id and relative Frobenius error of each block."""
+    part = partition(spark, sf_dir)
+    exact = kernel.block(S.targets(spark, sf_dir), S.sources(spark, sf_dir)).withColumnRenamed("value", "a")
+    near = b.to_dense().select(F.col("target_id").cast("long"), F.col("source_id").cast("long"), F.col("value").alias("b"))
+    d = exact.join(near, ["target_id", "source_id"], "full").join(part, "source_id").select("part_id", F.coalesce("a", F.lit(0.0)).alias("a"), F.coalesce("b", F.lit(0.0)).alias("b"))
+    return d.groupBy("part_id").agg((F.sqrt(F.sum((F.col("a") - F.col("b")) * (F.col("a") - F.col("b")))) / F.sqrt(F.sum(F.col("a") * F.col("a")))).alias("error"))
+
+
+PARTS_OK = f"WITH {BISECT} SELECT DISTINCT part_id, TRUE AS within FROM part"
+
+
+@query("svd_blocks", PARTS_OK)
+def svd_blocks(spark, sf_dir):
+    """Whether truncated SVD keeps each block within rtol 1e-2."""
+    b = compressed(spark, sf_dir, 1e-2, KernelLowRankOptions(method=CompressionMethod.DENSE_SVD))
+    return block_errors(b, kernel_of(spark, sf_dir, BASE), spark, sf_dir).select("part_id", (F.col("error") <= 1e-2 * (1 + 1e-9)).alias("within"))
+
+
+@query("aca_blocks", PARTS_OK)
+def aca_blocks(spark, sf_dir):
+    """Whether cross approximation at rtol 1e-3 stays within 1e-2 on each block."""
+    b = compressed(spark, sf_dir, 1e-3, KernelLowRankOptions(method=CompressionMethod.ACA))
+    return block_errors(b, kernel_of(spark, sf_dir, BASE), spark, sf_dir).select("part_id", (F.col("error") <= 1e-2).alias("within"))
+
+
+@query("kernel_low_rank", "SELECT TRUE AS within, TRUE AS below_full_rank")
+def kernel_low_rank(spark, sf_dir):
+    k = kernel_of(spark, sf_dir, OPEN)
+    rows = B.kernel_low_rank(k, S.targets(spark, sf_dir), S.sources(spark, sf_dir), 1e-2, KernelLowRankOptions(method=CompressionMethod.DENSE_SVD))
+    return rows.select(F.col("converged").alias("within"), (F.col("rank") < F.least(F.size("source_ids"), F.size("target_ids"))).alias("below_full_rank"))
+
+
+@query("randomized_svd", "SELECT CAST(8 AS INTEGER) AS rank, TRUE AS near_best")
+def randomized_svd(spark, sf_dir):
+    """Rank 8 from products alone, against ten times the best error."""
+    b = compressed(spark, sf_dir, 0.0)
+    u, v, rank = B.randomized_svd_blocks(b, 8, RSVDOptions(power_iterations=2))
+    got = u.select(F.col("target_id"), F.col("u").alias("a")).crossJoin(F.broadcast(v.select("source_id", F.col("u").alias("b"))))
+    near = got.select("target_id", "source_id", F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x).alias("b"))
+    exact = b.to_dense().withColumnRenamed("value", "a")
+    d = near.join(exact, ["target_id", "source_id"], "left").select("b", F.coalesce("a", F.lit(0.0)).alias("a"))
+    # The error of a projection is at most the norm; a rank-8 one of a smooth kernel is far below it.
+    return d.agg(F.lit(rank).cast("int").alias("rank"), (F.sum((F.col("a") - F.col("b")) * (F.col("a") - F.col("b"))) <= 0.5 * F.sum(F.col("a") * F.col("a"))).alias("near_best"))
+
+
+@query("recompress", "SELECT label, TRUE AS same_product, TRUE AS rank_falls FROM (SELECT DISTINCT label FROM embeddings)")
+def recompress(spark, sf_dir):
+    """Each label's embeddings as doubled factors of a low-rank product, recompressed."""
+    e = S.read(spark, sf_dir, "embeddings").select("label", "embedding")
+
+    def run(table: pa.Table) -> pa.Table:
+        x = np.array(table.column("embedding").to_pylist(), float)[:, :6]
+        f = lowrank.LowRank(np.hstack([x, x]), np.hstack([x, -0.5 * x]))
+        g = lowrank.recompress(f, 1e-10)
+        close = np.linalg.norm(f.U @ (f.V.T @ g.V) - g.U @ (g.V.T @ g.V)) <= 1e-8 * max(1.0, np.linalg.norm(g.U))
+        return pa.table({"label": table.column("label")[:1], "same_product": [bool(close)], "rank_falls": [g.rank < f.rank]})
+
+    return e.groupBy("label").applyInArrow(run, "label int, same_product boolean, rank_falls boolean")
