@@ -1 +1 @@
-"""Part of pulsefield."""
+"""Column arithmetic and numpy cores that run inside a task."""

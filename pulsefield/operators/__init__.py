@@ -1 +1 @@
-"""Part of pulsefield."""
+"""Relational and grouped operators: meshes, neighbours, fields, predictions, kernels, partitions, blocks."""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulsefield.functions import vectors as V
+from pulsefield.plans.lineage import cut
 
 #: Samples up to this many rows go to every task; more are searched over a grid of buckets.
 BROADCAST_ROWS = 20_000
@@ -49,7 +50,7 @@ def bucket_nearest(queries: DataFrame, samples: DataFrame, k: int, d: int, query
         theirs = samples.select("sample_id", "xs", *[cell("xs", i).alias(f"__b{i}") for i in range(d)])
         met = mine.join(theirs, [f"__b{i}" for i in range(d)]).withColumn("d2", distance2(point, "xs", d))
         w = Window.partitionBy(query_id).orderBy("d2", "sample_id")
-        top = met.withColumn("rnk", F.row_number().over(w)).where(F.col("rnk") <= k)
+        top = cut(met.withColumn("rnk", F.row_number().over(w)).where(F.col("rnk") <= k))
         edge = F.least(*[F.least(F.col(point)[i] - (F.col(f"__q{i}") - 1) * side, (F.col(f"__q{i}") + 2) * side - F.col(point)[i]) for i in range(d)]) if d > 1 else F.least(F.col(point)[0] - (F.col("__q0") - 1) * side, (F.col("__q0") + 2) * side - F.col(point)[0])
         whole = side > 2 * max(max(abs(box[f"max{i}"]), abs(box[f"min{i}"])) for i in range(d)) + 2
         seen = top.groupBy(query_id).agg(F.count(F.lit(1)).alias("n"), F.max("d2").alias("far"), F.first(edge).alias("edge"))
@@ -58,7 +59,7 @@ def bucket_nearest(queries: DataFrame, samples: DataFrame, k: int, d: int, query
         done = part if done is None else done.unionByName(part)
         if whole:
             return done
-        todo = todo.join(ok, query_id, "left_anti")
+        todo = cut(todo.join(ok, query_id, "left_anti"))
         side *= 2
         if not todo.limit(1).count():
             return done

@@ -1 +1 @@
-"""Part of pulsefield."""
+"""The catalogue of queries, their DuckDB SQL, and lineage control."""
