@@ -77,7 +77,7 @@ class Model:
         for t, lang in zip(texts, langs, strict=True):
             raw = t.encode()
             rows.append(raw)
-            for _ in range(2 * (len(raw) > 160)):  # short pieces, as texts can be short
+            if len(raw) > 160:  # a short piece too, as texts can be short
                 at = int(rng.integers(0, len(raw) - 120))
                 rows.append(raw[at : at + 120])
             labels += [lang] * (len(rows) - len(labels))
@@ -87,14 +87,15 @@ class Model:
             x[i] = np.bincount(h, minlength=WIDTH) / max(1, len(h))
         mean = x.mean(0) if len(rows) else np.zeros(WIDTH, np.float32)
         scale = 1 / (x.std(0) + 1e-4) / np.sqrt(WIDTH) if len(rows) else mean
-        x = (x - mean) * scale
+        x -= mean
+        x *= scale
         labels = np.array(labels)
         fam = np.array([family[v] for v in labels])
         self.pairs, ws, bs = [], [], []
         for key, groups in [(fam, list(self.families))] + [(labels, m) for m in self.families.values()]:
             for a, b in combinations(groups, 2):
                 use = (key == a) | (key == b)
-                w, c = fit_svm(x[use], np.where(key[use] == a, 1, -1).astype(np.float32))
+                w, c = fit_svm(x if use.all() else x[use], np.where(key[use] == a, 1, -1).astype(np.float32))
                 self.pairs.append((a, b))
                 ws.append(w * scale)
                 bs.append(c - float(mean @ (w * scale)))
@@ -138,7 +139,7 @@ class Model:
         return [p if ok else UNKNOWN for p, ok in zip(pick, lettered, strict=True)], np.where(lettered, score, 0.0)
 
 
-def fit(df: DataFrame, text: str = "text", lang: str = "lang", doc: str = "doc_id", parts: int = 4, held: int = 2, per_lang: int = 600) -> Model:
+def fit(df: DataFrame, text: str = "text", lang: str = "lang", doc: str = "doc_id", parts: int = 4, held: int = 2, per_lang: int = 500) -> Model:
     """A model of the rows outside the held-out part; about per_lang rows of each language, chosen by a hash, bound the sample."""
     rows = df.select(F.col(doc).alias("d"), F.col(lang).cast("string").alias("l"), F.col(text).cast("string").alias("t")).where((crc_part(doc, parts) != held) & F.col(lang).isNotNull())
     count = {r.l: r["count"] for r in rows.groupBy("l").count().collect()}
