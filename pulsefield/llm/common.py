@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -52,6 +53,19 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the driver drop the shuffle files of plans that nothing refers to any more, instead of at its next collection."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Texts can be long: rows in an Arrow batch between the JVM and Python, unless the session has its own number."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def slices(batch: pa.RecordBatch, text: int, most: int = STEP_BYTES, rows: int = 8192):
     """Consecutive slices of a record batch of at most `rows` rows whose text column holds about `most` bytes."""
     if not batch.num_rows:
@@ -70,6 +84,7 @@ def map_text(df: DataFrame, make, fields: list[tuple[str, T.DataType]], text: st
 
     Only `keep` columns pass through, so other input columns can't clash with the output's.
     """
+    small_batches(df.sparkSession)
     src = df.select(*keep, F.col(text).cast("string").alias("__text"))
     schema = T.StructType([src.schema[k] for k in keep] + [T.StructField(n, t) for n, t in fields])
 

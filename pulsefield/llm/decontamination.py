@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsefield.llm.common import pack, prefix_hash, slices, span_hash, word_hashes, words, LOWER
+from pulsefield.llm.common import LOWER, pack, prefix_hash, slices, small_batches, span_hash, word_hashes, words
 
 #: Bytes of benchmark text in one block.
 BLOCK_BYTES = 8 << 20
@@ -118,6 +118,7 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", keep:
     empty tables give no rows or no hits; other input columns, whatever their names, are not read.
     """
     spark = df.sparkSession
+    small_batches(spark)
     ints, strings = T.ArrayType(T.IntegerType(), False), T.ArrayType(T.StringType(), False)
     out = df.select(*keep, F.col(text).cast("string").alias("__text"))
     extra = [("n_words", T.LongType()), ("spans", ints), ("items", strings), ("near", strings)]

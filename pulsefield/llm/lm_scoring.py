@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsefield.llm.common import LOWER, SPACES, mix, pack, prefix_hash, slices, span_hash, stored, words
+from pulsefield.llm.common import LOWER, SPACES, mix, pack, prefix_hash, slices, small_batches, span_hash, stored, words
 
 #: Most frequent words whose counts every task holds; all others get theirs over a join.
 HEAD = 1 << 20
@@ -233,6 +233,7 @@ def score(df: DataFrame, held: Column, text: str = "text", doc: str = "doc_id",
     names, are not read.
     """
     spark = df.sparkSession
+    small_batches(spark)
     src = df.select(F.col(text).cast("string").alias("t"), F.coalesce(held, F.lit(False)).alias("held"), F.col(doc).alias("doc"), F.monotonically_increasing_id().alias("rid"))
     plain = df.select(F.col(text).cast("string").alias("t"), F.coalesce(held, F.lit(False)).alias("held"))
     counts = stored(count_words(plain))

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsefield.llm.common import BROADCAST_BYTES, checkpoint, pack, prefix_hash, slices, span_hash
+from pulsefield.llm.common import BROADCAST_BYTES, checkpoint, pack, prefix_hash, slices, small_batches, span_hash
 
 LENGTH, GRAM = 400, 144
 #: Bytes that multikey quicksort looks at beyond the common GRAM bytes, eight at a time.
@@ -348,6 +348,7 @@ def drop_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int
     bytes and the digest of nothing; a repeated row repeats all its text; matches never cross texts; an empty table gives
     no rows; other input columns, whatever their names, are not read.
     """
+    small_batches(df.sparkSession)
     t = F.col(text).cast("string")
     docs = df.select(F.col(doc).alias("doc"), F.xxhash64(t).alias("a"), F.xxhash64(F.lit(3), t).alias("b"), t.alias("t"))
     copies = docs.where(F.octet_length("t") >= length).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
