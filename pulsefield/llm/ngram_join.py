@@ -20,11 +20,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsefield.llm.common import BROADCAST_BYTES, LOWER, SPACES, checkpoint, mix, pack, prefix_hash, slices, span_hash, words
+from pulsefield.llm.common import BROADCAST_BYTES, LOWER, SPACES, checkpoint, mix, pack, prefix_hash, release, slices, small_batches, span_hash, words
 from pulsefield.llm.components import connected_components
 
 #: Cells of the word and shingle sketches, and cells in one of their rows.
-WORD_CELLS, CELLS, ROW = 1 << 22, 1 << 21, 1 << 16
+WORD_CELLS, CELLS, ROW = 1 << 22, 1 << 21, 1 << 14
 #: Sketches that one task adds up.
 FAN_IN = 64
 #: Neighbours a node is verified against in a sparse round.
@@ -82,6 +82,15 @@ def in_order(h: np.ndarray, off: np.ndarray, code: np.ndarray | None = None) ->
     return o, d, np.searchsorted(d, np.arange(len(off)))
 
 
+def squeeze(counts: np.ndarray) -> bytes:
+    """A row of cells, most of them small or 0 in a small part of the corpus, as compressed bytes."""
+    return pa.compress(counts.astype("<u4").tobytes(), "zstd", asbytes=True)
+
+
+def unsqueeze(raw: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw, ROW * 4, "zstd", asbytes=True), "<u4")
+
+
 def sketch(df: DataFrame, n: int, text: str) -> np.ndarray:
     """Occurrences of words and then of shingles by hash cell over the whole corpus; sums go up a tree of tasks."""
     src = df.select(F.col(text).cast("string").alias("t"))
@@ -96,14 +105,16 @@ def sketch(df: DataFrame, n: int, text: str) -> np.ndarray:
         if total.any():
             from pyspark import TaskContext
 
-            k = len(total) // ROW
-            yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array([TaskContext.get().partitionId()] * k, pa.int64()), pa.array([total[i * ROW : (i + 1) * ROW].astype("<u4").tobytes() for i in range(k)], pa.binary())], names=["row", "part", "cells"])
+            part = TaskContext.get().partitionId()
+            for at in range(0, len(total) // ROW, 16):
+                rows = range(at, min(at + 16, len(total) // ROW))
+                yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array([part] * len(rows), pa.int64()), pa.array([squeeze(total[i * ROW : (i + 1) * ROW]) for i in rows], pa.binary())], names=["row", "part", "cells"])
 
     def add(group: pa.Table) -> pa.Table:
         total = np.zeros(ROW, np.uint64)
         for c in group.column("cells"):
-            total += np.frombuffer(c.as_buffer(), "<u4")
-        capped = np.minimum(total, (1 << 32) - 1).astype("<u4").tobytes()
+            total += unsqueeze(c.as_py())
+        capped = squeeze(np.minimum(total, (1 << 32) - 1))
         return pa.table({"row": group.column("row")[:1], "part": group.column("part")[:1], "cells": pa.array([capped], pa.binary())})
 
     out = src.mapInArrow(count, schema)
@@ -113,20 +124,21 @@ def sketch(df: DataFrame, n: int, text: str) -> np.ndarray:
         out = out.withColumn("part", F.expr(f"part div {FAN_IN}")).groupBy("row", "part").applyInArrow(add, schema)
     total = np.zeros(WORD_CELLS + CELLS, np.uint32)
     for r in out.collect():
-        total[r.row * ROW : (r.row + 1) * ROW] += np.frombuffer(r.cells, "<u4")
+        total[r.row * ROW : (r.row + 1) * ROW] += unsqueeze(r.cells)
     return total
 
 
 def node_rows(df: DataFrame, n: int, num: int, den: int, text: str, doc: str) -> DataFrame:
     """doc, n, th and node of every row, with the set's parities s0..s3 (of 256 hash partitions) and sig (of 2n to 4n, a
-    power of two), and its prefix, rarest first."""
-    sent = df.sparkSession.sparkContext.broadcast(sketch(df, n, text))
+    power of two), and its prefix, rarest first. A task gives the prefix of equal sets once; the others' are empty."""
+    codes = (256 * np.log2(1.0 + sketch(df, n, text))).astype(np.uint16)
+    sent = df.sparkSession.sparkContext.broadcast(codes)
     src = df.select(F.col(doc).alias("doc"), F.xxhash64(text).alias("th"), F.col(text).cast("string").alias("t"))
     longs = T.ArrayType(T.LongType(), False)
     schema = T.StructType([src.schema["doc"], src.schema["th"], T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), *(T.StructField(f"s{k}", T.LongType()) for k in range(4)), T.StructField("sig", T.BinaryType()), T.StructField("prefix", longs)])
 
     def run(batches):
-        codes = (256 * np.log2(1.0 + sent.value)).astype(np.uint16)
+        codes, seen = sent.value, set()
         for batch in batches:
             for s in slices(batch, 2):
                 h, off, w, first, last = grams(s.column(2), n)
@@ -142,7 +154,8 @@ def node_rows(df: DataFrame, n: int, num: int, den: int, text: str, doc: str) ->
                 cell = (mix(x ^ np.uint64(0x2545F4914F6CDD1D)) & (width[d] - 1).astype(np.uint64)).astype(np.int64)
                 fine = np.packbits((np.bincount(base[d] + cell, minlength=base[-1]) & 1).astype(np.uint8))
                 fine = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((base // 8).astype(np.int32)), pa.py_buffer(fine)])
-                take = np.where(size > 0, size - -(-num * size // den) + 1, 0)
+                first = np.array([not (k in seen or seen.add(k)) for k in node.tolist()], bool)
+                take = np.where((size > 0) & first, size - -(-num * size // den) + 1, 0)
                 to = np.concatenate([[0], np.cumsum(take)])
                 pick = np.repeat(at[:-1] - to[:-1], take) + np.arange(to[-1])
                 prefix = pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(x[pick].view(np.int64)), type=pa.list_(pa.field("element", pa.int64(), False)))
@@ -204,14 +217,22 @@ def link_components(df: DataFrame, n: int = 3, num: int = 90, den: int = 100, te
     are their own component; rows of equal sets share a component; a null doc is the component only where it has no
     other; an empty table gives no rows; other input columns, whatever their names, are not read.
     """
+    small_batches(df.sparkSession)
     rows = checkpoint(node_rows(df, n, num, den, text, doc))
     some = rows.where("n > 0")
     reps = checkpoint(some.groupBy("node").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies")))
-    nodes = some.join(reps.withColumnRenamed("node", "id"), (F.col("node") == F.col("id")) & F.col("doc").eqNullSafe(F.col("rep"))).select("node", "doc", "th", "n", "s0", "s1", "s2", "s3", "sig", "prefix")
-    lists = nodes.select("node", F.posexplode("prefix").alias("pos", "h"))
+    lists = some.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "h"))
     alone = Window.partitionBy("h")
-    lists = checkpoint(lists.withColumn("df", F.count(F.lit(1)).over(alone)).where("df > 1").select("h", "node", "pos"))
-    attrs = checkpoint(nodes.select("node", "doc", "th", "n", "s0", "s1", "s2", "s3", "sig").join(lists.select("node").distinct(), "node"))
+    by_size = alone.orderBy("n", "node")
+    lists = lists.withColumns({"lo": F.min("node").over(alone), "hi": F.max("node").over(alone), "less": F.lag("n").over(by_size), "more": F.lead("n").over(by_size)})
+    # A list's node without one of a size near its own has no partner there.
+    lists = lists.where(f"lo <> hi and ({den} * less >= {num} * n or {den} * n >= {num} * more)")
+    lists = checkpoint(lists.select("h", "node", "pos").distinct())
+    release(df.sparkSession)
+    facts = some.select("node", "doc", "th", "n", "s0", "s1", "s2", "s3", "sig").join(lists.select(F.col("node").alias("id")).distinct(), F.col("node") == F.col("id")).drop("id")
+    facts = facts.join(reps.select(F.col("node").alias("id"), "rep"), (F.col("node") == F.col("id")) & F.col("doc").eqNullSafe(F.col("rep"))).drop("id", "rep")
+    attrs = checkpoint(facts.dropDuplicates(["node"]))
+    release(df.sparkSession)
     need = "({num} * (an + bn) + {both} - 1) div {both}".format(num=num, both=num + den)
     fits = " and ".join(
         [
@@ -224,22 +245,24 @@ def link_components(df: DataFrame, n: int = 3, num: int = 90, den: int = 100, te
     def check(pairs: DataFrame) -> DataFrame:
         pairs = checkpoint(pairs)
         ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        want = attrs.select("node", "doc", "th").distinct().join(ids, "node")
+        want = attrs.select("node", "doc", "th").join(ids, "node")
         want = checkpoint(want)
         hint = F.broadcast if want.count() * 64 <= broadcast_bytes else (lambda x: x)
         src = df.select(F.col(doc).alias("d"), F.xxhash64(text).alias("h"), F.col(text).cast("string").alias("t"))
         texts = src.join(hint(want), (F.col("h") == F.col("th")) & F.col("d").eqNullSafe(F.col("doc"))).select("node", "t")
-        return checkpoint(verified(pairs, texts, n, num, den))
+        out = checkpoint(verified(pairs, texts, n, num, den))
+        release(df.sparkSession)
+        return out
 
-    def plausible(pairs: DataFrame) -> DataFrame:
-        return far_apart(pairs.select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b")).distinct(), attrs, num, den)
+    def met_pairs(met: DataFrame) -> DataFrame:
+        return met.select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b")).distinct()
 
     def side(t: DataFrame, name: str) -> DataFrame:
         return t.select("h", *[F.col(c).alias(name + c) for c in FACTS])
 
     def open_lists(comp: DataFrame | None) -> DataFrame:
         """Postings with their node's facts, of lists that touch more than one component."""
-        facts = attrs.drop("doc", "th", "sig").distinct()
+        facts = attrs.drop("doc", "th", "sig")
         facts = facts.withColumn("comp", F.col("node")) if comp is None else facts.join(comp, "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
         full = lists.join(facts, "node")
         if comp is None:
@@ -257,7 +280,8 @@ def link_components(df: DataFrame, n: int = 3, num: int = 90, den: int = 100, te
         met = full.withColumn("near", F.array_compact(F.array(*near))).select(*[F.col(c).alias("a" + c) for c in FACTS], F.explode("near").alias("o"))
         met = met.select("*", *[F.col(f"o.{c}").alias("b" + c) for c in FACTS]).where("acomp <> bcomp").where(fits)
         few = Window.partitionBy("a").orderBy(F.xxhash64("a", "b", F.lit(turn)))
-        pairs = plausible(met).withColumn("nth", F.row_number().over(few)).where(F.col("nth") <= NEIGHBOURS).drop("nth")
+        some_of = lambda p, most: p.withColumn("nth", F.row_number().over(few)).where(F.col("nth") <= most).drop("nth")  # noqa: B023, E731
+        pairs = some_of(far_apart(some_of(met_pairs(met), 2 * NEIGHBOURS), attrs, num, den), NEIGHBOURS)
         found = check(pairs)
         links = found if links is None else links.union(found)
         comp = checkpoint(connected_components(links))
@@ -265,7 +289,7 @@ def link_components(df: DataFrame, n: int = 3, num: int = 90, den: int = 100, te
     sizes = full.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("many")).groupBy("h").agg(F.max(F.struct("many", "comp")).alias("top")).select("h", F.col("top.comp").alias("top"))
     minor = side(full.join(sizes, "h").where("comp <> top"), "a")
     left = minor.join(side(full, "b"), "h").where("acomp <> bcomp").where(fits)
-    found = check(plausible(left))
+    found = check(far_apart(met_pairs(left), attrs, num, den))
     comp = checkpoint(connected_components(links.union(found)))
     of = reps.join(comp, "node", "left").select("node", "rep", "copies", F.coalesce("root", "node").alias("root"))
     lowest = of.groupBy("root").agg(F.min("rep").alias("component_id"))
