@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from pulsefield.config import EvalConfig, RBFScheme, SymmetricCombine
 from pulsefield.functions.evaluator import KernelArrays
 from pulsefield.operators.field import ImpulseResponseField
+from pulsefield.operators.neighbors import nearest_sample_distance
 from pulsefield.operators.predictions import points_in_ellipsoids, support_ellipsoids
+from pulsefield.plans.lineage import cut
 
 #: Sources and targets in a dense tile, which is one unit of work.
 TILE = (128, 2048)
@@ -34,8 +36,8 @@ class KernelEvaluator:
             if len({col_field.dim_source, col_field.dim_target, row_field.dim_source, row_field.dim_target}) != 1:
                 raise ValueError("KernelEvaluator: symmetric mode needs equal dimensions throughout")
             row_field.validate(self.config)
-        elif self.config.symmetric_combine is SymmetricCombine.CRISSCROSS and config is not None and row_field is not None:
-            raise ValueError("KernelEvaluator: crisscross needs a row field")
+        elif self.config.symmetric_combine is SymmetricCombine.CRISSCROSS:
+            raise ValueError("KernelEvaluator: crisscross needs a row field; give the same field twice for a symmetric operator")
         self._arrays: KernelArrays | None = None
 
     @property
@@ -92,26 +94,50 @@ class KernelEvaluator:
         return self.entries(self.support_pairs(targets, sources)) if self.config.gated else self.tiles(targets, sources)
 
     def entries(self, pairs: DataFrame) -> DataFrame:
-        """Entries of given pairs (target_id, source_id, y, x)."""
+        """Entries of given pairs (target_id, source_id, y, x).
+
+        Crisscross pairs go to the side whose sample is nearer, so each is one field's sweep; only ties take both.
+        """
+        if not self.row_field or self.config.symmetric_combine is not SymmetricCombine.CRISSCROSS:
+            return self._sweeps(pairs, "both")
+        pairs = cut(pairs)  # it is read five times
+        flipped = pairs.select(F.col("target_id").alias("id"), "y").distinct()
+        dx = nearest_sample_distance(pairs.select("source_id", "x").distinct(), self._samples(self.col_field), self.dim_source).withColumnRenamed("dist", "dx")
+        dy = nearest_sample_distance(flipped, self._samples(self.row_field), self.dim_target, "id", "y").withColumnsRenamed({"dist": "dy", "id": "target_id"})
+        at = pairs.join(dx, "source_id").join(dy, "target_id")
+        return self._sweeps(at.where("dx < dy"), "col").union(self._sweeps(at.where("dy < dx"), "row")).union(self._sweeps(at.where("dx = dy"), "both"))
+
+    def _samples(self, field: ImpulseResponseField) -> DataFrame:
+        if field.samples is not None:
+            return field.samples.select("sample_id", "xs")
+        return field.target.vertices.limit(0).select(F.col("vertex_id").alias("sample_id"), F.col("p").alias("xs"))
+
+    def _sweeps(self, pairs: DataFrame, side: str) -> DataFrame:
+        """Entries from the column field, the row field, or as block() has them; one sweep a source (or target)."""
         sent = pairs.sparkSession.sparkContext.broadcast(self.arrays())
         ds, dt = self.dim_source, self.dim_target
+        hub, spoke = ("target_id", "source_id") if side == "row" else ("source_id", "target_id")
 
         def run(batches):
             k = sent.value
             for b in batches:
                 t, s = (b.column(n).to_numpy(zero_copy_only=False) for n in ("target_id", "source_id"))
                 y, x = as_array(b.column("y"), dt), as_array(b.column("x"), ds)
-                order = np.argsort(s, kind="stable")
+                key = t if side == "row" else s
+                order = np.argsort(key, kind="stable")
                 value = np.zeros(len(s))
-                for rows in np.split(order, np.flatnonzero(np.diff(s[order])) + 1) if len(s) else []:
-                    value[rows] = k.block(y[rows], x[rows[:1]])[:, 0]
+                for rows in np.split(order, np.flatnonzero(np.diff(key[order])) + 1) if len(s) else []:
+                    if side == "row":
+                        value[rows] = k.one_sided(k.row, x[rows], y[rows[:1]])[:, 0]
+                    else:
+                        value[rows] = (k.block(y[rows], x[rows[:1]]) if side == "both" else k.one_sided(k.col, y[rows], x[rows[:1]]))[:, 0]
                 live = value != 0
                 yield pa.RecordBatch.from_arrays([pa.array(t[live].astype(np.int64)), pa.array(s[live].astype(np.int64)), pa.array(value[live])], names=["target_id", "source_id", "value"])
 
         rows = pairs.select("target_id", "source_id", "y", "x")
         # A source's targets stand together, but a source of very many is dealt over several tasks.
-        spread = F.pmod(F.xxhash64("target_id"), F.lit(8))
-        return rows.repartition("source_id", spread).sortWithinPartitions("source_id").mapInArrow(run, ENTRY)
+        spread = F.pmod(F.xxhash64(spoke), F.lit(8))
+        return rows.repartition(hub, spread).sortWithinPartitions(hub).mapInArrow(run, ENTRY)
 
     def tiles(self, targets: DataFrame, sources: DataFrame) -> DataFrame:
         sent = targets.sparkSession.sparkContext.broadcast(self.arrays())
