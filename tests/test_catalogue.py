@@ -6,7 +6,8 @@ import sys
 import pytest
 from pulsefield.plans import catalogue
 
-NAMES = [n for n in catalogue.ORACLE_SQL if not n.startswith("pred_") or n.endswith(("volume_det_ellipsoid", "none_none"))]
+#: Of the like-shaped queries some are enough here; the driver compares all.
+NAMES = [n for n in catalogue.ORACLE_SQL if not n.startswith(("pred_", "rbf_k2_")) or n.endswith(("volume_det_ellipsoid", "gaussian", "cubic"))]
 
 
 @pytest.mark.parametrize("name", NAMES)
