@@ -216,7 +216,7 @@ def train(df: DataFrame, head_sent, unigram: np.ndarray) -> Bilinear:
         parts = -(-parts // FAN_IN)
         out = out.withColumn("part", F.expr(f"part div {FAN_IN}")).groupBy("part").applyInArrow(add, "part long, v binary")
     total = np.zeros(size + 1)
-    for r in out.toLocalIterator():
+    for r in out.collect():  # at most FAN_IN models
         total += np.frombuffer(r.v)
     model = Bilinear(unigram)
     if total[-1]:
