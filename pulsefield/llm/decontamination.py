@@ -3,8 +3,9 @@
 Each slice of training documents is a shard: its postings are the positions of every benchmark term, in term order.
 A window's query starts from its rarest term in the shard, shifts that posting list by the term's offset, and
 intersects it with the other terms' lists from rare to common; what is left are exact phrase occurrences. Proximity
-matches need the three rarest terms within `slop` words of their places. Shards never exchange postings, so nothing
-is shuffled. The benchmark goes to the tasks in blocks of bounded size, each block over all documents.
+matches need three terms within `slop` words of their places: the window's rarest of those that occur in the table, by
+counts over all documents, so a match doesn't depend on what shares a shard. Shards never exchange postings; only those
+counts are shuffled. The benchmark goes to the tasks in blocks of bounded size, each block over all documents.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from pulsefield.llm.common import LOWER, pack, prefix_hash, slices, small_batche
 #: Bytes of benchmark text in one block.
 BLOCK_BYTES = 8 << 20
 WINDOW = 10
+#: Terms of a proximity match.
+RAREST = 3
 
 #: The bytes outside [0-9A-Za-z\x80-\xFF] stand between words.
 APART = np.ones(256, bool)
@@ -54,27 +57,32 @@ class Block:
             out[maybe] = np.where(self.vocab[at] == h[maybe], at, -1)
         return out
 
+    def rank(self, count: np.ndarray) -> None:
+        """Each window's rarest terms and their offsets, by counts over all documents; terms that occur in none are left out."""
+        most = np.iinfo(np.int64).max
+        cost = np.where(self.terms >= 0, count[self.terms], 0)
+        cost[cost == 0] = most
+        self.rare_at = np.argsort(cost, axis=1, kind="stable")[:, :RAREST]
+        cost = np.take_along_axis(cost, self.rare_at, 1)
+        self.rare = np.where(cost < most, np.take_along_axis(self.terms, self.rare_at, 1), -1)
+        self.rankable = np.flatnonzero((self.size > 0) & ((cost < most).sum(1) == np.minimum(self.size, self.rare.shape[1])))
+
     def search(self, h: np.ndarray, off: np.ndarray, slop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Window and start word of each phrase match, window and place of each proximity match, in the texts that `off` delimits."""
         none = np.zeros(0, np.int64)
         ids = self.look_up(h)
         held = np.flatnonzero(ids >= 0)
         count = np.bincount(ids[held], minlength=len(self.vocab))
-        cost = np.where(self.terms >= 0, count[self.terms], np.iinfo(np.int64).max)
-        live = np.flatnonzero((cost.min(1) > 0) & (self.size > 0)) if len(held) else none
-        if not len(live):
+        if not len(held):
             return none, none, none, none
-        order = np.argsort(cost[live], axis=1, kind="stable")  # offsets from the rarest term on
-        terms = np.take_along_axis(self.terms[live], order, 1)
         postings = held[np.argsort(ids[held], kind="stable")]
         first = np.cumsum(count) - count
-        n = count[terms[:, 0]]
-        who = np.repeat(np.arange(len(live)), n)
-        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        place = postings[first[terms[who, 0]] + nth]
-        doc = np.searchsorted(off, place, "right") - 1
-        low, high = off[doc], off[doc + 1]
-        near_w, near_p = self.near(who, place, low, high, terms, order, ids, postings, first, count, live, slop) if slop >= 0 else (none, none)
+        near_w, near_p = self.near(off, ids, postings, first, count, slop) if slop >= 0 else (none, none)
+        cost = np.where(self.terms >= 0, count[self.terms], np.iinfo(np.int64).max)
+        live = np.flatnonzero((cost.min(1) > 0) & (self.size > 0))
+        order = np.argsort(cost[live], axis=1, kind="stable")  # offsets from the rarest term on
+        terms = np.take_along_axis(self.terms[live], order, 1)
+        who, place, low, high = self.places(terms[:, 0], off, postings, first, count)
         start = place - order[who, 0]
         size = self.size[live]
         fits = (start >= low) & (start + size[who] <= high)
@@ -85,13 +93,26 @@ class Block:
             who, start = who[same], start[same]
         return live[who], start, near_w, near_p
 
-    def near(self, who, place, low, high, terms, order, ids, postings, first, count, live, slop):
-        """Places of the rarest term around which the next two rarest stand near where they belong."""
+    @staticmethod
+    def places(terms, off, postings, first, count):
+        """Every posting of each term: the term's index, the place, and the bounds of its text."""
+        n = count[terms]
+        who = np.repeat(np.arange(len(terms)), n)
+        nth = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        place = postings[first[terms[who]] + nth]
+        doc = np.searchsorted(off, place, "right") - 1
+        return who, place, off[doc], off[doc + 1]
+
+    def near(self, off, ids, postings, first, count, slop):
+        """Windows and places of their rarest term around which the next two rarest stand near where they belong."""
+        live = self.rankable[((self.rare[self.rankable] < 0) | (count[self.rare[self.rankable]] > 0)).all(1)]
+        terms, at = self.rare[live], self.rare_at[live]
+        who, place, low, high = self.places(terms[:, 0], off, postings, first, count)
         n = len(ids)
         keys = ids[postings].astype(np.int64) * (n + 1) + postings
-        for k in range(1, min(3, self.window)):
+        for k in range(1, terms.shape[1]):
             t = terms[who, k].astype(np.int64)
-            want = place + order[who, k] - order[who, 0]
+            want = place + at[who, k] - at[who, 0]
             a = np.searchsorted(keys, t * (n + 1) + np.maximum(low, want - slop))
             b = np.searchsorted(keys, t * (n + 1) + np.minimum(high - 1, want + slop), "right")
             ok = (t < 0) | (b > a)
@@ -99,6 +120,26 @@ class Block:
         return live[who], place
 
 
+def count_terms(texts: DataFrame, sent, n_terms: int) -> np.ndarray:
+    """Occurrences of a block's terms over all documents. texts: one text column."""
+
+    def run(batches):
+        block = sent.value
+        count = np.zeros(n_terms, np.int64)
+        for batch in batches:
+            for part in slices(batch, 0, 1 << 21):
+                ids = block.look_up(word_hashes(part.column(0), APART)[0])
+                count += np.bincount(ids[ids >= 0], minlength=n_terms)
+        seen = np.flatnonzero(count)
+        if len(seen):
+            yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(count[seen])], names=["term", "n"])
+
+    got = texts.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    count = np.zeros(n_terms, np.int64)
+    count[got.column("term").to_numpy()] = got.column("n").to_numpy()
+    return count
+
+
 def blocks(benchmark: DataFrame, item: str, text: str, window: int, block_bytes: int):
     """The benchmark's rows in blocks of about block_bytes, each collected when its turn comes."""
     rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("i"), F.col(text).cast("string").alias("t"))
@@ -164,6 +205,8 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", keep:
         return run
 
     for n, block in enumerate(blocks(benchmark, item, item_text, window, block_bytes)):
+        if slop >= 0:
+            block.rank(count_terms(df.select(F.col(text).cast("string")), spark.sparkContext.broadcast(block), len(block.vocab)))
         out = out.mapInArrow(step(spark.sparkContext.broadcast(block), n > 0), schema)
     covered = F.aggregate("spans", F.lit(0), lambda s, x: x - s)  # ends less starts, as pairs alternate
     return out.select(*keep, "n_words", covered.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"), (F.size("items") > 0).alias("contaminated"), F.size("near").cast("long").alias("n_near"), "spans", "items", "near")

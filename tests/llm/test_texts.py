@@ -160,6 +160,15 @@ def test_proximity(spark):
     assert got == {1: (0, 1), 2: (0, 0)}
 
 
+def test_proximity_in_any_layout(spark):
+    """An edited passage matches whether or not a neighbour holds the word that was replaced."""
+    df = spark.createDataFrame([(1, "one two three x four five six y eight nine ten"), (2, "seven"), (3, "far one " + "pad " * 40 + "ten")], "doc_id int, text string")
+    bench = spark.createDataFrame([(7, "one two three four five six seven eight nine ten")], "item_id int, text string")
+    for docs in (df.coalesce(1), df.repartitionByRange(3, "doc_id"), df.where("doc_id <> 2").coalesce(1)):
+        got = {r.doc_id: (r.n_hit, r.n_near) for r in decontamination.decontaminate(docs, bench).collect()}
+        assert got.pop(2, (0, 0)) == (0, 0) and got == {1: (0, 1), 3: (0, 0)}
+
+
 def test_odd_rows(spark, odd, none):
     bench = spark.createDataFrame([(1, "beta gamma delta alpha beta gamma delta alpha beta gamma")], "item_id int, text string")
     model = language_id.fit(odd)
