@@ -1,5 +1,6 @@
 """Operators over the whole corpus: n-gram join, suffix deduplication, language model, and the pipeline."""
 
+import base64
 import hashlib
 import math
 import random
@@ -178,6 +179,17 @@ def test_pipeline(spark, small):
     assert got == want and 0 < len(got) < df.count()
 
 
+def test_pipeline_rejects_what_is_no_language(spark, small):
+    rng = random.Random(11)
+    docs = spark.read.parquet(f"{small}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    letters = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(120)) for _ in range(5)]
+    coded = [base64.b64encode(rng.randbytes(500)).decode() for _ in range(5)]
+    foreign = ["Это предложение написано на русском языке, и машина его никогда не видела.", "Tämä lause on kirjoitettu suomeksi eikä kone ole koskaan nähnyt tätä kieltä."]
+    bad = [(-1 - i, t, None, "s", len(t)) for i, t in enumerate(letters + coded + foreign)]
+    kept = {r.doc_id for r in corpus_pipeline.language(spark, docs.union(spark.createDataFrame(bad, docs.schema)), small).collect()}
+    assert kept == {r.doc_id for r in docs.collect()}
+
+
 def test_pipeline_odd_rows(spark, odd, small):
     docs = odd.select(*corpus_pipeline.COLUMNS)
     for name, stage in corpus_pipeline.STAGES:
