@@ -33,8 +33,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops each site's boilerplate lines; the documents stay, with n_chars of what is left."""
-    out = drop_boilerplate(docs, keep=("doc_id", "lang", "source"))
+    """Drops each site's boilerplate lines; the documents stay, with n_chars of what is left.
+
+    Equal texts of a site vote once, so that a group of copies keeps its lines for the next stage.
+    """
+    out = drop_boilerplate(docs, keep=("doc_id", "lang", "source"), once=True)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 

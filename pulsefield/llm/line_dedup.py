@@ -19,25 +19,26 @@ def line_key(line: Column) -> Column:
     return F.struct(F.xxhash64(line).alias("a"), F.xxhash64(F.lit(11), line).alias("b"))
 
 
-def boilerplate(df: DataFrame, text: str = "text", site: str = "source", ratio: float = 0.03, min_pages: int = 3) -> DataFrame:
-    """site, lines: each site's boilerplate line keys; sites without any have no row."""
-    pages = df.select(F.col(site).alias("site"), F.col(text).cast("string").alias("t"))
+def boilerplate(df: DataFrame, text: str = "text", site: str = "source", ratio: float = 0.03, min_pages: int = 3, once: bool = False) -> DataFrame:
+    """site, lines: each site's boilerplate line keys; sites without any have no row. once: equal texts of a site are one page."""
+    pages = df.select(F.col(site).alias("site"), F.col(text).cast("string").alias("t")).withColumn("page", F.xxhash64("t"))
+    n_pages = F.count_distinct("page") if once else F.count(F.lit(1))
     lines = F.array_distinct(F.filter(F.split("t", "\n"), lambda x: F.trim(x) != ""))
-    keys = pages.select("site", F.explode(lines).alias("line")).select("site", line_key(F.col("line")).alias("k"))
-    per_line = keys.groupBy("site", "k.a", "k.b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_pages)
-    per_site = pages.groupBy(F.col("site").alias("own")).agg(F.count(F.lit(1)).alias("pages"))
+    keys = pages.select("site", "page", F.explode(lines).alias("line")).select("site", "page", line_key(F.col("line")).alias("k"))
+    per_line = keys.groupBy("site", "k.a", "k.b").agg(n_pages.alias("n")).where(F.col("n") >= min_pages)
+    per_site = pages.groupBy(F.col("site").alias("own")).agg(n_pages.alias("pages"))
     often = per_line.join(per_site, F.col("site").eqNullSafe(F.col("own"))).where(F.col("n") * 1_000_000 > F.col("pages") * round(ratio * 1_000_000))
     return often.groupBy("site").agg(F.collect_list(F.struct("a", "b")).alias("lines"))
 
 
-def drop_boilerplate(df: DataFrame, text: str = "text", site: str = "source", ratio: float = 0.03, min_pages: int = 3, keep: tuple[str, ...] = ("doc_id",), broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def drop_boilerplate(df: DataFrame, text: str = "text", site: str = "source", ratio: float = 0.03, min_pages: int = 3, keep: tuple[str, ...] = ("doc_id",), broadcast_bytes: int = BROADCAST_BYTES, once: bool = False) -> DataFrame:
     """keep columns, n_lines, n_dropped and the text without its site's boilerplate lines, one row for each input row.
 
     Null texts have 0 lines and stay null; a null site is a site of its own; lines of blanks only are neither counted
-    nor dropped; repeated rows count as so many pages; an empty table gives no rows; columns other than `keep`, text
+    nor dropped; repeated rows count as so many pages, or with `once` equal texts of a site as one; an empty table gives no rows; columns other than `keep`, text
     and site are not read.
     """
-    found = checkpoint(boilerplate(df, text, site, ratio, min_pages))
+    found = checkpoint(boilerplate(df, text, site, ratio, min_pages, once))
     size = found.agg(F.coalesce(F.sum(16 * F.size("lines") + 64), F.lit(0))).first()[0]
     rows = df.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keep)], F.col(site).alias("__site"), F.col(text).cast("string").alias("__text"))
     if size <= broadcast_bytes:

@@ -190,6 +190,25 @@ def test_pipeline_rejects_what_is_no_language(spark, small):
     assert kept == {r.doc_id for r in docs.collect()}
 
 
+def test_pipeline_keeps_one_of_each_copy_group(spark, small, tmp_path):
+    """Copies within one small source don't make each other's lines boilerplate; a line of its other pages still is."""
+    from pulsefield.llm import bpe_codec
+    from public_tokenizers import path
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    vocabulary = sorted({w for r in docs.where("lang = 'en'").collect() for w in r.text.split() if w.isalpha()})
+    rng = random.Random(12)
+    page = lambda: [" ".join(rng.choice(vocabulary) for _ in range(12)) for _ in range(6)]
+    copied, others, menu = page(), [page() for _ in range(6)], "the menu of the tiny site"
+    texts = ["\n".join(copied)] * 4 + ["\n".join([menu, *p]) for p in others]
+    rows = [(10_000_000 + i, t, "en", "tiny", len(t)) for i, t in enumerate(texts)]
+    docs.union(spark.createDataFrame(rows, docs.schema)).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{small}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    codec = bpe_codec.codec(path("byte_bpe_50k.tiktoken"))
+    want = {10_000_000: codec.encode("\n".join(copied))} | {10_000_004 + i: codec.encode("\n".join(p)) for i, p in enumerate(others)}
+    assert {r.doc_id: list(r.ids) for r in corpus_pipeline.run(spark, str(tmp_path)).collect() if r.source == "tiny"} == want
+
+
 def test_pipeline_odd_rows(spark, odd, small):
     docs = odd.select(*corpus_pipeline.COLUMNS)
     for name, stage in corpus_pipeline.STAGES:
