@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsefield.llm.bpe_codec import round_trip
-from pulsefield.llm.common import BROADCAST_BYTES, read_table, shared_dir
+from pulsefield.llm.common import BROADCAST_BYTES, checkpoint, read_table, shared_dir
 from pulsefield.llm.decontamination import decontaminate
 from pulsefield.llm.language_id import UNKNOWN, fit, identify
 from pulsefield.llm.line_dedup import drop_boilerplate
@@ -44,13 +44,16 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles at a Jaccard similarity of 0.8, the smallest doc_id stays.
 
-    Documents without words are linked with nothing and stay; rows of one doc_id and text are one document.
+    Documents without words are linked with nothing and stay; rows of one doc_id and text are one document, rows of one
+    doc_id (or of none) with other texts are others, and of linked ones under the smallest doc_id one stays.
     """
     docs = docs.select(*COLUMNS)
-    groups = link_components(docs, n=5, num=80, den=100)
-    gone = groups.where("component_id is not null and not doc_id <=> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    hint = F.broadcast if gone.count() * 32 <= BROADCAST_BYTES else (lambda x: x)
-    out = docs.join(hint(gone), F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    linked = link_components(docs, n=5, num=80, den=100, hashed=True).where("root is not null")
+    gone = linked.where("not doc_id <=> component_id").select(F.col("doc_id").alias("gone"), "th")
+    first = linked.where("doc_id <=> component_id").groupBy("root", F.col("doc_id").alias("gone")).agg(F.array_sort(F.collect_set("th")).alias("ths"))
+    gone = checkpoint(gone.union(first.where(F.size("ths") > 1).select("gone", F.explode(F.expr("slice(ths, 2, size(ths))")).alias("th"))).distinct())
+    hint = F.broadcast if gone.count() * 48 <= BROADCAST_BYTES else (lambda x: x)
+    out = docs.join(hint(gone), F.col("doc_id").eqNullSafe(F.col("gone")) & (F.xxhash64("text") == F.col("th")), "left_anti")
     if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
         same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("lang", "source")
         out = out.withColumn("nth", F.row_number().over(same)).where("nth = 1").drop("nth")

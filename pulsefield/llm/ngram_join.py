@@ -209,7 +209,7 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) ->
     return both.mapInArrow(run, pairs.select("a", "b").schema)
 
 
-def link_components(df: DataFrame, n: int = 3, num: int = 90, den: int = 100, text: str = "text", doc: str = "doc_id", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def link_components(df: DataFrame, n: int = 3, num: int = 90, den: int = 100, text: str = "text", doc: str = "doc_id", broadcast_bytes: int = BROADCAST_BYTES, hashed: bool = False) -> DataFrame:
     """doc, n_shingles, component_id (the smallest doc linked with it over any number of links) and n_copies (rows of
     the same set) of every row.
 
@@ -293,6 +293,6 @@ def link_components(df: DataFrame, n: int = 3, num: int = 90, den: int = 100, te
     comp = checkpoint(connected_components(links.union(found)))
     of = reps.join(comp, "node", "left").select("node", "rep", "copies", F.coalesce("root", "node").alias("root"))
     lowest = of.groupBy("root").agg(F.min("rep").alias("component_id"))
-    of = of.join(lowest, "root").select(F.col("node").alias("id"), "component_id", "copies")
-    out = rows.select("doc", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(of, F.col("node") == F.col("id"), "left")
-    return out.select(F.col("doc").alias(doc), F.col("n").alias("n_shingles"), F.when(F.col("id").isNull(), F.col("doc")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"))
+    of = of.join(lowest, "root").select(F.col("node").alias("id"), "component_id", "copies", "root")
+    out = rows.select("doc", "th", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")).join(of, F.col("node") == F.col("id"), "left")
+    return out.select(F.col("doc").alias(doc), F.col("n").alias("n_shingles"), F.when(F.col("id").isNull(), F.col("doc")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"), *(["root", "th"] if hashed else []))

@@ -209,6 +209,17 @@ def test_pipeline_keeps_one_of_each_copy_group(spark, small, tmp_path):
     assert {r.doc_id: list(r.ids) for r in corpus_pipeline.run(spark, str(tmp_path)).collect() if r.source == "tiny"} == want
 
 
+def test_pipeline_near_copies_by_row(spark, small):
+    """A copy takes no other text of its doc_id, or of null ids, with it; of copies under one doc_id one stays."""
+    copy, clean, own = ("".join(f"{w}{i} " for i in range(40)) for w in "abc")
+    rows = [(1, copy), (None, copy), (None, clean), (7, copy), (7, own), (9, "x y z " * 9 + "p"), (9, "x y z " * 9 + "p q"), (None, "u v w " * 9), (None, "u v w " * 8)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.near_copies(spark, docs, small).collect()]
+    ids = [i for i, _ in kept]
+    assert sorted([k for k in kept if k in rows[:5]], key=str) == sorted([rows[0], rows[2], rows[4]], key=str)
+    assert ids.count(9) == 1 and len(kept) == 5
+
+
 def test_pipeline_odd_rows(spark, odd, small):
     docs = odd.select(*corpus_pipeline.COLUMNS)
     for name, stage in corpus_pipeline.STAGES:
