@@ -441,7 +441,7 @@ def recompress(spark, sf_dir):
     e = S.read(spark, sf_dir, "embeddings").select("label", "embedding")
 
     def run(table: pa.Table) -> pa.Table:
-        x = np.array(table.column("embedding").to_pylist(), float)[:, :6]
+        x = np.array(table.column("embedding").to_pylist(), float)
         f = lowrank.LowRank(np.hstack([x, x]), np.hstack([x, -0.5 * x]))
         g = lowrank.recompress(f, 1e-10)
         close = np.linalg.norm(f.U @ (f.V.T @ g.V) - g.U @ (g.V.T @ g.V)) <= 1e-8 * max(1.0, np.linalg.norm(g.U))
