@@ -5,10 +5,11 @@ import os
 import random
 import re
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
-from pulsefield.llm import bpe_codec, decontamination, language_id, mpeg_audio, queries, token_counts
+from pulsefield.llm import bpe_codec, common, decontamination, language_id, mpeg_audio, ngram_join, queries, token_counts
 from pyspark.sql import functions as F
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -51,6 +52,36 @@ def test_token_counts_match_library():
     assert [int(own.of_texts([t])[0]) for t in texts[:200]] == want[:200]
 
 
+def twins(size=1024, letters="xe"):
+    """A Thue-Morse word and the one with its two letters exchanged, on which hashes modulo 2**64 agree."""
+    bits = [i.bit_count() & 1 for i in range(size)]
+    return "".join(letters[b] for b in bits), "".join(letters[1 - b] for b in bits)
+
+
+def test_words_of_like_shape_stay_apart(spark):
+    a, b = twins()
+    lib = library("word_bpe_49k.json")
+    own = token_counts.Merger(public_tokenizers.path("word_bpe_49k.json"))
+    assert [int(own.of_texts([t])[0]) for t in (a, b)] == [len(lib.encode(t, add_special_tokens=False).ids) for t in (a, b)]
+    df = spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")
+    got = {r.doc_id: r for r in ngram_join.link_components(df).collect()}
+    assert [(got[k].component_id, got[k].n_copies) for k in (1, 2)] == [(1, 1), (2, 1)]
+    hits = {r.doc_id: r.n_hit for r in decontamination.decontaminate(df, spark.createDataFrame([(1, a)], "item_id int, text string")).collect()}
+    assert hits == {1: 1, 2: 0}
+    raw = np.frombuffer((a + b).encode(), np.uint8)
+    h = common.span_hash(common.prefix_hash(raw), np.array([0, len(a)]), np.array([len(a), len(raw)]))
+    assert h[0] != h[1]
+
+
+def test_span_hash_follows_the_bytes():
+    rng = np.random.default_rng(3)
+    raw = np.tile(rng.integers(0, 256, 300).astype(np.uint8), 3)
+    prefix = common.prefix_hash(raw)
+    start, size = np.arange(0, 250), 40
+    h = [common.span_hash(prefix, start + k * 300, start + k * 300 + size) for k in range(3)]
+    assert (h[0] == h[1]).all() and (h[0] == h[2]).all() and len(set(h[0].tolist())) == len(start)
+
+
 def test_token_counts_query(spark, small):
     lib = library("word_bpe_49k.json")
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
