@@ -1,14 +1,14 @@
-"""Shared plumbing: shared-folder checkpoints, byte-bounded Arrow slices and vectorised word hashing."""
+"""Shared plumbing: shared-folder checkpoints, byte-bounded Arrow slices, words and their hashes."""
 
 from __future__ import annotations
 
-import gc
-import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,9 +23,10 @@ SPACES[[0x20, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_P = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
-_P_INV = pow(_P, -1, 1 << 64)
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Two polynomial hashes modulo a prime, so no text is known to collide with another by the shape of its letters alone.
+_M = np.uint64((1 << 31) - 1)
+_BASES = (1_412_358_601, 768_934_273)
+_powers = np.ones((4, 1), np.uint32)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,37 +34,55 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; only where none is set, a local one of this machine."""
+    """The folder that spark.checkpoint.dir names; where none is set, one in the warehouse, which executors share too."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="pulsefield-"))
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/checkpoints")
     return context._jsc.sc().getCheckpointDir().get()
 
 
+@contextmanager
+def clean_shuffles(spark: SparkSession):
+    """Plans that run meanwhile delete their shuffle files as they end, as nothing reads them again."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder that the session names."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    with clean_shuffles(df.sparkSession):
+        return df.select("*").checkpoint()  # a plan of its own, made under the setting
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """Cut lineage with a Parquet table in the shared folder; denser than a checkpoint where rows are many."""
+def stored(df: DataFrame) -> tuple[DataFrame, str]:
+    """Cut lineage with a Parquet table in the shared folder; denser than a checkpoint where rows are many. remove() it by its path."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    with clean_shuffles(df.sparkSession):
+        df.write.parquet(path)
+    return df.sparkSession.read.parquet(path), path
 
 
-def release(spark: SparkSession) -> None:
-    """Let the driver drop the shuffle files of plans that nothing refers to any more, instead of at its next collection."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table that stored() wrote, once nothing reads it any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1024) -> None:
-    """Texts can be long: rows in an Arrow batch between the JVM and Python, unless the session has its own number."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(rows))
+def small_batches(spark: SparkSession, rows: int = 1024, size: int = 8 << 20) -> None:
+    """Texts can be long: rows and bytes in an Arrow batch between the JVM and Python, unless the session has its own numbers.
+
+    Spark reads both as a plan runs, after the operator has returned it, so they stay set.
+    """
+    for key, default, own in (("maxRecordsPerBatch", "10000", str(rows)), ("maxBytesPerBatch", "67108864b", str(size))):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark._jsparkSession.conf().get(key) == default:
+            spark.conf.set(key, own)
 
 
 def slices(batch: pa.RecordBatch, text: int, most: int = STEP_BYTES, rows: int = 8192):
@@ -98,6 +117,15 @@ def map_text(df: DataFrame, make, fields: list[tuple[str, T.DataType]], text: st
     return src.mapInArrow(run, schema)
 
 
+def squeeze(x: np.ndarray) -> bytes:
+    """An array as compressed bytes that begin with their length."""
+    return x.nbytes.to_bytes(8, "little") + pa.compress(np.ascontiguousarray(x).view(np.uint8), "zstd", asbytes=True)
+
+
+def unsqueeze(raw: bytes, kind) -> np.ndarray:
+    return np.frombuffer(pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), "zstd", asbytes=True), kind)
+
+
 def pack(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts on end and the n+1 offsets; null is empty."""
     texts = pc.fill_null(texts, "").cast(pa.large_string())
@@ -107,14 +135,25 @@ def pack(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash base and of its inverse, modulo 2**64."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_P, _P_INV)):
-            x = np.full(n, np.uint64(base))
-            x[0] = 1
-            _powers[k] = np.multiply.accumulate(x)
-    return _powers[0][:n], _powers[1][:n]
+def fold(x: np.ndarray) -> np.ndarray:
+    """x modulo 2**31 - 1, for x below 2**62."""
+    x = (x & _M) + (x >> np.uint64(31))
+    x = (x & _M) + (x >> np.uint64(31))
+    return np.where(x >= _M, x - _M, x)
+
+
+def powers(n: int) -> np.ndarray:
+    """The first n powers of both bases and then of their inverses."""
+    global _powers
+    if _powers.shape[1] < n:
+        rows = []
+        for base in (*_BASES, *(pow(b, -1, int(_M)) for b in _BASES)):
+            x = np.ones(1, np.uint64)
+            while len(x) < n:
+                x = np.concatenate([x, fold(x[: n - len(x)] * np.uint64(pow(base, len(x), int(_M))))])
+            rows.append(x.astype(np.uint32))
+        _powers = np.stack(rows)
+    return _powers[:, :n]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -127,17 +166,23 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """n+1 prefix sums of a polynomial hash modulo 2**64 (see span_hash)."""
-    p, _ = powers(len(data))
-    out = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p, out=out[1:])
+    """n+1 prefix sums of each of the two polynomial hashes (see span_hash)."""
+    p = powers(len(data) + 1)
+    out = np.zeros((2, len(data) + 1), np.uint32)
+    letters = data.astype(np.uint64) + np.uint64(1)
+    for k in range(2):
+        out[k, 1:] = fold(np.cumsum(fold(letters * p[k, : len(data)])))
     return out
 
 
 def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans [start, end), the same wherever equal bytes stand."""
-    _, inv = powers(len(prefix))
-    return mix((prefix[end] - prefix[start]) * inv[start])
+    """Hashes of 62 bits of the spans [start, end), the same wherever equal bytes stand."""
+    p = powers(prefix.shape[1])
+    out = []
+    for k in range(2):
+        between = prefix[k][end].astype(np.uint64) + _M - prefix[k][start]
+        out.append(fold(fold(between) * p[2 + k][start]))
+    return mix(out[0] | out[1] << np.uint64(31))
 
 
 def words(data: np.ndarray, off: np.ndarray, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -155,11 +200,26 @@ def words(data: np.ndarray, off: np.ndarray, apart: np.ndarray) -> tuple[np.ndar
     return starts, ends, np.searchsorted(starts, off)
 
 
-def word_hashes(texts: pa.Array, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, A-Z lower-cased, and n+1 offsets."""
+def coded_words(texts: pa.Array, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Each word's place in the last result, n+1 word offsets of the texts, and the distinct words' bytes, A-Z lower-cased."""
     data, off = pack(texts)
     starts, ends, at = words(data, off, apart)
-    return span_hash(prefix_hash(LOWER[data]), starts, ends), at
+    letters = LOWER[data][~apart[data]]
+    bounds = np.concatenate([[0], np.cumsum(ends - starts)])
+    each = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(letters)])
+    each = each.dictionary_encode()
+    return each.indices.to_numpy(zero_copy_only=False), at, each.dictionary
+
+
+def hashes_of(distinct: pa.Array) -> np.ndarray:
+    """64-bit hashes of byte strings."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, distinct.to_pylist()), np.uint64, len(distinct))
+
+
+def word_hashes(texts: pa.Array, apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, A-Z lower-cased, and n+1 offsets."""
+    codes, off, distinct = coded_words(texts, apart)
+    return hashes_of(distinct)[codes], off
 
 
 def sums(x: np.ndarray, off: np.ndarray) -> np.ndarray:

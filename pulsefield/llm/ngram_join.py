@@ -9,18 +9,20 @@ partitions inside the join, then of two to four partitions a shingle, so that te
 
 A list of g copies is not g*g pairs: first, twice, each node is verified against a few neighbours in random orders of
 its lists and components are drawn; then every pair that shares a prefix shingle, passes the filters and still lies in
-two components is verified, so no link between components is lost.
+two components is verified, so no link between components is lost. A pair meets in the first list both are in, and in a
+later one only if their few lists before it have none in common; a pair that was verified is not verified again.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsefield.llm.common import BROADCAST_BYTES, LOWER, SPACES, checkpoint, mix, pack, prefix_hash, release, slices, small_batches, span_hash, words
+from pulsefield.llm.common import BROADCAST_BYTES, SPACES, checkpoint, mix, slices, small_batches, squeeze, unsqueeze, word_hashes
 from pulsefield.llm.components import connected_components
 
 #: Cells of the word and shingle sketches, and cells in one of their rows.
@@ -29,15 +31,15 @@ WORD_CELLS, CELLS, ROW = 1 << 22, 1 << 21, 1 << 14
 FAN_IN = 64
 #: Neighbours a node is verified against in a sparse round.
 NEIGHBOURS = 3
+#: A posting knows so many of its node's lists before it.
+BEFORE = 4
 FACTS = ("node", "pos", "comp", "n", "s0", "s1", "s2", "s3")
 
 
 def grams(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of all word n-grams (of the whole sequence if it is shorter), n+1 offsets, the words' hashes, and for each
     n-gram its first word's place and its text's end."""
-    data, boff = pack(texts)
-    starts, ends, off = words(data, boff, SPACES)
-    w = span_hash(prefix_hash(LOWER[data]), starts, ends)
+    w, off = word_hashes(texts, SPACES)
     size = np.diff(off)
     per = np.where(size >= n, size - n + 1, size > 0)
     to = np.concatenate([[0], np.cumsum(per)])
@@ -82,15 +84,6 @@ def in_order(h: np.ndarray, off: np.ndarray, code: np.ndarray | None = None) ->
     return o, d, np.searchsorted(d, np.arange(len(off)))
 
 
-def squeeze(counts: np.ndarray) -> bytes:
-    """A row of cells, most of them small or 0 in a small part of the corpus, as compressed bytes."""
-    return pa.compress(counts.astype("<u4").tobytes(), "zstd", asbytes=True)
-
-
-def unsqueeze(raw: bytes) -> np.ndarray:
-    return np.frombuffer(pa.decompress(raw, ROW * 4, "zstd", asbytes=True), "<u4")
-
-
 def sketch(df: DataFrame, n: int, text: str) -> np.ndarray:
     """Occurrences of words and then of shingles by hash cell over the whole corpus; sums go up a tree of tasks."""
     src = df.select(F.col(text).cast("string").alias("t"))
@@ -113,8 +106,8 @@ def sketch(df: DataFrame, n: int, text: str) -> np.ndarray:
     def add(group: pa.Table) -> pa.Table:
         total = np.zeros(ROW, np.uint64)
         for c in group.column("cells"):
-            total += unsqueeze(c.as_py())
-        capped = squeeze(np.minimum(total, (1 << 32) - 1))
+            total += unsqueeze(c.as_py(), np.uint32)
+        capped = squeeze(np.minimum(total, (1 << 32) - 1).astype(np.uint32))
         return pa.table({"row": group.column("row")[:1], "part": group.column("part")[:1], "cells": pa.array([capped], pa.binary())})
 
     out = src.mapInArrow(count, schema)
@@ -124,18 +117,23 @@ def sketch(df: DataFrame, n: int, text: str) -> np.ndarray:
         out = out.withColumn("part", F.expr(f"part div {FAN_IN}")).groupBy("row", "part").applyInArrow(add, schema)
     total = np.zeros(WORD_CELLS + CELLS, np.uint32)
     for r in out.collect():
-        total[r.row * ROW : (r.row + 1) * ROW] += unsqueeze(r.cells)
+        total[r.row * ROW : (r.row + 1) * ROW] += unsqueeze(r.cells, np.uint32)
     return total
 
 
 def node_rows(df: DataFrame, n: int, num: int, den: int, text: str, doc: str) -> DataFrame:
-    """doc, n, th and node of every row, with the set's parities s0..s3 (of 256 hash partitions) and sig (of 2n to 4n, a
+    """doc, n, th, node and twin (two hashes of the set) of every row, with the set's parities s0..s3 (of 256 hash partitions) and sig (of 2n to 4n, a
     power of two), and its prefix, rarest first. A task gives the prefix of equal sets once; the others' are empty."""
     codes = (256 * np.log2(1.0 + sketch(df, n, text))).astype(np.uint16)
     sent = df.sparkSession.sparkContext.broadcast(codes)
     src = df.select(F.col(doc).alias("doc"), F.xxhash64(text).alias("th"), F.col(text).cast("string").alias("t"))
     longs = T.ArrayType(T.LongType(), False)
-    schema = T.StructType([src.schema["doc"], src.schema["th"], T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), *(T.StructField(f"s{k}", T.LongType()) for k in range(4)), T.StructField("sig", T.BinaryType()), T.StructField("prefix", longs)])
+    schema = T.StructType([src.schema["doc"], src.schema["th"], T.StructField("n", T.LongType()), T.StructField("node", T.LongType()), T.StructField("twin", T.LongType()), *(T.StructField(f"s{k}", T.LongType()) for k in range(4)), T.StructField("sig", T.BinaryType()), T.StructField("prefix", longs)])
+
+    def total(v, at):
+        up = np.zeros(len(v) + 1, np.uint64)
+        np.cumsum(v, out=up[1:])
+        return up[at[1:]] - up[at[:-1]]
 
     def run(batches):
         codes, seen = sent.value, set()
@@ -144,9 +142,7 @@ def node_rows(df: DataFrame, n: int, num: int, den: int, text: str, doc: str) ->
                 h, off, w, first, last = grams(s.column(2), n)
                 o, d, at = in_order(h, off, rarity(codes, h, w, first, last, n))
                 x, size = h[o], np.diff(at)
-                print_ = np.zeros(len(x) + 1, np.uint64)
-                np.cumsum(mix(x ^ np.uint64(0x5851F42D4C957F2D)), out=print_[1:])
-                node = mix(print_[at[1:]] - print_[at[:-1]] + size.astype(np.uint64))
+                node, twin = (mix(total(mix(x ^ np.uint64(salt)), at) + size.astype(np.uint64)) for salt in (0x5851F42D4C957F2D, 0x9FB21C651E98DF25))
                 odd = np.bincount(d.astype(np.int64) * 256 + (x >> np.uint64(56)).astype(np.int64), minlength=256 * len(size)) & 1
                 sig = np.packbits(odd.astype(np.uint8).reshape(-1, 256), axis=1).view(np.int64).reshape(-1, 4)
                 width = 1 << np.ceil(np.log2(np.maximum(64, 2 * size))).astype(np.int64)
@@ -154,12 +150,12 @@ def node_rows(df: DataFrame, n: int, num: int, den: int, text: str, doc: str) ->
                 cell = (mix(x ^ np.uint64(0x2545F4914F6CDD1D)) & (width[d] - 1).astype(np.uint64)).astype(np.int64)
                 fine = np.packbits((np.bincount(base[d] + cell, minlength=base[-1]) & 1).astype(np.uint8))
                 fine = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer((base // 8).astype(np.int32)), pa.py_buffer(fine)])
-                first = np.array([not (k in seen or seen.add(k)) for k in node.tolist()], bool)
+                first = np.array([not (k in seen or seen.add(k)) for k in zip(node.tolist(), twin.tolist(), strict=True)], bool)
                 take = np.where((size > 0) & first, size - -(-num * size // den) + 1, 0)
                 to = np.concatenate([[0], np.cumsum(take)])
                 pick = np.repeat(at[:-1] - to[:-1], take) + np.arange(to[-1])
                 prefix = pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(x[pick].view(np.int64)), type=pa.list_(pa.field("element", pa.int64(), False)))
-                yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), pa.array(size, pa.int64()), pa.array(node.view(np.int64)), *(pa.array(sig[:, k].copy()) for k in range(4)), fine, prefix], names=schema.names)
+                yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), pa.array(size, pa.int64()), pa.array(node.view(np.int64)), pa.array(twin.view(np.int64)), *(pa.array(sig[:, k].copy()) for k in range(4)), fine, prefix], names=schema.names)
 
     return src.mapInArrow(run, schema)
 
@@ -171,16 +167,21 @@ def far_apart(pairs: DataFrame, attrs: DataFrame, num: int, den: int) -> DataFra
 
     def run(batches):
         for batch in batches:
-            ok = []
-            for m, n, x, y in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
-                x, y = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-                while len(x) > len(y):  # parities of half as many partitions
-                    x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-                while len(y) > len(x):
-                    y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-                least = -(-num * (m + n) // (num + den))
-                ok.append(int(np.bitwise_count(x ^ y).sum()) <= m + n - 2 * least)
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            m, n = (batch.column(k).to_numpy().astype(np.int64) for k in (2, 3))
+            width = np.stack([pc.binary_length(batch.column(k)).to_numpy().astype(np.int64) for k in (4, 5)])
+            low = width.min(0)
+            ok = np.zeros(len(m), bool)
+            for size in np.unique(low):
+                rows = np.flatnonzero(low == size)
+                bits = np.zeros((len(rows), size), np.uint8)
+                for k in (0, 1):
+                    for w in np.unique(width[k, rows]):  # parities of fewer partitions are those of more, added up
+                        some = np.flatnonzero(width[k, rows] == w)
+                        raw = b"".join(batch.column(4 + k).take(pa.array(rows[some])).to_pylist())
+                        bits[some] ^= np.bitwise_xor.reduce(np.frombuffer(raw, np.uint8).reshape(len(some), -1, size), axis=1)
+                least = -(-num * (m[rows] + n[rows]) // (num + den))
+                ok[rows] = np.bitwise_count(bits).sum(1, dtype=np.int64) <= m[rows] + n[rows] - 2 * least
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
 
     return both.mapInArrow(run, pairs.select("a", "b").schema)
 
@@ -220,6 +221,10 @@ def link_components(df: DataFrame, n: int = 3, num: int = 90, den: int = 100, te
     small_batches(df.sparkSession)
     rows = checkpoint(node_rows(df, n, num, den, text, doc))
     some = rows.where("n > 0")
+    clash = checkpoint(some.groupBy("node").agg(F.min("twin").alias("lo"), F.max("twin").alias("hi")).where("lo <> hi").select(F.col("node").alias("clash")))
+    if clash.limit(1).count():  # unequal sets under one hash go by their other one
+        apart = lambda t: t.join(clash, F.col("node") == F.col("clash"), "left").withColumn("node", F.when(F.col("clash").isNull(), F.col("node")).otherwise(F.col("twin"))).drop("clash")
+        rows, some = apart(rows), apart(some)
     reps = checkpoint(some.groupBy("node").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies")))
     lists = some.select("node", F.col("n").cast("int").alias("n"), F.posexplode("prefix").alias("pos", "h"))
     alone = Window.partitionBy("h")
@@ -228,11 +233,9 @@ def link_components(df: DataFrame, n: int = 3, num: int = 90, den: int = 100, te
     # A list's node without one of a size near its own has no partner there.
     lists = lists.where(f"lo <> hi and ({den} * less >= {num} * n or {den} * n >= {num} * more)")
     lists = checkpoint(lists.select("h", "node", "pos").distinct())
-    release(df.sparkSession)
     facts = some.select("node", "doc", "th", "n", "s0", "s1", "s2", "s3", "sig").join(lists.select(F.col("node").alias("id")).distinct(), F.col("node") == F.col("id")).drop("id")
     facts = facts.join(reps.select(F.col("node").alias("id"), "rep"), (F.col("node") == F.col("id")) & F.col("doc").eqNullSafe(F.col("rep"))).drop("id", "rep")
     attrs = checkpoint(facts.dropDuplicates(["node"]))
-    release(df.sparkSession)
     need = "({num} * (an + bn) + {both} - 1) div {both}".format(num=num, both=num + den)
     fits = " and ".join(
         [
@@ -242,8 +245,12 @@ def link_components(df: DataFrame, n: int = 3, num: int = 90, den: int = 100, te
         ]
     )
 
+    tried = None
+
     def check(pairs: DataFrame) -> DataFrame:
+        nonlocal tried
         pairs = checkpoint(pairs)
+        tried = pairs if tried is None else tried.union(pairs)
         ids = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         want = attrs.select("node", "doc", "th").join(ids, "node")
         want = checkpoint(want)
@@ -251,14 +258,15 @@ def link_components(df: DataFrame, n: int = 3, num: int = 90, den: int = 100, te
         src = df.select(F.col(doc).alias("d"), F.xxhash64(text).alias("h"), F.col(text).cast("string").alias("t"))
         texts = src.join(hint(want), (F.col("h") == F.col("th")) & F.col("d").eqNullSafe(F.col("doc"))).select("node", "t")
         out = checkpoint(verified(pairs, texts, n, num, den))
-        release(df.sparkSession)
         return out
 
     def met_pairs(met: DataFrame) -> DataFrame:
-        return met.select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b")).distinct()
+        """The pairs that met and have not been verified yet."""
+        new = met.select(F.least("anode", "bnode").alias("a"), F.greatest("anode", "bnode").alias("b")).distinct()
+        return new if tried is None else new.join(tried, ["a", "b"], "left_anti")
 
     def side(t: DataFrame, name: str) -> DataFrame:
-        return t.select("h", *[F.col(c).alias(name + c) for c in FACTS])
+        return t.select("h", *[F.col(c).alias(name + c) for c in FACTS], F.col("before").alias(name + "before"))
 
     def open_lists(comp: DataFrame | None) -> DataFrame:
         """Postings with their node's facts, of lists that touch more than one component."""
@@ -285,10 +293,12 @@ def link_components(df: DataFrame, n: int = 3, num: int = 90, den: int = 100, te
         found = check(pairs)
         links = found if links is None else links.union(found)
         comp = checkpoint(connected_components(links))
-    full = checkpoint(open_lists(comp))
+    # A pair of long sets shares many lists; it leaves those where both stood together a few places before.
+    order = Window.partitionBy("node").orderBy("pos", "h")
+    full = checkpoint(open_lists(comp).withColumn("before", F.array_compact(F.array(*[F.lag("h", k).over(order) for k in range(1, BEFORE + 1)]))))
     sizes = full.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("many")).groupBy("h").agg(F.max(F.struct("many", "comp")).alias("top")).select("h", F.col("top.comp").alias("top"))
     minor = side(full.join(sizes, "h").where("comp <> top"), "a")
-    left = minor.join(side(full, "b"), "h").where("acomp <> bcomp").where(fits)
+    left = minor.join(side(full, "b"), "h").where("acomp <> bcomp").where(fits).where("not arrays_overlap(abefore, bbefore)")
     found = check(far_apart(met_pairs(left), attrs, num, den))
     comp = checkpoint(connected_components(links.union(found)))
     of = reps.join(comp, "node", "left").select("node", "rep", "copies", F.coalesce("root", "node").alias("root"))
