@@ -1,11 +1,15 @@
 """Scores under a log-bilinear neural language model trained with noise-contrastive estimation.
 
-Word counts come from all training texts. The most frequent words are classes of their own and all others share one
-class, inside which words have their unigram probability; so the model is a proper distribution over all words. A
-context of two classes predicts q = c1 * r[first] + c2 * r[second], and a class scores q . t[class] + b[class]. Every
-task trains on all its training tokens from one start (noise samples are shared by a minibatch, so scores are matrix
-products) and the weighted mean of the tasks' models is the model. Normalisers of all contexts are computed once in
-batched matrix products.
+Word counts come from all training texts. The most frequent V**(2/3) of V words are leaves of the model, dealt by
+frequency into about as many groups as a group has leaves; every other word belongs to one of as many shapes, by its
+last letters and length, inside which it has its unigram probability. A context of two tokens predicts
+q = c1 * r[first] + c2 * r[second]; groups and shapes score q . t[class] + b[class], and the leaves of a group likewise,
+so a token's probability is that of its class times its own inside, and the model is a proper distribution over all
+words. Both levels are trained by noise-contrastive estimation and normalised exactly by batched matrix products.
+
+Training texts are dealt by a hash into shards, as many as their tokens ask for. Each shard trains a model on all its
+tokens in the order of that hash, from one start, and the weighted mean of the shards' models is the model; so scores do
+not depend on how the table is partitioned.
 """
 
 from __future__ import annotations
@@ -19,71 +23,82 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsefield.llm.common import LOWER, SPACES, mix, pack, prefix_hash, slices, small_batches, span_hash, stored, words
+from pulsefield.llm.common import SPACES, checkpoint, coded_words, hashes_of, mix, remove, slices, small_batches, squeeze, stored, unsqueeze
 
-#: Most frequent words whose counts every task holds; all others get theirs over a join.
+#: Most frequent words whose counts every task holds (all leaves at least); all others get theirs over a join.
 HEAD = 1 << 20
-CLASSES, WIDTH = 512, 16
-BATCH, NOISE, RATE = 2048, 64, 0.08
+WIDTH = 16
+BATCH, NOISE, WITHIN, RATE = 2048, 64, 5, 0.2
+#: Training tokens of a shard, and of a draw of minibatches in it.
+SHARD, DRAW = 1 << 22, 1 << 18
 END = mix(np.array([0xE4D], np.uint64))[0]
-FAN_IN = 64
+FAN_IN = 8
 
 
-def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of each text and then END, and n+1 offsets."""
-    data, boff = pack(texts)
-    starts, ends, off = words(data, boff, SPACES)
-    h = span_hash(prefix_hash(LOWER[data]), starts, ends)
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes of each text and then END, their shapes, and n+1 offsets."""
+    codes, off, distinct = coded_words(texts, SPACES)
     n = len(off) - 1
-    out = np.full(len(h) + n, END, np.uint64)
-    out[np.arange(len(h)) + np.repeat(np.arange(n), np.diff(off))] = h
-    return out, off + np.arange(n + 1)
+    at = np.arange(len(codes)) + np.repeat(np.arange(n), np.diff(off))
+    h, shape = np.full(len(codes) + n, END, np.uint64), np.zeros(len(codes) + n, np.int32)
+    h[at], shape[at] = hashes_of(distinct)[codes], shapes_of(distinct)[codes]
+    return h, shape, off + np.arange(n + 1)
+
+
+def shapes_of(distinct: pa.Array) -> np.ndarray:
+    """A number for the last two bytes and the length (up to 15) of each word, scattered over 20 bits."""
+    size = pc.binary_length(distinct).to_numpy(zero_copy_only=False).astype(np.int64)
+    end = np.cumsum(size)
+    data = np.frombuffer(b"".join(distinct.to_pylist()), np.uint8).astype(np.uint64)
+    last = [np.where(size > k, data[np.maximum(end - 1 - k, 0)], 0) if len(data) else np.zeros(len(size), np.uint64) for k in (0, 1)]
+    return (mix(last[0] << np.uint64(16) | last[1] << np.uint64(8) | np.minimum(size, 15).astype(np.uint64)) >> np.uint64(44)).astype(np.int32)
 
 
 def count_words(df: DataFrame) -> DataFrame:
-    """h, c: training occurrences of each word hash. df: t, held."""
+    """h, shape, c: training occurrences of each word hash. df: t, held."""
 
     def run(batches):
-        keys, counts, held = [], [], 0
+        keys, shapes, counts, held = [], [], [], 0
 
         def merged():
-            k, c = np.concatenate(keys), np.concatenate(counts)
-            k, back = np.unique(k, return_inverse=True)
-            return k, np.bincount(back, c).astype(np.int64)
+            k, s, c = np.concatenate(keys), np.concatenate(shapes), np.concatenate(counts)
+            k, first, back = np.unique(k, return_index=True, return_inverse=True)
+            return k, s[first], np.bincount(back, c).astype(np.int64)
 
-        def batch_of(k, c):
-            return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c)], names=["h", "c"])
+        def batch_of(k, s, c):
+            return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(s), pa.array(c)], names=["h", "shape", "c"])
 
         for batch in batches:
             batch = batch.filter(pc.invert(batch.column(1)))
             for s in slices(batch, 0, 4 << 20):
-                k, c = np.unique(tokens(s.column(0))[0], return_counts=True)
+                h, shape, _ = tokens(s.column(0))
+                k, first, c = np.unique(h, return_index=True, return_counts=True)
                 keys.append(k)
+                shapes.append(shape[first])
                 counts.append(c.astype(np.int64))
                 held += len(k)
             if held > 2_000_000:
-                k, c = merged()
+                k, s, c = merged()
                 if len(k) > 1_000_000:
-                    yield batch_of(k, c)
-                    keys, counts, held = [], [], 0
+                    yield batch_of(k, s, c)
+                    keys, shapes, counts, held = [], [], [], 0
                 else:
-                    keys, counts, held = [k], [c], len(k)
+                    keys, shapes, counts, held = [k], [s], [c], len(k)
         if keys:
             yield batch_of(*merged())
 
-    return df.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    return df.mapInArrow(run, "h long, shape int, c long").groupBy("h").agg(F.max("shape").alias("shape"), F.sum("c").alias("c"))
 
 
 class Head:
-    """The most frequent words: sorted hashes with counts and classes, found by their top bits."""
+    """The most frequent words: sorted hashes with counts and leaves (-1: none), found by their top bits."""
 
-    def __init__(self, h: np.ndarray, c: np.ndarray, classes: int):
+    def __init__(self, h: np.ndarray, c: np.ndarray, shape: np.ndarray, leaves: int):
         order = np.argsort(h)
-        self.h, self.c = h[order], c[order]
-        first = np.lexsort((self.h, -self.c))[: classes - 1]  # class 0 is every other word
-        self.cls = np.zeros(len(h), np.int32)
-        self.cls[first] = np.arange(1, len(first) + 1)
-        self.n_classes = len(first) + 1
+        self.h, self.c, self.shape = h[order], c[order], shape[order]
+        self.top = np.lexsort((self.h, -self.c))[:leaves]
+        self.leaf = np.full(len(h), -1, np.int32)
+        self.leaf[self.top] = np.arange(len(self.top))
         at = np.searchsorted(self.h, np.arange(1 << 20, dtype=np.uint64) << np.uint64(44))
         self.first = np.append(at, len(h)).astype(np.int32)
         self.most = int(np.diff(self.first).max()) if len(h) else 0
@@ -106,39 +121,77 @@ class Head:
 
 
 class Bilinear:
-    def __init__(self, unigram: np.ndarray, seed: int = 3):
+    """Leaves 0 to len(counts) - 1 by falling count, in groups, and then shapes; both are classes."""
+
+    def __init__(self, counts: np.ndarray, shape_mass: np.ndarray, seed: int = 3):
         rng = np.random.default_rng(seed)
-        k = len(unigram)
-        self.noise = unigram
-        self.p = [rng.normal(0, 0.1, (k, WIDTH)).astype(np.float32), rng.normal(0, 0.1, (k, WIDTH)).astype(np.float32), np.log(unigram).astype(np.float32), np.ones(WIDTH, np.float32), np.full(WIDTH, 0.5, np.float32)]
+        k, n_shapes = len(counts), len(shape_mass)
+        mass = np.sqrt(counts)  # so that groups of frequent words are small
+        n = max(1, math.isqrt(k))
+        group = np.minimum((np.cumsum(mass) - mass) * n // max(1e-9, mass.sum()), n - 1).astype(np.int64) if k else np.zeros(0, np.int64)
+        _, self.group = np.unique(group, return_inverse=True)
+        self.n_groups = int(self.group.max()) + 1 if k else 0
+        self.first = np.searchsorted(self.group, np.arange(self.n_groups + 1))
+        self.cls = np.concatenate([self.group, self.n_groups + np.arange(n_shapes)]).astype(np.int32)
+        of_group = np.bincount(self.group, counts, self.n_groups)
+        self.noise = np.concatenate([of_group, shape_mass])
+        self.noise = self.noise / self.noise.sum()
+        self.inner = counts / of_group[self.group] if k else np.zeros(0)
+        self.cum = np.concatenate([[0.0], np.cumsum(counts)])
+        self.size = np.diff(self.first)
+        draw = lambda n: rng.normal(0, 0.1, (n, WIDTH)).astype(np.float32)
+        # contexts r, classes t and b, leaves u and a, and the weights of the two places
+        self.p = [draw(k + n_shapes), draw(len(self.noise)), np.log(self.noise).astype(np.float32), draw(k), np.log(self.inner).astype(np.float32), np.ones(WIDTH, np.float32), np.full(WIDTH, 0.5, np.float32)]
         self.g = [np.full(x.shape, 0.1, np.float32) for x in self.p]
 
+    def move(self, k: int, ids: np.ndarray, grad: np.ndarray, n: int) -> None:
+        """Adagrad on the rows of a parameter that a minibatch touched."""
+        rows, back = np.unique(ids, return_inverse=True)
+        if grad.ndim == 1:
+            g = np.bincount(back, grad, len(rows))
+        else:
+            g = np.stack([np.bincount(back, grad[:, d], len(rows)) for d in range(grad.shape[1])], 1)
+        g = (g / n).astype(np.float32)
+        s = self.g[k][rows] + g * g * 400
+        self.g[k][rows] = s
+        self.p[k][rows] += RATE * g * 20 / np.sqrt(s)
+
     def step(self, c1: np.ndarray, c2: np.ndarray, w: np.ndarray, rng) -> None:
-        """One minibatch of noise-contrastive estimation with Adagrad."""
-        r, t, b, m1, m2 = self.p
-        k = len(b)
-        noise = rng.choice(k, NOISE, p=self.noise)
+        """One minibatch of noise-contrastive estimation: of classes against shared noise, of leaves inside their groups."""
+        r, t, b, u, a, m1, m2 = self.p
+        n = len(w)
         lk = np.log(NOISE * self.noise).astype(np.float32)
-        r1, r2 = r[c1], r[c2]
+        noise = rng.choice(len(b), NOISE, p=self.noise)
+        r1, r2, cls = r[c1], r[c2], self.cls[w]
         q = r1 * m1 + r2 * m2
-        tw, tn = t[w], t[noise]
-        up = 1 / (1 + np.exp(np.clip((q * tw).sum(1) + b[w] - lk[w], -30, 30)))  # 1 - P(data)
+        tw, tn = t[cls], t[noise]
+        up = 1 / (1 + np.exp(np.clip((q * tw).sum(1) + b[cls] - lk[cls], -30, 30)))  # 1 - P(data)
         down = 1 / (1 + np.exp(-np.clip(q @ tn.T + b[noise] - lk[noise], -30, 30)))  # P(data) of noise
         dq = up[:, None] * tw - down @ tn
-        n = np.float32(1 / len(w))
-        col = lambda ids, v: np.stack([np.bincount(ids, v[:, d], k) for d in range(WIDTH)], 1)
-        gt = col(w, up[:, None] * q)
-        np.add.at(gt, noise, -(down.T @ q))
-        gb = np.bincount(w, up, k)
-        np.add.at(gb, noise, -down.sum(0))
-        gr = col(c1, dq * m1) + col(c2, dq * m2)
-        for x, s, g in zip(self.p, self.g, (gr, gt, gb, (dq * r1).sum(0), (dq * r2).sum(0)), strict=True):
-            g = g.astype(np.float32) * n
-            s += g * g * 400
-            x += RATE * g * 20 / np.sqrt(s)
+        moves = [(1, np.concatenate([cls, noise]), np.concatenate([up[:, None] * q, -(down.T @ q)])), (2, np.concatenate([cls, noise]), np.concatenate([up, -down.sum(0)]))]
+        own = np.flatnonzero(w < len(u))
+        own = own[self.size[self.cls[w[own]]] > 1]
+        if len(own):
+            x, g = w[own], self.cls[w[own]]
+            low, high = self.cum[self.first[g]], self.cum[self.first[g + 1]]
+            other = np.searchsorted(self.cum, low[:, None] + rng.random((len(own), WITHIN)) * (high - low)[:, None], "right") - 1
+            other = np.clip(other, self.first[g][:, None], self.first[g + 1][:, None] - 1)
+            z, ux, un = q[own], u[x], u[other]
+            li = np.log(WITHIN * self.inner).astype(np.float32)
+            up = 1 / (1 + np.exp(np.clip((z * ux).sum(1) + a[x] - li[x], -30, 30)))
+            down = 1 / (1 + np.exp(-np.clip(np.matmul(un, z[:, :, None])[:, :, 0] + a[other] - li[other], -30, 30)))
+            dq[own] += up[:, None] * ux - np.matmul(down[:, None, :], un)[:, 0, :]
+            ids = np.concatenate([x, other.ravel()])
+            moves += [(3, ids, np.concatenate([up[:, None] * z, -(down[:, :, None] * z[:, None, :]).reshape(-1, WIDTH)])), (4, ids, np.concatenate([up, -down.ravel()]))]
+        moves.append((0, np.concatenate([c1, c2]), np.concatenate([dq * m1, dq * m2])))
+        places = [(dq * r1).sum(0), (dq * r2).sum(0)]
+        for k, ids, grad in moves:
+            self.move(k, ids, grad, n)
+        for k, grad in zip((5, 6), places, strict=True):
+            self.move(k, np.arange(WIDTH), grad, n)
 
     def flat(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in self.p]).astype(np.float64)
+        return np.concatenate([x.ravel() for x in self.p])
 
     def load(self, flat: np.ndarray) -> None:
         at = 0
@@ -146,86 +199,112 @@ class Bilinear:
             self.p[i] = flat[at : at + x.size].reshape(x.shape).astype(np.float32)
             at += x.size
 
-    def normalise(self) -> None:
-        """Log normalisers of all pairs of context classes."""
-        r, t, b, m1, m2 = self.p
-        k = len(b)
-        self.logz = np.empty((k, k), np.float32)
-        for c in range(k):
-            s = (r[c] * m1 + r * m2) @ t.T + b
-            top = s.max(1)
-            self.logz[c] = top + np.log(np.exp(s - top[:, None]).sum(1))
-
     def log10(self, c1: np.ndarray, c2: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """Normalised log10 probability of class w after c2, c1 (c1 is the nearer)."""
-        r, t, b, m1, m2 = self.p
+        """Normalised log10 probability of the class, and for a leaf of the leaf, after c2, c1 (c1 is the nearer)."""
+        r, t, b, u, a, m1, m2 = self.p
         out = np.empty(len(w))
-        for i in range(0, len(w), 1 << 16):
-            a, c, x = c1[i : i + (1 << 16)], c2[i : i + (1 << 16)], w[i : i + (1 << 16)]
-            out[i : i + (1 << 16)] = ((r[a] * m1 + r[c] * m2) * t[x]).sum(1) + b[x] - self.logz[a, c]
+
+        def log_softmax(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+            top = s.max(1)
+            return s[np.arange(len(s)), at] - top - np.log(np.exp(s - top[:, None]).sum(1))
+
+        for i in range(0, len(w), 1 << 14):
+            x = w[i : i + (1 << 14)]
+            out[i : i + len(x)] = log_softmax((r[c1[i : i + len(x)]] * m1 + r[c2[i : i + len(x)]] * m2) @ t.T + b, self.cls[x])
+        own = np.flatnonzero(w < len(u))
+        own = own[np.argsort(self.cls[w[own]], kind="stable")]
+        g = self.cls[w[own]]
+        for rows in np.split(own, np.flatnonzero(np.diff(g)) + 1) if len(own) else []:
+            k = self.cls[w[rows[0]]]
+            lo, hi = self.first[k], self.first[k + 1]
+            step = max(1, (1 << 22) // (hi - lo))
+            for i in range(0, len(rows) if hi - lo > 1 else 0, step):
+                o = rows[i : i + step]
+                out[o] += log_softmax((r[c1[o]] * m1 + r[c2[o]] * m2) @ u[lo:hi].T + a[lo:hi], w[o] - lo)
         return out / math.log(10)
 
 
-def classes_of(head: Head, h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Head places, and class of each token and of the two before it (END's before a text's start)."""
-    at = head.find(h)
-    cls = np.where(at >= 0, head.cls[at], 0) if len(head.h) else np.zeros(len(h), np.int32)
-    end = int(cls[off[1] - 1]) if len(off) > 1 and len(cls) else 0
+def contexts(w: np.ndarray, off: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """The token before each one and the token before that; `end` before a text's start."""
     before = []
     for k in (1, 2):
-        c = np.full(len(cls), end, np.int32)
-        c[k:] = cls[: len(cls) - k]
+        c = np.full(len(w), end, np.int32)
+        c[k:] = w[: len(w) - k]
         for j in range(k):
             p = off[:-1] + j
             c[p[p < off[1:]]] = end
         before.append(c)
-    return at, cls, before[0], before[1]
+    return before[0], before[1]
 
 
-def train(df: DataFrame, head_sent, unigram: np.ndarray) -> Bilinear:
-    """The token-weighted mean of the models that tasks train on all their training texts; sums go up a tree of tasks."""
-    size = len(Bilinear(unigram).flat())
+def train(rows: DataFrame, start, end: int, n_tokens: int, shard_tokens: int) -> np.ndarray | None:
+    """The token-weighted mean of the shards' models, None without tokens. rows: key, ids of all training texts; start: the broadcast first model."""
+    n_shards = max(1, n_tokens // shard_tokens)
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(n_shards))).repartition(n_shards, "part").sortWithinPartitions("part", "key")
 
     def run(batches):
-        head, model = head_sent.value, Bilinear(unigram)
-        from pyspark import TaskContext
+        model, part, seen, held, rng = None, None, 0, [], None
+
+        def learn():
+            off = np.concatenate([[0], np.cumsum([len(x) for x in held])])
+            w = np.concatenate(held)
+            c1, c2 = contexts(w, off, end)
+            order = rng.permutation(len(w))
+            for i in range(0, len(order), BATCH):
+                o = order[i : i + BATCH]
+                model.step(c1[o], c2[o], w[o], rng)
+            return len(w)
+
+        def done():
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([float(seen)]), pa.array([squeeze(model.flat())], pa.binary())], names=["part", "weight", "v"])
 
-        part = TaskContext.get().partitionId()
-        rng, seen = np.random.default_rng(part), 0
         for batch in batches:
-            batch = batch.filter(pc.invert(batch.column(1)))
-            for s in slices(batch, 0):
-                h, off = tokens(s.column(0))
-                _, w, c1, c2 = classes_of(head, h, off)
-                order = rng.permutation(len(w))
-                for i in range(0, len(order), BATCH):
-                    o = order[i : i + BATCH]
-                    model.step(c1[o], c2[o], w[o], rng)
-                seen += len(w)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([np.append(model.flat() * seen, float(seen)).tobytes()], pa.binary())], names=["part", "v"])
+            for p, ids in zip(batch.column("part").to_pylist(), batch.column("ids").to_pylist(), strict=True):
+                if p != part:
+                    if part is not None:
+                        seen += learn() if held else 0
+                        yield done()
+                    model, part, seen, held, rng = start.value(), p, 0, [], np.random.default_rng(p)
+                held.append(unsqueeze(ids, np.int32))
+                if sum(map(len, held)) >= DRAW:
+                    seen += learn()
+                    held = []
+        if part is not None:
+            seen += learn() if held else 0
+            yield done()
+
+    def mean(weights: list[float], models: list[np.ndarray]) -> np.ndarray:
+        total = np.zeros(len(models[0]))
+        for w, v in zip(weights, models, strict=True):
+            total += w * v
+        return (total / sum(weights)).astype(np.float32)
 
     def add(group: pa.Table) -> pa.Table:
-        total = np.zeros(size + 1)
-        for c in group.column("v"):
-            total += np.frombuffer(c.as_buffer())
-        return pa.table({"part": group.column("part")[:1], "v": pa.array([total.tobytes()], pa.binary())})
-
-    out, parts = df.mapInArrow(run, "part long, v binary"), df.rdd.getNumPartitions()
-    while parts > FAN_IN:
-        parts = -(-parts // FAN_IN)
-        out = out.withColumn("part", F.expr(f"part div {FAN_IN}")).groupBy("part").applyInArrow(add, "part long, v binary")
-    total = np.zeros(size + 1)
-    for r in out.collect():  # at most FAN_IN models
-        total += np.frombuffer(r.v)
-    model = Bilinear(unigram)
-    if total[-1]:
-        model.load(total[:-1] / total[-1])
-    model.normalise()
-    return model
-
-
-def score(df: DataFrame, held: Column, text: str = "text", doc: str = "doc_id", head: int = HEAD, classes: int = CLASSES) -> DataFrame:
+        group = group.sort_by("part")
+        weights = group.column("weight").to_pylist()
+        v = mean(weights, [unsqueeze(c, np.float32) for c in group.column("v").to_pylist()])
+        return pa.table({"part": group.column("part")[:1], "weight": [sum(weights)], "v": pa.array([squeeze(v)], pa.binary())})
+
+    schema = "part long, weight double, v binary"
+    out = dealt.select("part", "ids").mapInArrow(run, schema)
+    while n_shards > FAN_IN:
+        n_shards = -(-n_shards // FAN_IN)
+        out = out.withColumn("part", F.expr(f"part div {FAN_IN}")).groupBy("part").applyInArrow(add, schema)
+    got = sorted(out.collect(), key=lambda r: r.part)  # at most FAN_IN models
+    return mean([r.weight for r in got], [unsqueeze(r.v, np.float32) for r in got]) if got else None
+
+
+class Start:
+    """Makes the model that every shard starts from."""
+
+    def __init__(self, counts: np.ndarray, shape_mass: np.ndarray):
+        self.counts, self.shape_mass = counts, shape_mass
+
+    def __call__(self) -> Bilinear:
+        return Bilinear(self.counts, self.shape_mass)
+
+
+def score(df: DataFrame, held: Column, text: str = "text", doc: str = "doc_id", head: int = HEAD, shard_tokens: int = SHARD) -> DataFrame:
     """doc, held_out, n_tokens, n_known, train_tokens, base_score and score of every row; rows not `held` are learned from.
 
     Null and empty texts are one END token; a null `held` counts as training; repeated rows stay and count as often;
@@ -234,40 +313,48 @@ def score(df: DataFrame, held: Column, text: str = "text", doc: str = "doc_id",
     """
     spark = df.sparkSession
     small_batches(spark)
-    src = df.select(F.col(text).cast("string").alias("t"), F.coalesce(held, F.lit(False)).alias("held"), F.col(doc).alias("doc"), F.monotonically_increasing_id().alias("rid"))
-    plain = df.select(F.col(text).cast("string").alias("t"), F.coalesce(held, F.lit(False)).alias("held"))
-    counts = stored(count_words(plain))
+    src = df.select(F.col(text).cast("string").alias("t"), F.coalesce(held, F.lit(False)).alias("held"), F.col(doc).alias("doc"), F.xxhash64(text).alias("key"), F.monotonically_increasing_id().alias("rid"))
+    counts, counted = stored(count_words(src.select("t", "held")))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
+    leaves = min(v, max(256, math.ceil(v ** (2 / 3))))
+    n_shapes = max(16, math.isqrt(leaves))
     level = F.floor(F.log2("c") * 16)
-    least, room = 0, head
+    least, taken = 0, 0
     for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # some hundred levels
-        room -= r["count"]
-        if room < 0:
+        if taken >= leaves and taken + r["count"] > head:
             least = r.level + 1
             break
+        taken += r["count"]
     top = counts.where(level >= least).toArrow()
-    top = Head(top.column("h").to_numpy().astype(np.int64).view(np.uint64), top.column("c").to_numpy().astype(np.int64), classes)
+    top = Head(top.column("h").to_numpy().astype(np.int64).view(np.uint64), top.column("c").to_numpy().astype(np.int64), top.column("shape").to_numpy().astype(np.int64), leaves)
     head_sent = spark.sparkContext.broadcast(top)
-    own = np.zeros(top.n_classes)
-    own[top.cls] = top.c + 0.1
     whole = n + 0.1 * (v + 1)
-    own[0] = max(1e-9, whole - own[1:].sum())
-    unigram = own / own.sum()
-    model = spark.sparkContext.broadcast(train(plain, head_sent, unigram))
+    # What words that are no leaves weigh, by shape; each shape has room for one word that no training text has.
+    shape_mass = np.full(n_shapes, 0.1)
+    for r in counts.groupBy((F.col("shape") % n_shapes).alias("s")).agg((F.sum("c") + 0.1 * F.count(F.lit(1))).alias("m")).collect():
+        shape_mass[r.s] += r.m
+    np.subtract.at(shape_mass, top.shape[top.top] % n_shapes, top.c[top.top] + 0.1)
+    shape_mass = np.maximum(shape_mass, 0.1)
 
     longs, ints = T.ArrayType(T.LongType(), False), T.ArrayType(T.IntegerType(), False)
-    names = [("n_tokens", T.LongType()), ("known", T.LongType()), ("base", T.DoubleType()), ("inside", T.DoubleType()), ("n_other", T.LongType()), ("lm", T.DoubleType()), ("hs", longs), ("ns", ints)]
-    schema = T.StructType([src.schema["rid"], src.schema["doc"], src.schema["held"], *(T.StructField(a, b) for a, b in names)])
+    names = [("n_tokens", T.LongType()), ("known", T.LongType()), ("base", T.DoubleType()), ("inside", T.DoubleType()), ("ids", T.BinaryType()), ("hs", longs), ("ns", ints)]
+    schema = T.StructType([src.schema["rid"], src.schema["key"], src.schema["doc"], src.schema["held"], *(T.StructField(a, b) for a, b in names)])
 
-    def run(batches):
-        head, lm = head_sent.value, model.value
+    def encode(batches):
+        """Token ids, sums of log10 counts of words in the head (base; inside: those that are no leaves), and the other words."""
+        head = head_sent.value
         logs = np.log10(head.c + 0.1)
+        of_shape = np.log10(shape_mass)
         for batch in batches:
-            for s in slices(batch, 0):
-                h, off = tokens(s.column(0))
-                at, cls, c1, c2 = classes_of(head, h, off)
+            for s in slices(batch, 0, 1 << 20):
+                h, shape, off = tokens(s.column(0))
+                at = head.find(h)
                 rows = off[:-1]
                 base = np.where(at >= 0, logs[at], 0.0) if len(logs) else np.zeros(len(h))
+                w = np.where(at >= 0, head.leaf[at], -1) if len(logs) else np.full(len(h), -1, np.int32)
+                other = w < 0
+                w = np.where(other, leaves + shape % n_shapes, w).astype(np.int32)
+                inside = np.where(other, base - of_shape[shape % n_shapes], 0.0)
                 lost = np.flatnonzero(at < 0)
                 doc = np.searchsorted(off, lost, "right") - 1
                 o = np.lexsort((h[lost], doc))
@@ -278,24 +365,54 @@ def score(df: DataFrame, held: Column, text: str = "text", doc: str = "doc_id",
                 to = pa.array(np.searchsorted(d[first], np.arange(len(off))), pa.int32())
                 of = lambda values, kind: pa.ListArray.from_arrays(to, values, type=pa.list_(pa.field("element", kind, False)))
                 total = lambda z: pa.array(np.add.reduceat(z, rows) if len(rows) else z)
+                ids = pa.array([squeeze(w[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [s.column(3), s.column(2), s.column(1), pa.array(np.diff(off)), total((at >= 0).astype(np.int64)), total(base), total(np.where(cls == 0, base, 0.0)), total((cls == 0).astype(np.int64)), total(lm.log10(c1, c2, cls)), of(pa.array(x[first].view(np.int64)), pa.int64()), of(pa.array(many, pa.int32()), pa.int32())],
+                    [s.column(4), s.column(3), s.column(2), s.column(1), pa.array(np.diff(off)), total((at >= 0).astype(np.int64)), total(base), total(inside), ids, of(pa.array(x[first].view(np.int64)), pa.int64()), of(pa.array(many, pa.int32()), pa.int32())],
                     names=schema.names,
                 )
 
-    rows = stored(src.mapInArrow(run, schema))
+    rows, encoded = stored(src.mapInArrow(encode, schema))
+    end = int(top.leaf[top.find(np.array([END], np.uint64))[0]]) if n else 0
+    end = end if end >= 0 else leaves
+    start = spark.sparkContext.broadcast(Start(top.c[top.top] + 0.1, shape_mass))
+    learned = train(rows.where("not held").select("key", "ids"), start, end, n, shard_tokens)
+    model = Start(top.c[top.top] + 0.1, shape_mass)()
+    if learned is not None:
+        model.load(learned)
+    model.g = []
+    model_sent = spark.sparkContext.broadcast(model)
+
+    judged = rows.select("rid", "doc", "held", "n_tokens", "known", "base", "inside", "ids")
+    keep = judged.columns[:-1]
+    with_lm = T.StructType([*(judged.schema[c] for c in keep), T.StructField("lm", T.DoubleType())])
+
+    def judge(batches):
+        for batch in batches:
+            got = [unsqueeze(x, np.int32) for x in batch.column("ids").to_pylist()]
+            off = np.concatenate([[0], np.cumsum([len(x) for x in got])]).astype(np.int64)
+            out, at = np.zeros(len(got)), 0
+            while at < len(got):  # about a million tokens at a time
+                to = max(at + 1, int(np.searchsorted(off, off[at] + (1 << 20), "right")) - 1)
+                w, o = np.concatenate(got[at:to]), off[at : to + 1] - off[at]
+                out[at:to] = np.add.reduceat(model_sent.value.log10(*contexts(w, o, end), w), o[:-1])
+                at = to
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out)], names=with_lm.names)
+
     rare = rows.select("rid", F.explode(F.arrays_zip("hs", "ns")).alias("x")).select("rid", F.col("x.hs").alias("h"), F.col("x.ns").alias("m"))
-    rare = rare.join(counts.where(level < least), "h", "left")
+    rare = rare.join(counts.where(level < least).select("h", "c"), "h", "left")
     rare = rare.groupBy("rid").agg(F.sum(F.col("m") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1).cast("double"))).alias("s"), F.sum(F.when(F.col("c").isNotNull(), F.col("m")).otherwise(0)).alias("k"))
-    out = rows.drop("hs", "ns").join(rare.withColumnRenamed("rid", "id"), F.col("rid") == F.col("id"), "left")
+    out = judged.mapInArrow(judge, with_lm).join(rare.withColumnRenamed("rid", "id"), F.col("rid") == F.col("id"), "left")
     s = F.coalesce("s", F.lit(0.0))
-    den, other = math.log10(whole), math.log10(unigram[0])
-    return out.select(
+    out = out.select(
         F.col("doc").alias(doc),
         F.col("held").alias("held_out"),
         "n_tokens",
         (F.col("known") + F.coalesce("k", F.lit(0))).cast("long").alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("base") + s - F.col("n_tokens") * den).alias("base_score"),
-        (F.col("lm") + F.col("inside") + s - F.col("n_other") * (den + other)).alias("score"),
+        (F.col("base") + s - F.col("n_tokens") * math.log10(whole)).alias("base_score"),
+        ((F.col("lm") + F.col("inside") + s) if n else F.lit(0.0)).alias("score"),
     )
+    out = checkpoint(out)
+    for path in (counted, encoded):
+        remove(spark, path)
+    return out
