@@ -7,8 +7,10 @@ quicksort down to a shallow depth, then blind tries for what still shares a pref
 up intervals from the longest down; as two intervals meet, each suffix of the smaller looks at its neighbours in the
 other by left context, which finds for every suffix how far some match reaches to each side.
 
-A group of more than HOT suffixes is not sorted in one task: the hashes of all its windows are counted instead, with
-partial sums, which gives the same bytes.
+Suffixes with equal bytes all around (by hash) need no sorting: what is around them repeats as a whole, and one of them
+stands for all in its group; so a group grows with its different surroundings, not with its copies. A group of more than
+HOT of these is not sorted in one task: the 128-bit digests of all its windows are counted instead, with partial sums,
+which gives the same bytes.
 """
 
 from __future__ import annotations
@@ -18,11 +20,12 @@ from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsefield.llm.common import BROADCAST_BYTES, checkpoint, pack, prefix_hash, slices, small_batches, span_hash
+from pulsefield.llm.common import BROADCAST_BYTES, checkpoint, map_arrow, mix, pack, prefix_hash, remove, slices, small_batches, span_hash, stored
 
 LENGTH, GRAM = 400, 144
 #: Bytes that multikey quicksort looks at beyond the common GRAM bytes, eight at a time.
@@ -184,7 +187,8 @@ def reach(lefts: list[bytes], rights: list[bytes], length: int, gram: int) -> li
 
 
 def sampled(df: DataFrame, length: int, gram: int) -> DataFrame:
-    """h, a, pos, size: sampled suffixes (size 0), and stretches that a text repeats in itself (size > 0, h 0). df: a, t."""
+    """h, a, pos, ctx, lo, size: sampled suffixes with a hash of the bytes around them, which start at lo and are `size`
+    long; and stretches that a text repeats in itself (h and ctx 0). df: a, t."""
 
     def run(batches):
         seen: set[int] = set()
@@ -204,9 +208,10 @@ def sampled(df: DataFrame, length: int, gram: int) -> DataFrame:
                 lo, hi = pos - (length - gram), pos + length
                 full = (lo >= off[doc]) & (hi <= off[doc + 1])
                 # A text's equal whole contexts (runs, periods) are settled here; one of them stands for all.
+                start, end = np.maximum(lo, off[doc]), np.minimum(hi, off[doc + 1])
+                around = mix(span_hash(prefix, start, end) + (pos - start).astype(np.uint64))
                 order = np.flatnonzero(full)
-                around = span_hash(prefix, lo[order], hi[order]) + doc[order].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-                _, first, back, many = np.unique(around, return_index=True, return_inverse=True, return_counts=True)
+                _, first, back, many = np.unique(around[order] + doc[order].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True, return_inverse=True, return_counts=True)
                 again = many[back] > 1
                 keep = np.ones(len(pos), bool)
                 keep[order] = False
@@ -220,18 +225,13 @@ def sampled(df: DataFrame, length: int, gram: int) -> DataFrame:
                         a.append(x)
                         b.append((y, d))
                 where = np.array([d for _, d in b], np.int64)
-                start, end = np.array(a, np.int64), np.array([e for e, _ in b], np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.concatenate([h[keep].view(np.int64), np.zeros(len(a), np.int64)])),
-                        pa.array(np.concatenate([keys[doc[keep]], keys[where]]).astype(np.int64)),
-                        pa.array(np.concatenate([(pos - off[doc])[keep], start - off[where]]).astype(np.int32)),
-                        pa.array(np.concatenate([np.zeros(keep.sum(), np.int64), end - start]).astype(np.int32)),
-                    ],
-                    names=["h", "a", "pos", "size"],
-                )
+                runs, ends = np.array(a, np.int64), np.array([e for e, _ in b], np.int64)
+                none, at = np.zeros(len(a), np.int64), off[doc]
+                cols = [(h[keep].view(np.int64), none), (keys[doc[keep]], keys[where]), ((pos - at)[keep], runs - off[where]), (around[keep].view(np.int64), none), ((start - at)[keep], runs - off[where]), ((end - start)[keep], ends - runs)]
+                kinds = (np.int64, np.int64, np.int32, np.int64, np.int32, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(k)) for c, k in zip(cols, kinds, strict=True)], names=["h", "a", "pos", "ctx", "lo", "size"])
 
-    return df.select("a", "t").where(F.octet_length("t") >= length).mapInArrow(run, "h long, a long, pos int, size int")
+    return map_arrow(df.select("a", "t").where(F.octet_length("t") >= length), run, "h long, a long, pos int, ctx long, lo int, size int")
 
 
 def contexts(found: DataFrame, docs: DataFrame, length: int, gram: int, broadcast_bytes: int) -> DataFrame:
@@ -261,7 +261,7 @@ def contexts(found: DataFrame, docs: DataFrame, length: int, gram: int, broadcas
                             col.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["h", "a", "pos", "left", "right"])
 
-    return rows.mapInArrow(run, "h long, a long, pos int, left binary, right binary")
+    return map_arrow(rows, run, "h long, a long, pos int, left binary, right binary")
 
 
 SPAN = "a long, pos int, size int"
@@ -308,35 +308,30 @@ def sorted_spans(ctx: DataFrame, length: int, gram: int) -> DataFrame:
             out += solve(group)
         yield spans_of(out)
 
-    return ctx.repartition("h").sortWithinPartitions("h").mapInArrow(run, SPAN)
+    return map_arrow(ctx.repartition("h").sortWithinPartitions("h"), run, SPAN)
 
 
 def counted_spans(ctx: DataFrame, length: int, gram: int, broadcast_bytes: int) -> DataFrame:
     """The same stretches for groups of any size: a window is repeated if its hash stands at two places."""
 
-    def windows(left: bytes, right: bytes) -> tuple[np.ndarray, np.ndarray]:
-        raw = np.frombuffer(left[::-1] + right, np.uint8)
-        start = np.arange(max(0, len(raw) - length + 1))
-        start = start[start <= len(left)]
-        return span_hash(prefix_hash(raw), start, start + length), start - len(left)
-
     def emit(batches):
         for batch in batches:
             for s in slices(batch, 4, 1 << 18):
                 w, a, p, at = [], [], [], []
                 for x, q, left, right in zip(*(s.column(c).to_pylist() for c in ("a", "pos", "left", "right")), strict=True):
-                    h, rel = windows(left, right)
-                    w.append(h.view(np.int64))
-                    a.append(np.full(len(h), x, np.int64))
-                    p.append(np.full(len(h), q, np.int32))
-                    at.append(rel.astype(np.int32))
-                if w:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (w, a, p, at)], names=["w", "a", "pos", "at"])
-
-    each = ctx.mapInArrow(emit, "w long, a long, pos int, at int").withColumn("place", F.col("pos") + F.col("at"))
-    twice = each.groupBy("w").agg(F.min("a").alias("a0"), F.max("a").alias("a1"), F.min("place").alias("p0"), F.max("place").alias("p1")).where("a0 <> a1 or p0 <> p1").select("w")
+                    raw = left[::-1] + right
+                    n = min(len(left), len(raw) - length) + 1
+                    w += [xxhash.xxh3_128_digest(raw[i : i + length]) for i in range(n)]
+                    a += [x] * n
+                    p += [q] * n
+                    at += range(-len(left), n - len(left))
+                yield pa.RecordBatch.from_arrays([pa.array(w, pa.binary()), pa.array(a, pa.int64()), pa.array(p, pa.int32()), pa.array(at, pa.int32())], names=["w", "a", "pos", "at"])
+
+    each = map_arrow(ctx, emit, "w binary, a long, pos int, at int").withColumn("place", F.col("pos") + F.col("at"))
+    place = F.xxhash64("a", "place")
+    twice = each.groupBy("w").agg(F.min(place).alias("p0"), F.max(place).alias("p1")).where("p0 <> p1").select("w")
     twice = checkpoint(twice)
-    hint = F.broadcast if twice.count() * 16 <= broadcast_bytes else (lambda x: x)
+    hint = F.broadcast if twice.count() * 32 <= broadcast_bytes else (lambda x: x)
     hit = each.join(hint(twice), "w")
     return hit.groupBy("a", "pos").agg(F.min("place").alias("lo"), (F.max("place") + length).alias("hi")).select("a", F.col("lo").alias("pos"), (F.col("hi") - F.col("lo")).cast("int").alias("size"))
 
@@ -351,22 +346,36 @@ def drop_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int
     small_batches(df.sparkSession)
     t = F.col(text).cast("string")
     docs = df.select(F.col(doc).alias("doc"), F.xxhash64(t).alias("a"), F.xxhash64(F.lit(3), t).alias("b"), t.alias("t"))
-    copies = docs.where(F.octet_length("t") >= length).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    w = Window.partitionBy("h", "size")
-    every = sampled(docs, length, gram)
-    facts = every.withColumns({"g": F.count(F.lit(1)).over(w), "a0": F.min("a").over(w), "a1": F.max("a").over(w), "p0": F.min("pos").over(w), "p1": F.max("pos").over(w)})
-    found = checkpoint(facts.where("size > 0 or a0 <> a1 or p0 <> p1").select("h", "a", "pos", "size", "g"))
-    cold = contexts(found.where(f"size = 0 and g <= {hot}").distinct(), docs, length, gram, broadcast_bytes)
-    spans = found.where("size > 0").select("a", "pos", "size").union(sorted_spans(cold, length, gram))
-    many = found.where(f"size = 0 and g > {hot}").distinct()
+    names = docs.where(F.octet_length("t") >= length).groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("b").alias("b0"), F.max("b").alias("b1"))
+    names = checkpoint(names.where("n > 1").select("a", F.expr("b0 <> b1").alias("clash")))
+    if names.where("clash").limit(1).count():  # unequal texts under one hash go by their other one
+        docs = docs.join(names.where("clash").select(F.col("a").alias("c")), F.col("a") == F.col("c"), "left").withColumn("a", F.when(F.col("c").isNull(), F.col("a")).otherwise(F.col("b"))).drop("c")
+        names = checkpoint(docs.where(F.octet_length("t") >= length).groupBy("a").count().where("count > 1").select("a"))
+    copies = names.select(F.col("a").alias("ca"), F.lit(True).alias("copied"))
+    every, path = stored(sampled(docs, length, gram))
+    suffixes = every.where("ctx <> 0 or h <> 0")
+    place = F.xxhash64("a", "pos")
+    again = checkpoint(suffixes.groupBy("h").agg(F.min(place).alias("p0"), F.max(place).alias("p1")).where("p0 <> p1").select("h"))
+    hint = F.broadcast if again.count() * 16 <= broadcast_bytes else (lambda x: x)
+    found = checkpoint(suffixes.join(hint(again), "h"))
+    around = checkpoint(found.groupBy("h", "ctx").agg(F.min(F.struct("a", "pos")).alias("one"), F.max(F.struct("a", "pos")).alias("other")))
+    # Suffixes whose surroundings another has too repeat them whole; the rest are sorted with one of each surroundings.
+    twice = around.where("one <> other").select("h", "ctx")
+    hint = F.broadcast if twice.count() * 24 <= broadcast_bytes else (lambda x: x)
+    whole = found.join(hint(twice), ["h", "ctx"])
+    groups = around.groupBy("h").agg(F.count(F.lit(1)).alias("g"), F.max(F.expr("one = other")).alias("alone")).where("g > 1 and alone").drop("alone")
+    reps = checkpoint(around.join(groups, "h").select("h", "one.a", "one.pos", "g"))
+    cold = contexts(reps.where(f"g <= {hot}"), docs, length, gram, broadcast_bytes)
+    spans = every.where("ctx = 0 and h = 0").union(whole.select(*every.columns)).select("a", F.col("lo").alias("pos"), "size").union(sorted_spans(cold, length, gram))
+    many = reps.where(f"g > {hot}")
     if many.limit(1).count():
         spans = spans.union(counted_spans(contexts(many, docs, length, gram, broadcast_bytes), length, gram, broadcast_bytes))
     gone = checkpoint(spans.groupBy("a").agg(F.collect_set(F.struct("pos", "size")).alias("s")).withColumnRenamed("a", "of"))
     size = gone.agg(F.coalesce(F.sum(24 * F.size("s") + 64), F.lit(0))).first()[0]
-    copies = checkpoint(copies.select(F.col("a").alias("ca"), F.col("b").alias("cb"), F.lit(True).alias("copied")))
+    remove(df.sparkSession, path)
     hint = F.broadcast if size <= broadcast_bytes else (lambda x: x)
     hint2 = F.broadcast if copies.count() * 32 <= broadcast_bytes else (lambda x: x)
-    rows = docs.join(hint2(copies), (F.col("a") == F.col("ca")) & (F.col("b") == F.col("cb")), "left").join(hint(gone), F.col("a") == F.col("of"), "left")
+    rows = docs.join(hint2(copies), F.col("a") == F.col("ca"), "left").join(hint(gone), F.col("a") == F.col("of"), "left")
     rows = rows.select(F.col("doc").alias(doc), "t", F.coalesce("copied", F.lit(False)).alias("copied"), F.col("s.pos").alias("ps"), F.col("s.size").alias("ns"))
     fields = [rows.schema[doc], *(T.StructField(n, T.LongType()) for n in ("n_bytes", "n_removed", "n_spans")), T.StructField("kept_sha256", T.StringType())]
     schema = T.StructType(fields + [T.StructField("kept", T.BinaryType())] * texts)
@@ -392,4 +401,4 @@ def drop_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int
                 cols = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()), strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *cols[: len(schema) - 1]], names=schema.names)
 
-    return rows.mapInArrow(cut, schema)
+    return map_arrow(rows, cut, schema)
