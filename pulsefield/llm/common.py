@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from contextlib import contextmanager
+from contextlib import contextmanager, suppress
 
 import numpy as np
 import pyarrow as pa
@@ -98,6 +99,23 @@ def slices(batch: pa.RecordBatch, text: int, most: int = STEP_BYTES, rows: int =
         at = to
 
 
+def trim() -> None:
+    """Give what this worker no longer uses back to the system, as idle workers stay for the next task."""
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # only some C libraries have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """mapInArrow by workers that hold on to no memory between tasks."""
+
+    def trimmed(batches):
+        yield from run(batches)
+        trim()
+
+    return df.mapInArrow(trimmed, schema)
+
+
 def map_text(df: DataFrame, make, fields: list[tuple[str, T.DataType]], text: str = "text", keep: tuple[str, ...] = ("doc_id",), step_bytes: int = STEP_BYTES) -> DataFrame:
     """mapInArrow over whole texts: make() runs once a task and returns slice's text array -> output columns.
 
@@ -114,7 +132,7 @@ def map_text(df: DataFrame, make, fields: list[tuple[str, T.DataType]], text: st
                 cols = fn(part.column(len(keep)))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *cols], names=schema.names)
 
-    return src.mapInArrow(run, schema)
+    return map_arrow(src, run, schema)
 
 
 def squeeze(x: np.ndarray) -> bytes:

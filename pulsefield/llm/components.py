@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsefield.llm.common import checkpoint
+from pulsefield.llm.common import checkpoint, map_arrow
 
 
 #: Up to this many edges are united in one executor task (some 200 MB of Python there).
@@ -37,7 +37,7 @@ def united(edges: DataFrame) -> DataFrame:
 
     kind = to_arrow_type(edges.schema["u"].dataType)
     name = edges.schema["u"].dataType.simpleString()
-    return edges.select("u", "v").coalesce(1).mapInArrow(run, f"node {name}, root {name}")
+    return map_arrow(edges.select("u", "v").coalesce(1), run, f"node {name}, root {name}")
 
 
 def connected_components(edges: DataFrame, most_rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:

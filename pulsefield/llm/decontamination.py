@@ -17,11 +17,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from pulsefield.llm.common import checkpoint, coded_words, remove, slices, small_batches, squeeze, stored, unsqueeze
+from pulsefield.llm.common import checkpoint, coded_words, map_arrow, remove, slices, small_batches, squeeze, stored, unsqueeze
 
 #: Bytes of benchmark text in one block, and of document text in one shard (a longer text is a shard of its own).
-BLOCK_BYTES, SHARD_BYTES = 8 << 20, 2 << 20
+BLOCK_BYTES, SHARD_BYTES = 8 << 20, 1 << 20
 WINDOW = 10
 #: Terms of a proximity match.
 RAREST = 3
@@ -172,7 +173,7 @@ def build_index(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc
                 docs = pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), own, type=pa.list_(pa.field("element", own.type)))
                 yield pa.RecordBatch.from_arrays([docs, *(pa.array([c], pa.binary()) for c in Shard.of(part.column(1)).write())], names=schema.names)
 
-    return src.mapInArrow(run, schema)
+    return map_arrow(src, run, schema)
 
 
 def count_terms(index: DataFrame, sent, n_terms: int) -> np.ndarray:
@@ -190,7 +191,7 @@ def count_terms(index: DataFrame, sent, n_terms: int) -> np.ndarray:
         if len(seen):
             yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(count[seen])], names=["term", "n"])
 
-    got = index.select("letters", "sizes", "counts").mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    got = map_arrow(index.select("letters", "sizes", "counts"), run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     count = np.zeros(n_terms, np.int64)
     count[got.column("term").to_numpy()] = got.column("n").to_numpy()
     return count
@@ -206,53 +207,56 @@ def blocks(benchmark: DataFrame, item: str, text: str, window: int, block_bytes:
         yield Block([r.i for r in got], [r.t for r in got], window)
 
 
+def found_in(row: pa.RecordBatch, block: Block, slop: int) -> tuple[np.ndarray, list[dict[str, list]]]:
+    """Word offsets of the documents of an index row, and its phrase matches (document, item, start and end word in the
+    document) and proximity matches (start: the rarest term): those that other blocks found before, and this block's."""
+    shard = Shard.read(*(row.column(c)[0].as_py() for c in INDEX))
+    w, start, nw, near = block.search(shard, slop)
+    out = []
+    for name, who, at, end in (("hits", w, start, start + block.size[w]), ("nears", nw, near, near + 1)):
+        doc = np.searchsorted(shard.off, at, "right") - 1
+        new = {"doc": doc.tolist(), "item": [block.ids[i] for i in block.item[who].tolist()], "start": (at - shard.off[doc]).tolist(), "end": (end - shard.off[doc]).tolist()}
+        old = row.column(name)[0].as_py() if name in row.schema.names else {}
+        out.append({k: old.get(k, []) + v for k, v in new.items()})
+    return shard.off, out
+
+
 def search(index: DataFrame, sent, slop: int) -> DataFrame:
-    """The index with what a block finds added to its lists of phrase matches (document, item, start and end word in the
-    document) and of proximity matches (document, item, place of the rarest term)."""
-    had = "hits" in index.columns
+    """The index with what a block finds added to its columns hits and nears."""
     ints, strings = T.ArrayType(T.IntegerType(), False), T.ArrayType(T.StringType(), False)
     found = T.StructType([T.StructField(n, strings if n == "item" else ints) for n in ("doc", "item", "start", "end")])
     fields = [f for f in index.schema.fields if f.name not in ("hits", "nears")]
     schema = T.StructType([*fields, T.StructField("hits", found), T.StructField("nears", found)])
-    list_of = lambda kind: pa.list_(pa.field("element", kind, False))
-    arrow = pa.struct([("doc", list_of(pa.int32())), ("item", list_of(pa.string())), ("start", list_of(pa.int32())), ("end", list_of(pa.int32()))])
+    kind = to_arrow_schema(schema).field("hits").type
 
     def run(batches):
-        block = sent.value
         for batch in batches:
             for r in range(len(batch)):
                 row = batch.slice(r, 1)
-                shard = Shard.read(*(row.column(c)[0].as_py() for c in INDEX))
-                w, start, nw, near = block.search(shard, slop)
-                cols = []
-                for name, who, at, end in (("hits", w, start, start + block.size[w]), ("nears", nw, near, near + 1)):
-                    doc = np.searchsorted(shard.off, at, "right") - 1
-                    new = {"doc": (doc).tolist(), "item": [block.ids[i] for i in block.item[who].tolist()], "start": (at - shard.off[doc]).tolist(), "end": (end - shard.off[doc]).tolist()}
-                    old = row.column(name)[0].as_py() if had else {}
-                    cols.append(pa.array([{k: old.get(k, []) + v for k, v in new.items()}], arrow))
-                yield pa.RecordBatch.from_arrays([*(row.column(f.name) for f in fields), *cols], names=schema.names)
+                _, found = found_in(row, sent.value, slop)
+                yield pa.RecordBatch.from_arrays([*(row.column(f.name) for f in fields), *(pa.array([f], kind) for f in found)], names=schema.names)
 
-    return index.mapInArrow(run, schema)
+    return map_arrow(index, run, schema)
 
 
-def per_document(index: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """keep columns, n_words, spans, items, near, matches and near_matches of every document of a searched index."""
+def per_document(index: DataFrame, sent, slop: int, keep: tuple[str, ...]) -> DataFrame:
+    """keep columns, n_words, spans, items, near, matches and near_matches of every document, after the last block's search."""
     ints, strings = T.ArrayType(T.IntegerType(), False), T.ArrayType(T.StringType(), False)
     match = T.ArrayType(T.StructType([T.StructField("item", T.StringType(), False), T.StructField("start", T.IntegerType(), False), T.StructField("end", T.IntegerType(), False)]), False)
     kinds = index.schema["docs"].dataType.elementType.fields
     extra = [("n_words", T.LongType()), ("spans", ints), ("items", strings), ("near", strings), ("matches", match), ("near_matches", match)]
     schema = T.StructType([*(T.StructField(f"__k{i}", f.dataType) for i, f in enumerate(kinds)), *(T.StructField(n, t) for n, t in extra)])
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     arrow = to_arrow_schema(schema)
 
     def run(batches):
         for batch in batches:
-            for docs, off, hits, nears in zip(batch.column("docs"), batch.column("off").to_pylist(), batch.column("hits").to_pylist(), batch.column("nears").to_pylist(), strict=True):
-                own, size = docs.values, np.diff(unsqueeze(off, np.int32))
+            for r in range(len(batch)):
+                row = batch.slice(r, 1)
+                off, found = found_in(row, sent.value, slop)
+                own, size = row.column("docs")[0].values, np.diff(off)
                 rows = [[{}, {}] for _ in size]  # of phrases and of proximity: distinct matches in order
-                for kind, found in enumerate((hits, nears)):
-                    for d, i, a, b in sorted(zip(found["doc"], found["item"], found["start"], found["end"], strict=True), key=lambda m: (m[0], m[2], m[3], m[1])):
+                for kind, f in enumerate(found):
+                    for d, i, a, b in sorted(zip(f["doc"], f["item"], f["start"], f["end"], strict=True), key=lambda m: (m[0], m[2], m[3], m[1])):
                         rows[d][kind][i, a, b] = None
                 spans, items, near, matches = [], [], [], [[], []]
                 for phrases, places in rows:
@@ -271,8 +275,7 @@ def per_document(index: DataFrame, keep: tuple[str, ...]) -> DataFrame:
                 cols = [size, spans, items, near, *matches]
                 yield pa.RecordBatch.from_arrays([*keys, *(pa.array(c, arrow.field(len(kinds) + n).type) for n, c in enumerate(cols))], names=schema.names)
 
-    out = index.select("docs", "off", "hits", "nears").mapInArrow(run, schema)
-    return out.withColumnsRenamed({f"__k{i}": k for i, k in enumerate(keep)})
+    return map_arrow(index, run, schema).withColumnsRenamed({f"__k{i}": k for i, k in enumerate(keep)})
 
 
 def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), item: str = "item_id", item_text: str = "text", window: int = WINDOW, slop: int = 5, block_bytes: int = BLOCK_BYTES, shard_bytes: int = SHARD_BYTES, matches: bool = False) -> DataFrame:
@@ -286,15 +289,15 @@ def decontaminate(df: DataFrame, benchmark: DataFrame, text: str = "text", keep:
     """
     spark = df.sparkSession
     index, path = stored(build_index(df, text, keep, shard_bytes))
-    found = index
+    found, sent = index, None
     for block in blocks(benchmark, item, item_text, window, block_bytes):
+        found = search(found, sent, slop) if sent else found
         sent = spark.sparkContext.broadcast(block)
         if slop >= 0:
             block.rank(count_terms(index, sent, len(block.vocab)))
             sent = spark.sparkContext.broadcast(block)
-        found = search(found, sent, slop)
     covered = F.aggregate("spans", F.lit(0), lambda s, x: x - s)  # ends less starts, as pairs alternate
-    out = per_document(found, keep).select(*keep, "n_words", covered.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"), (F.size("items") > 0).alias("contaminated"), F.size("near").cast("long").alias("n_near"), "spans", "items", "near", *(["matches", "near_matches"] if matches else []))
+    out = per_document(found, sent, slop, keep).select(*keep, "n_words", covered.cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"), (F.size("items") > 0).alias("contaminated"), F.size("near").cast("long").alias("n_near"), "spans", "items", "near", *(["matches", "near_matches"] if matches else []))
     out = checkpoint(out)
     remove(spark, path)
     return out

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsefield.llm.common import SPACES, checkpoint, coded_words, hashes_of, mix, remove, slices, small_batches, squeeze, stored, unsqueeze
+from pulsefield.llm.common import SPACES, checkpoint, coded_words, hashes_of, map_arrow, mix, remove, slices, small_batches, squeeze, stored, unsqueeze
 
 #: Most frequent words whose counts every task holds (all leaves at least); all others get theirs over a join.
 HEAD = 1 << 20
@@ -87,7 +87,7 @@ def count_words(df: DataFrame) -> DataFrame:
         if keys:
             yield batch_of(*merged())
 
-    return df.mapInArrow(run, "h long, shape int, c long").groupBy("h").agg(F.max("shape").alias("shape"), F.sum("c").alias("c"))
+    return map_arrow(df, run, "h long, shape int, c long").groupBy("h").agg(F.max("shape").alias("shape"), F.sum("c").alias("c"))
 
 
 class Head:
@@ -286,7 +286,7 @@ def train(rows: DataFrame, start, end: int, n_tokens: int, shard_tokens: int) ->
         return pa.table({"part": group.column("part")[:1], "weight": [sum(weights)], "v": pa.array([squeeze(v)], pa.binary())})
 
     schema = "part long, weight double, v binary"
-    out = dealt.select("part", "ids").mapInArrow(run, schema)
+    out = map_arrow(dealt.select("part", "ids"), run, schema)
     while n_shards > FAN_IN:
         n_shards = -(-n_shards // FAN_IN)
         out = out.withColumn("part", F.expr(f"part div {FAN_IN}")).groupBy("part").applyInArrow(add, schema)
@@ -371,7 +371,7 @@ def score(df: DataFrame, held: Column, text: str = "text", doc: str = "doc_id",
                     names=schema.names,
                 )
 
-    rows, encoded = stored(src.mapInArrow(encode, schema))
+    rows, encoded = stored(map_arrow(src, encode, schema))
     end = int(top.leaf[top.find(np.array([END], np.uint64))[0]]) if n else 0
     end = end if end >= 0 else leaves
     start = spark.sparkContext.broadcast(Start(top.c[top.top] + 0.1, shape_mass))
@@ -401,7 +401,7 @@ def score(df: DataFrame, held: Column, text: str = "text", doc: str = "doc_id",
     rare = rows.select("rid", F.explode(F.arrays_zip("hs", "ns")).alias("x")).select("rid", F.col("x.hs").alias("h"), F.col("x.ns").alias("m"))
     rare = rare.join(counts.where(level < least).select("h", "c"), "h", "left")
     rare = rare.groupBy("rid").agg(F.sum(F.col("m") * F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1).cast("double"))).alias("s"), F.sum(F.when(F.col("c").isNotNull(), F.col("m")).otherwise(0)).alias("k"))
-    out = judged.mapInArrow(judge, with_lm).join(rare.withColumnRenamed("rid", "id"), F.col("rid") == F.col("id"), "left")
+    out = map_arrow(judged, judge, with_lm).join(rare.withColumnRenamed("rid", "id"), F.col("rid") == F.col("id"), "left")
     s = F.coalesce("s", F.lit(0.0))
     out = out.select(
         F.col("doc").alias(doc),

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsefield.llm.common import BROADCAST_BYTES, SPACES, checkpoint, mix, slices, small_batches, squeeze, unsqueeze, word_hashes
+from pulsefield.llm.common import BROADCAST_BYTES, SPACES, checkpoint, map_arrow, mix, slices, small_batches, squeeze, unsqueeze, word_hashes
 from pulsefield.llm.components import connected_components
 
 #: Cells of the word and shingle sketches, and cells in one of their rows.
@@ -110,7 +110,7 @@ def sketch(df: DataFrame, n: int, text: str) -> np.ndarray:
         capped = squeeze(np.minimum(total, (1 << 32) - 1).astype(np.uint32))
         return pa.table({"row": group.column("row")[:1], "part": group.column("part")[:1], "cells": pa.array([capped], pa.binary())})
 
-    out = src.mapInArrow(count, schema)
+    out = map_arrow(src, count, schema)
     parts = src.rdd.getNumPartitions()
     while parts > 1:
         parts = -(-parts // FAN_IN)
@@ -157,7 +157,7 @@ def node_rows(df: DataFrame, n: int, num: int, den: int, text: str, doc: str) ->
                 prefix = pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(x[pick].view(np.int64)), type=pa.list_(pa.field("element", pa.int64(), False)))
                 yield pa.RecordBatch.from_arrays([s.column(0), s.column(1), pa.array(size, pa.int64()), pa.array(node.view(np.int64)), pa.array(twin.view(np.int64)), *(pa.array(sig[:, k].copy()) for k in range(4)), fine, prefix], names=schema.names)
 
-    return src.mapInArrow(run, schema)
+    return map_arrow(src, run, schema)
 
 
 def far_apart(pairs: DataFrame, attrs: DataFrame, num: int, den: int) -> DataFrame:
@@ -183,7 +183,7 @@ def far_apart(pairs: DataFrame, attrs: DataFrame, num: int, den: int) -> DataFra
                 ok[rows] = np.bitwise_count(bits).sum(1, dtype=np.int64) <= m[rows] + n[rows] - 2 * least
             yield batch.select(["a", "b"]).filter(pa.array(ok))
 
-    return both.mapInArrow(run, pairs.select("a", "b").schema)
+    return map_arrow(both, run, pairs.select("a", "b").schema)
 
 
 def verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) -> DataFrame:
@@ -207,7 +207,7 @@ def verified(pairs: DataFrame, texts: DataFrame, n: int, num: int, den: int) ->
                 link = den * shared >= num * (np.diff(fa) + np.diff(fb) - shared)
                 yield s.select(["a", "b"]).filter(pa.array(link))
 
-    return both.mapInArrow(run, pairs.select("a", "b").schema)
+    return map_arrow(both, run, pairs.select("a", "b").schema)
 
 
 def link_components(df: DataFrame, n: int = 3, num: int = 90, den: int = 100, text: str = "text", doc: str = "doc_id", broadcast_bytes: int = BROADCAST_BYTES, hashed: bool = False) -> DataFrame:
