@@ -41,6 +41,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs less those whose doc_id and text hash stand in gone, th."""
+    hint = F.broadcast if gone.count() * 48 <= BROADCAST_BYTES else (lambda x: x)
+    return docs.join(hint(gone), F.col("doc_id").eqNullSafe(F.col("gone")) & (F.xxhash64("text") == F.col("th")), "left_anti")
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by five-word shingles at a Jaccard similarity of 0.8, the smallest doc_id stays.
 
@@ -52,8 +58,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = linked.where("not doc_id <=> component_id").select(F.col("doc_id").alias("gone"), "th")
     first = linked.where("doc_id <=> component_id").groupBy("root", F.col("doc_id").alias("gone")).agg(F.array_sort(F.collect_set("th")).alias("ths"))
     gone = checkpoint(gone.union(first.where(F.size("ths") > 1).select("gone", F.explode(F.expr("slice(ths, 2, size(ths))")).alias("th"))).distinct())
-    hint = F.broadcast if gone.count() * 48 <= BROADCAST_BYTES else (lambda x: x)
-    out = docs.join(hint(gone), F.col("doc_id").eqNullSafe(F.col("gone")) & (F.xxhash64("text") == F.col("th")), "left_anti")
+    out = without(docs, gone)
     if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
         same = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy("lang", "source")
         out = out.withColumn("nth", F.row_number().over(same)).where("nth = 1").drop("nth")
@@ -62,8 +67,10 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a ten-word window of a benchmark item."""
-    out = decontaminate(docs, read_table(spark, sf_dir, "benchmark"), keep=COLUMNS, slop=-1)
-    return out.where(~F.col("contaminated")).select(*COLUMNS)
+    docs = docs.select(*COLUMNS)
+    found = decontaminate(docs.withColumn("th", F.xxhash64("text")), read_table(spark, sf_dir, "benchmark"), keep=("doc_id", "th"), slop=-1)
+    gone = checkpoint(found.where("contaminated").select(F.col("doc_id").alias("gone"), "th").distinct())
+    return without(docs, gone)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
