@@ -1,14 +1,15 @@
 """Secret scans over a trigram inverted index, with DataFrame functions only.
 
 For each rule's pattern the driver derives a Boolean trigram query: alternatives of trigrams that every match must
-contain. Postings (trigram, document) of the trigrams that some query names are intersected by key, and only the
-documents that satisfy a rule's query are verified with its pattern. Rules without mandatory trigrams scan every text.
+contain. One pass over each text finds the trigrams that some query names; these postings (trigram, document) are
+intersected by key, and only the documents that satisfy a rule's query are verified with its pattern. Rules without
+mandatory trigrams scan every text. Texts are not shuffled where the candidates' keys are few enough to be broadcast.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import product
+from itertools import groupby, product
 
 try:
     from re import _parser as sre
@@ -17,6 +18,8 @@ except ImportError:  # older interpreters
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pulsefield.llm.common import BROADCAST_BYTES, checkpoint
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -87,26 +90,44 @@ def trigram_query(pattern: str) -> list[frozenset[str]] | None:
     return sorted((a for a in out if not any(b < a for b in out)), key=sorted)
 
 
+def any_of(grams: list[str]) -> str:
+    """A pattern that captures each trigram in `grams` wherever it stands, overlapping ones too."""
+    escaped = lambda c: "\\" + c if not c.isalnum() and c != "_" else c
+    parts = []
+    for first, some in groupby(sorted(grams), key=lambda g: g[0]):
+        rest = [f"{escaped(second)}[{''.join(escaped(g[2]) for g in more)}]" for second, more in groupby(some, key=lambda g: g[1])]
+        parts.append(f"{escaped(first)}(?:{'|'.join(rest)})")
+    return f"(?=({'|'.join(parts)}))"
+
+
 def candidates(docs: DataFrame, queries: dict[int, list[frozenset[str]]]) -> DataFrame:
     """key, rules: a bit for each rule whose trigram query the document satisfies."""
     grams = sorted({g for q in queries.values() for alt in q for g in alt})
     wants = [(g, r, a, i, len(alt)) for r, q in queries.items() for a, alt in enumerate(q) for i, g in enumerate(sorted(alt))]
-    by_gram = {g: [w[1:] for w in wants if w[0] == g] for g in grams}
-    low = docs.select("key", F.lower("text").alias("low"))
-    terms = F.array_compact(F.array(*[F.when(F.col("low").contains(g), F.lit(k)) for k, g in enumerate(grams)]))
-    postings = low.select("key", F.explode(terms).alias("gram"))
-    uses = F.element_at(F.array(*[F.array(*[F.struct(*(F.lit(x).alias(n) for x, n in zip(w, ("rule", "alt", "bit", "need"), strict=True))) for w in by_gram[g]]) for g in grams]), F.col("gram") + 1)
-    hits = postings.select("key", F.explode(uses).alias("u")).select("key", "u.*")
+    use = lambda w: F.struct(*(F.lit(x).alias(n) for x, n in zip(w[1:], ("rule", "alt", "bit", "need"), strict=True)))
+    uses = F.create_map(*[c for g in grams for c in (F.lit(g), F.array(*[use(w) for w in wants if w[0] == g]))])
+    postings = docs.select("key", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(any_of(grams)), F.lit(1)))).alias("gram"))
+    hits = postings.select("key", F.explode(F.element_at(uses, F.col("gram"))).alias("u")).select("key", "u.*")
     whole = hits.groupBy("key", "rule", "alt", "need").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("got")).where("got = shiftleft(1L, need) - 1")
     return whole.groupBy("key").agg(F.bit_or(F.expr("shiftleft(1L, rule)")).alias("rules"))
 
 
+#: Matches whose spans are gathered together.
+BLOCK = 256
+SPANS = "array<struct<start:int,kind:int,end:int>>"
+
+
+def none() -> Column:
+    return F.array().cast(SPANS)
+
+
 def matches(text: Column, n: int, rule: Rule) -> Column:
     """The rule's matches as structs start, kind (its number) and end, in code points."""
     found, between = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0)), F.split(text, rule.pattern, -1)
     value = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else found
     parts = F.arrays_zip(F.slice(between, 1, F.size(found)).alias("gap"), found.alias("hit"), value.alias("value"))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
+    # Spans are gathered by blocks, as an array that grows match by match would be copied as often.
+    blocks = F.transform(F.sequence(F.lit(0), ((F.size(parts) - 1) / BLOCK).cast("int")), lambda k: F.slice(parts, (k * BLOCK + 1).cast("int"), BLOCK))
 
     def add(state, p):
         start = state["at"] + F.length(p["gap"])
@@ -114,10 +135,15 @@ def matches(text: Column, n: int, rule: Rule) -> Column:
         span = F.array(F.struct(start.alias("start"), F.lit(n).alias("kind"), end.alias("end")))
         return F.struct(end.alias("at"), F.when(F.length(p["value"]) >= rule.least, F.concat(state["out"], span)).otherwise(state["out"]).alias("out"))
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), none.alias("out")), add, lambda s: s["out"])
+    def add_block(state, block):
+        got = F.aggregate(block, F.struct(state["at"].alias("at"), none().alias("out")), add)
+        return F.struct(got["at"].alias("at"), F.concat(state["out"], F.array(got["out"])).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPANS}>").alias("out"))
+    return F.when(text.rlike(rule.pattern), F.aggregate(blocks, start, add_block, lambda s: F.flatten(s["out"]))).otherwise(none())
 
 
-def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), rules: tuple[Rule, ...] = RULES, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """keep columns, n_<kind> of the base rules, base_sha256, spans (all rules) of every row; spans are kind:start:end.
 
     Null and empty texts have no spans; repeated rows stay; an empty table gives no rows; other input columns, whatever
@@ -127,9 +153,13 @@ def scan(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
     docs = df.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keep)], F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     docs = docs.withColumn("key", F.xxhash64(*docs.columns))  # equal rows share it, so they get the same candidates
     indexed = {n: q for n, q in queries.items() if q}
-    docs = docs.join(candidates(docs, indexed).withColumnRenamed("key", "found"), F.col("key") == F.col("found"), "left") if indexed else docs.withColumn("rules", F.lit(0))
-    none = F.array().cast("array<struct<start:int,kind:int,end:int>>")
-    cols = [F.when(F.expr(f"rules & {1 << n}L") != 0, matches(F.col("text"), n, r)).otherwise(none) if n in indexed else matches(F.col("text"), n, r) for n, r in enumerate(rules)]
+    if indexed:
+        found = checkpoint(candidates(docs, indexed).withColumnRenamed("key", "found"))
+        hint = F.broadcast if found.count() * 24 <= broadcast_bytes else (lambda x: x)
+        docs = docs.join(hint(found), F.col("key") == F.col("found"), "left")
+    else:
+        docs = docs.withColumn("rules", F.lit(0))
+    cols = [F.when(F.expr(f"rules & {1 << n}L") != 0, matches(F.col("text"), n, r)).otherwise(none()) if n in indexed else matches(F.col("text"), n, r) for n, r in enumerate(rules)]
     out = docs.select(*[f"__k{i}" for i in range(len(keep))], *[c.alias(f"m{n}") for n, c in enumerate(cols)])
     kinds = F.array(*[F.lit(r.kind) for r in rules])
     show = lambda spans: F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.element_at(kinds, s["kind"] + 1), s["start"].cast("string"), s["end"].cast("string"))), ",")
