@@ -2,7 +2,9 @@
 
 A line is boilerplate of its site if it stands on at least `min_pages` of the site's pages and on more than `ratio` of
 them. Lines are counted by two 64-bit hashes, each page's distinct lines once, with partial sums before the shuffle. A
-site can have at most (its mean distinct lines a page) / ratio boilerplate lines, so its list fits in a row.
+site can have at most (its mean distinct lines a page) / ratio boilerplate lines, so its list fits in a row; it is dealt
+into SLOTS by hash, one of which a line is looked up in. Beyond a broadcast the lists are joined by site, where adaptive
+execution splits the pages of a large site over tasks.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pulsefield.llm.common import BROADCAST_BYTES, checkpoint
 
-SALTS = 64
+SLOTS = 64
 
 
 def line_key(line: Column) -> Column:
@@ -20,7 +22,7 @@ def line_key(line: Column) -> Column:
 
 
 def boilerplate(df: DataFrame, text: str = "text", site: str = "source", ratio: float = 0.03, min_pages: int = 3, once: bool = False) -> DataFrame:
-    """site, lines: each site's boilerplate line keys; sites without any have no row. once: equal texts of a site are one page."""
+    """site, n, lines: each site's boilerplate line keys in SLOTS lists; sites without any have no row. once: equal texts of a site are one page."""
     pages = df.select(F.col(site).alias("site"), F.col(text).cast("string").alias("t")).withColumn("page", F.xxhash64("t"))
     n_pages = F.count_distinct("page") if once else F.count(F.lit(1))
     lines = F.array_distinct(F.filter(F.split("t", "\n"), lambda x: F.trim(x) != ""))
@@ -28,7 +30,9 @@ def boilerplate(df: DataFrame, text: str = "text", site: str = "source", ratio:
     per_line = keys.groupBy("site", "k.a", "k.b").agg(n_pages.alias("n")).where(F.col("n") >= min_pages)
     per_site = pages.groupBy(F.col("site").alias("own")).agg(n_pages.alias("pages"))
     often = per_line.join(per_site, F.col("site").eqNullSafe(F.col("own"))).where(F.col("n") * 1_000_000 > F.col("pages") * round(ratio * 1_000_000))
-    return often.groupBy("site").agg(F.collect_list(F.struct("a", "b")).alias("lines"))
+    lists = often.groupBy("site").agg(F.collect_list(F.struct("a", "b")).alias("all"))
+    dealt = F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda k: F.filter("all", lambda x: F.pmod(x["a"], F.lit(SLOTS)) == k))
+    return lists.select("site", F.size("all").alias("n"), dealt.alias("lines"))
 
 
 def drop_boilerplate(df: DataFrame, text: str = "text", site: str = "source", ratio: float = 0.03, min_pages: int = 3, keep: tuple[str, ...] = ("doc_id",), broadcast_bytes: int = BROADCAST_BYTES, once: bool = False) -> DataFrame:
@@ -39,16 +43,13 @@ def drop_boilerplate(df: DataFrame, text: str = "text", site: str = "source", ra
     and site are not read.
     """
     found = checkpoint(boilerplate(df, text, site, ratio, min_pages, once))
-    size = found.agg(F.coalesce(F.sum(16 * F.size("lines") + 64), F.lit(0))).first()[0]
+    size = found.agg(F.coalesce(F.sum(16 * F.col("n") + 32 * SLOTS), F.lit(0))).first()[0]
     rows = df.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keep)], F.col(site).alias("__site"), F.col(text).cast("string").alias("__text"))
-    if size <= broadcast_bytes:
-        rows = rows.join(F.broadcast(found), F.col("__site").eqNullSafe(F.col("site")), "left")
-    else:  # a site's pages go to SALTS tasks, each with the site's list
-        salted = found.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-        rows = rows.withColumn("__salt", F.pmod(F.xxhash64("__text"), F.lit(SALTS)).cast("int"))
-        rows = rows.join(salted, F.col("__site").eqNullSafe(F.col("site")) & (F.col("__salt") == F.col("salt")), "left")
+    hint = F.broadcast if size <= broadcast_bytes else (lambda x: x)
+    rows = rows.join(hint(found), F.col("__site").eqNullSafe(F.col("site")), "left")
     lines = F.split("__text", "\n")
-    rows = rows.withColumn("__kept", F.when(F.col("lines").isNotNull(), F.filter(lines, lambda x: ~F.array_contains(F.col("lines"), line_key(x)))))
+    slot = lambda x: F.element_at("lines", F.pmod(F.xxhash64(x), F.lit(SLOTS)).cast("int") + 1)
+    rows = rows.withColumn("__kept", F.when(F.col("lines").isNotNull(), F.filter(lines, lambda x: ~F.array_contains(slot(x), line_key(x)))))
     n = F.when(F.col("__text").isNull(), 0).otherwise(F.size(lines)).cast("long")
     dropped = F.when(F.col("__kept").isNull(), 0).otherwise(F.size(lines) - F.size("__kept")).cast("long")
     clean = F.when(F.col("__kept").isNull(), F.col("__text")).otherwise(F.array_join("__kept", "\n"))
