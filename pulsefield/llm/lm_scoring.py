@@ -28,9 +28,9 @@ from pulsefield.llm.common import SPACES, checkpoint, coded_words, hashes_of, ma
 #: Most frequent words whose counts every task holds (all leaves at least); all others get theirs over a join.
 HEAD = 1 << 20
 WIDTH = 16
-BATCH, NOISE, WITHIN, RATE = 2048, 64, 5, 0.2
-#: Training tokens of a shard, and of a draw of minibatches in it.
-SHARD, DRAW = 1 << 22, 1 << 18
+BATCH, NOISE, WITHIN, RATE = 4096, 64, 4, 0.3
+#: Training tokens of a shard, of its part in minibatches of a quarter, and of a draw of minibatches.
+SHARD, RAMP, DRAW = 1 << 22, 1 << 19, 1 << 18
 END = mix(np.array([0xE4D], np.uint64))[0]
 FAN_IN = 8
 
@@ -144,17 +144,19 @@ class Bilinear:
         self.p = [draw(k + n_shapes), draw(len(self.noise)), np.log(self.noise).astype(np.float32), draw(k), np.log(self.inner).astype(np.float32), np.ones(WIDTH, np.float32), np.full(WIDTH, 0.5, np.float32)]
         self.g = [np.full(x.shape, 0.1, np.float32) for x in self.p]
 
-    def move(self, k: int, ids: np.ndarray, grad: np.ndarray, n: int) -> None:
-        """Adagrad on the rows of a parameter that a minibatch touched."""
-        rows, back = np.unique(ids, return_inverse=True)
-        if grad.ndim == 1:
-            g = np.bincount(back, grad, len(rows))
-        else:
-            g = np.stack([np.bincount(back, grad[:, d], len(rows)) for d in range(grad.shape[1])], 1)
-        g = (g / n).astype(np.float32)
-        s = self.g[k][rows] + g * g * 400
-        self.g[k][rows] = s
-        self.p[k][rows] += RATE * g * 20 / np.sqrt(s)
+    def move(self, ks: tuple[int, ...], ids: np.ndarray, grads: list[np.ndarray], n: int) -> None:
+        """Adagrad on the rows of parameters that a minibatch touched."""
+        k = len(self.p[ks[0]])
+        rows, back = (np.arange(k), ids) if k < 2048 else np.unique(ids, return_inverse=True)
+        for k, grad in zip(ks, grads, strict=True):
+            if grad.ndim == 1:
+                g = np.bincount(back, grad, len(rows))
+            else:
+                g = np.stack([np.bincount(back, grad[:, d], len(rows)) for d in range(WIDTH)], 1)
+            g = (g / n).astype(np.float32)
+            s = self.g[k][rows] + g * g * 400
+            self.g[k][rows] = s
+            self.p[k][rows] += RATE * g * 20 / np.sqrt(s)
 
     def step(self, c1: np.ndarray, c2: np.ndarray, w: np.ndarray, rng) -> None:
         """One minibatch of noise-contrastive estimation: of classes against shared noise, of leaves inside their groups."""
@@ -168,7 +170,7 @@ class Bilinear:
         up = 1 / (1 + np.exp(np.clip((q * tw).sum(1) + b[cls] - lk[cls], -30, 30)))  # 1 - P(data)
         down = 1 / (1 + np.exp(-np.clip(q @ tn.T + b[noise] - lk[noise], -30, 30)))  # P(data) of noise
         dq = up[:, None] * tw - down @ tn
-        moves = [(1, np.concatenate([cls, noise]), np.concatenate([up[:, None] * q, -(down.T @ q)])), (2, np.concatenate([cls, noise]), np.concatenate([up, -down.sum(0)]))]
+        moves = [((1, 2), np.concatenate([cls, noise]), [np.concatenate([up[:, None] * q, -(down.T @ q)]), np.concatenate([up, -down.sum(0)])])]
         own = np.flatnonzero(w < len(u))
         own = own[self.size[self.cls[w[own]]] > 1]
         if len(own):
@@ -182,13 +184,11 @@ class Bilinear:
             down = 1 / (1 + np.exp(-np.clip(np.matmul(un, z[:, :, None])[:, :, 0] + a[other] - li[other], -30, 30)))
             dq[own] += up[:, None] * ux - np.matmul(down[:, None, :], un)[:, 0, :]
             ids = np.concatenate([x, other.ravel()])
-            moves += [(3, ids, np.concatenate([up[:, None] * z, -(down[:, :, None] * z[:, None, :]).reshape(-1, WIDTH)])), (4, ids, np.concatenate([up, -down.ravel()]))]
-        moves.append((0, np.concatenate([c1, c2]), np.concatenate([dq * m1, dq * m2])))
-        places = [(dq * r1).sum(0), (dq * r2).sum(0)]
-        for k, ids, grad in moves:
-            self.move(k, ids, grad, n)
-        for k, grad in zip((5, 6), places, strict=True):
-            self.move(k, np.arange(WIDTH), grad, n)
+            moves.append(((3, 4), ids, [np.concatenate([up[:, None] * z, -(down[:, :, None] * z[:, None, :]).reshape(-1, WIDTH)]), np.concatenate([up, -down.ravel()])]))
+        moves.append(((0,), np.concatenate([c1, c2]), [np.concatenate([dq * m1, dq * m2])]))
+        moves.append(((5, 6), np.arange(WIDTH), [(dq * r1).sum(0), (dq * r2).sum(0)]))
+        for ks, ids, grads in moves:
+            self.move(ks, ids, grads, n)
 
     def flat(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in self.p])
@@ -240,7 +240,7 @@ def contexts(w: np.ndarray, off: np.ndarray, end: int) -> tuple[np.ndarray, np.n
 def train(rows: DataFrame, start, end: int, n_tokens: int, shard_tokens: int) -> np.ndarray | None:
     """The token-weighted mean of the shards' models, None without tokens. rows: key, ids of all training texts; start: the broadcast first model."""
     n_shards = max(1, n_tokens // shard_tokens)
-    dealt = rows.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(n_shards))).repartition(n_shards, "part").sortWithinPartitions("part", "key")
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(n_shards))).repartitionByRange(n_shards, "part").sortWithinPartitions("part", "key")
 
     def run(batches):
         model, part, seen, held, rng = None, None, 0, [], None
@@ -249,10 +249,11 @@ def train(rows: DataFrame, start, end: int, n_tokens: int, shard_tokens: int) ->
             off = np.concatenate([[0], np.cumsum([len(x) for x in held])])
             w = np.concatenate(held)
             c1, c2 = contexts(w, off, end)
-            order = rng.permutation(len(w))
-            for i in range(0, len(order), BATCH):
-                o = order[i : i + BATCH]
+            order, i = rng.permutation(len(w)), 0
+            while i < len(order):  # a shard begins with small minibatches
+                o = order[i : i + (BATCH // 4 if seen + i < RAMP else BATCH)]
                 model.step(c1[o], c2[o], w[o], rng)
+                i += len(o)
             return len(w)
 
         def done():

@@ -156,9 +156,9 @@ def test_language_model_in_any_layout(spark, small):
 
 
 def test_language_model_beats_unigrams(spark, small):
-    """Held-out tokens gain over 0.08 in log10 on the base score."""
+    """Held-out tokens gain over 0.1 in log10 on the base score."""
     out = queries.op9_lm_scoring(spark, small.replace("0.001", "0.01")).where("held_out").collect()
-    assert sum(r.score - r.base_score for r in out) / sum(r.n_tokens for r in out) > 0.08
+    assert sum(r.score - r.base_score for r in out) / sum(r.n_tokens for r in out) > 0.1
 
 
 def test_language_model_score_brute_force(spark):
