@@ -12,7 +12,7 @@ from functools import cached_property
 import numpy as np
 
 from pulsefield.config import EvalConfig, Frame, RBFScheme, Scaling, SymmetricCombine
-from pulsefield.functions.rbf import rbf_functional, rbf_interpolate
+from pulsefield.functions.rbf import rbf_functional, rbf_functionals, rbf_interpolate
 from pulsefield.functions.spd import spd_parts
 
 #: How far outside a simplex a point may lie and still count as inside it.
@@ -20,11 +20,16 @@ INSIDE = 1e-12
 
 
 class MeshArrays:
-    """A simplicial mesh (vertices (nv, d), cells (nc, d + 1)) with buckets of cells for point location."""
+    """A simplicial mesh (vertices (nv, d), cells (nc, d + 1)) with buckets of cells for point location.
 
-    def __init__(self, vertices: np.ndarray, cells: np.ndarray):
-        self.vertices, self.cells = np.asarray(vertices, float), np.asarray(cells, int)
+    grid: squares a side of a structured unit square, where location is arithmetic and needs no buckets.
+    """
+
+    def __init__(self, vertices: np.ndarray, cells: np.ndarray, grid: int | None = None):
+        self.vertices, self.cells, self.grid = np.asarray(vertices, float), np.asarray(cells, int), grid
         n, self.dim = self.vertices.shape
+        if grid:
+            return
         p = self.vertices[self.cells]
         self.affine = np.linalg.inv(np.concatenate([p, np.ones((*p.shape[:2], 1))], 2).transpose(0, 2, 1)) if len(p) else np.zeros((0, self.dim + 1, self.dim + 1))
         self.low = self.vertices.min(0) if n else np.zeros(self.dim)
@@ -44,6 +49,8 @@ class MeshArrays:
 
     def locate(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Lowest containing cell of each point (-1: none) and barycentric coordinates there."""
+        if self.grid:
+            return self.locate_on_grid(points)
         cell, alpha = np.full(len(points), -1), np.zeros((len(points), self.dim + 1))
         key = np.ravel_multi_index(self.bucket(points).T, self.side) if len(points) else np.zeros(0, int)
         at, end = self.start[key], self.start[key + 1]
@@ -59,6 +66,19 @@ class MeshArrays:
         return cell, alpha
 
 
+    def locate_on_grid(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, (x, y) = self.grid, points.T
+        off = (x < -INSIDE) | (x > 1 + INSIDE) | (y < -INSIDE) | (y > 1 + INSIDE)
+        i, j = (np.clip(np.floor(z * n), 0, n - 1) for z in (x, y))
+        u, v = x * n - i, y * n - j
+        upper = v > u
+        least, most = np.minimum(u, v), np.maximum(u, v)
+        alpha = np.stack([1 - most, np.where(upper, u, most - least), np.where(upper, most - least, v)], 1)
+        alpha[off] = 0
+        cell = 2 * (j * n + i) + upper
+        return np.where(off, -1, cell).astype(int), alpha
+
+
 @dataclass
 class FieldArrays:
     """Samples, their batches and the moment fields. Absent moments are None."""
@@ -144,6 +164,35 @@ class FieldArrays:
         values[kk, mm] = np.where(cell >= 0, at["scale"][i][kk] * (alpha * psi).sum(1), 0.0)
         return values, excluded
 
+    def at_pairs(self, y: np.ndarray, at: dict, who: np.ndarray, c: EvalConfig) -> tuple[np.ndarray, np.ndarray]:
+        """values and excluded (n, k) of pairs of a target and source who[n], all pairs at once."""
+        near = at["near"][who]
+        inside = np.ones(near.shape, bool)
+        if c.frame is Frame.IDENTITY:
+            z = np.broadcast_to(y[:, None], (*near.shape, y.shape[1]))
+        elif c.frame is Frame.TRANSLATION:
+            z = (y - at["x"][who])[:, None] + self.points[near]
+        elif c.frame is Frame.MEAN_TRANSLATION:
+            z = (y - at["mu"][who])[:, None] + self.mu[near]
+        else:
+            white = np.einsum("nij,nj->ni", at["w"][who], y - at["mu"][who])
+            z = self.mu[near] + np.einsum("nkij,nj->nki", self.parts["sqrt"][near], white)
+        if c.gated:
+            if c.frame is Frame.WHITENED_AFFINE:
+                inside[:] = ((white**2).sum(1) <= c.tau**2)[:, None]
+            else:
+                dz = z - self.mu[near]
+                inside = np.einsum("nki,nkij,nkj->nk", dz, self.parts["inv"][near], dz) <= c.tau**2
+        values, excluded = np.zeros(near.shape), np.zeros(near.shape, bool)
+        n, k = np.nonzero(inside)
+        cell, alpha = self.target.locate(z[n, k])
+        excluded[n, k] = cell < 0
+        corners = self.target.cells[np.maximum(cell, 0)]
+        of = self.batch_of[near[n, k]]
+        raw = sum(alpha[:, a] * self.batches[of, corners[:, a]] for a in range(corners.shape[1]))
+        values[n, k] = np.where(cell >= 0, at["scale"][who[n], k] * raw, 0.0)
+        return values, excluded
+
     def support_ellipsoids(self, x: np.ndarray, c: EvalConfig) -> list[list[tuple[np.ndarray, np.ndarray]]]:
         """Unit-scale ellipsoids (centre, shape) outside of which each source's predictions are zero."""
         if not len(self.points):
@@ -192,6 +241,47 @@ class KernelArrays:
                 out[cols, i] = rbf_functional(centers[kept], origin, self.rbf) @ values[np.ix_(kept, cols)]
         return out
 
+    def one_sided_pairs(self, f: FieldArrays, y: np.ndarray, x: np.ndarray, who: np.ndarray) -> np.ndarray:
+        """Entries of pairs (y[n], x[who[n]]): functionals are solved together, one for each source and excluded pattern."""
+        out = np.zeros(len(y))
+        if not len(f.points) or not len(x) or not len(y):
+            return out
+        at = f.at_sources(x, self.config)
+        rows = np.flatnonzero(at["informed"][who])
+        values, excluded = f.at_pairs(y[rows], at, who[rows], self.config)
+        live = np.flatnonzero((values != 0).any(1))
+        if not len(live):
+            return out
+        k = values.shape[1]
+        kept = ~excluded[live]
+        weigh = np.zeros(kept.shape)
+        patterns, pattern = np.unique(kept, axis=0, return_inverse=True)
+        for p, keep in enumerate(patterns):
+            mine = np.flatnonzero(pattern.ravel() == p)
+            sources, which = np.unique(who[rows[live[mine]]], return_inverse=True)
+            cols = np.flatnonzero(keep)
+            w = np.zeros((len(sources), k))
+            w[:, cols] = rbf_functionals(f.points[at["near"][sources][:, cols]] - x[sources][:, None], self.rbf)
+            weigh[mine] = w[which]
+        out[rows[live]] = (weigh * values[live]).sum(1)
+        return out
+
+    def pairs(self, y: np.ndarray, x: np.ndarray, targets: np.ndarray, sources: np.ndarray, side: str = "both") -> np.ndarray:
+        """Entries of pairs (y[targets[n]], x[sources[n]]); side: from the column field, the row field, or as block() has them."""
+        if side == "row":
+            return self.one_sided_pairs(self.row, x[sources], y, targets)
+        if side == "col" or self.row is None:
+            return self.one_sided_pairs(self.col, y[targets], x, sources)
+        if self.config.symmetric_combine is SymmetricCombine.CRISSCROSS:
+            a, b = self.pairs(y, x, targets, sources, "col"), self.pairs(y, x, targets, sources, "row")
+            dx, dy = self.col.nearest_sample_distance(x)[sources], self.row.nearest_sample_distance(y)[targets]
+            return np.where(dx < dy, a, np.where(dy < dx, b, 0.5 * (a + b)))
+        out = np.zeros(len(targets))
+        order = np.argsort(sources, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(sources[order])) + 1) if len(order) else []:
+            out[rows] = self.pooled(y[targets[rows]], x[sources[rows[:1]]])[:, 0]
+        return out
+
     def block(self, y: np.ndarray, x: np.ndarray) -> np.ndarray:
         """(targets, sources) kernel entries."""
         if self.row is None:

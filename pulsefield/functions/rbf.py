@@ -109,3 +109,33 @@ def rbf_functional(centers: np.ndarray, eval_point: np.ndarray, scheme: RBFSchem
     if eval_point.shape != (centers.shape[1],):
         raise ValueError("rbf_functional: eval_point must be (d,)")
     return np.full(len(centers), 1 / len(centers)) if s.constant else s.solve(s.basis(eval_point[None])[0])[: len(centers)]
+
+
+def rbf_functionals(centers: np.ndarray, scheme: RBFScheme) -> np.ndarray:
+    """Weights (n, k) at the origin for n sets of centres (n, k, d), solved together; doubtful systems are solved one by one."""
+    n, k, d = centers.shape
+    out = np.full((n, k), 1 / k)
+    span = np.linalg.norm(np.ptp(centers, axis=1), axis=1)
+    rows = np.flatnonzero(span > 0) if k > 1 else np.zeros(0, int)
+    if not len(rows):
+        return out
+    c, per = centers[rows], scheme.shape / span[rows]
+    degree = 0 if scheme.degree == 1 and k < d + 1 else scheme.degree
+    size = 0 if degree < 0 else 1 if degree == 0 else d + 1
+    mean = c.mean(1, keepdims=True)
+    tail = lambda p: np.concatenate([np.ones((*p.shape[:2], 1)), (p - mean) * per[:, None, None]], 2)[:, :, :size]
+    a = np.zeros((len(c), k + size, k + size))
+    a[:, :k, :k] = phi(scheme.kernel, np.linalg.norm(c[:, :, None] - c[:, None], axis=3) * per[:, None, None]) + scheme.smoothing * np.eye(k)
+    a[:, :k, k:] = tail(c)
+    a[:, k:, :k] = a[:, :k, k:].transpose(0, 2, 1)
+    b = np.concatenate([phi(scheme.kernel, np.linalg.norm(c, axis=2) * per[:, None]), tail(np.zeros((len(c), 1, d)))[:, 0]], 1)
+    try:
+        inverse = np.linalg.inv(a)
+        sure = np.linalg.norm(a, 1, (1, 2)) * np.linalg.norm(inverse, 1, (1, 2)) * a.shape[1] < SINGULAR
+    except np.linalg.LinAlgError:
+        sure = np.zeros(len(a), bool)
+    if sure.any():
+        out[rows[sure]] = np.linalg.solve(a[sure], b[sure][:, :, None])[:, :k, 0]
+    for i in np.flatnonzero(~sure):
+        out[rows[i]] = rbf_functional(c[i], np.zeros(d), scheme)
+    return out

@@ -113,7 +113,7 @@ class KernelEvaluator:
         return field.target.vertices.limit(0).select(F.col("vertex_id").alias("sample_id"), F.col("p").alias("xs"))
 
     def _sweeps(self, pairs: DataFrame, side: str) -> DataFrame:
-        """Entries from the column field, the row field, or as block() has them; one sweep a source (or target)."""
+        """Entries from the column field, the row field, or as block() has them, a whole Arrow batch of pairs at a time."""
         sent = pairs.sparkSession.sparkContext.broadcast(self.arrays())
         ds, dt = self.dim_source, self.dim_target
         hub, spoke = ("target_id", "source_id") if side == "row" else ("source_id", "target_id")
@@ -121,18 +121,13 @@ class KernelEvaluator:
         def run(batches):
             k = sent.value
             for b in batches:
-                t, s = (b.column(n).to_numpy(zero_copy_only=False) for n in ("target_id", "source_id"))
+                t, s = (b.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("target_id", "source_id"))
                 y, x = as_array(b.column("y"), dt), as_array(b.column("x"), ds)
-                key = t if side == "row" else s
-                order = np.argsort(key, kind="stable")
-                value = np.zeros(len(s))
-                for rows in np.split(order, np.flatnonzero(np.diff(key[order])) + 1) if len(s) else []:
-                    if side == "row":
-                        value[rows] = k.one_sided(k.row, x[rows], y[rows[:1]])[:, 0]
-                    else:
-                        value[rows] = (k.block(y[rows], x[rows[:1]]) if side == "both" else k.one_sided(k.col, y[rows], x[rows[:1]]))[:, 0]
+                _, first_t, of_t = np.unique(t, return_index=True, return_inverse=True)
+                _, first_s, of_s = np.unique(s, return_index=True, return_inverse=True)
+                value = k.pairs(y[first_t], x[first_s], of_t, of_s, side)
                 live = value != 0
-                yield pa.RecordBatch.from_arrays([pa.array(t[live].astype(np.int64)), pa.array(s[live].astype(np.int64)), pa.array(value[live])], names=["target_id", "source_id", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array(t[live]), pa.array(s[live]), pa.array(value[live])], names=["target_id", "source_id", "value"])
 
         rows = pairs.select("target_id", "source_id", "y", "x")
         # A source's targets stand together, but a source of very many is dealt over several tasks.

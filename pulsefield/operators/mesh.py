@@ -58,7 +58,7 @@ class Mesh:
     def arrays(self) -> MeshArrays:
         v = self.vertices.orderBy("vertex_id").collect()
         c = self.cells.orderBy("cell_id").collect()
-        return MeshArrays(np.array([r.p for r in v], float).reshape(len(v), self.dim), np.array([r.vertex_ids for r in c], int).reshape(len(c), self.dim + 1))
+        return MeshArrays(np.array([r.p for r in v], float).reshape(len(v), self.dim), np.array([r.vertex_ids for r in c], int).reshape(len(c), self.dim + 1), self.grid)
 
 
 def unit_grid(spark: SparkSession, n: int) -> Mesh:
