@@ -205,22 +205,29 @@ class Bilinear:
         out = np.empty(len(w))
 
         def log_softmax(s: np.ndarray, at: np.ndarray) -> np.ndarray:
-            top = s.max(1)
-            return s[np.arange(len(s)), at] - top - np.log(np.exp(s - top[:, None]).sum(1))
-
-        for i in range(0, len(w), 1 << 14):
-            x = w[i : i + (1 << 14)]
-            out[i : i + len(x)] = log_softmax((r[c1[i : i + len(x)]] * m1 + r[c2[i : i + len(x)]] * m2) @ t.T + b, self.cls[x])
+            """The logarithm of one softmax entry a row; s is overwritten."""
+            s -= s.max(1, keepdims=True)
+            mine = s[np.arange(len(s)), at]
+            return mine - np.log(np.exp(s, out=s).sum(1))
+
+        step = max(256, (1 << 19) // max(1, len(b)))  # scores that stay in a processor's cache
+        for i in range(0, len(w), step):
+            x = w[i : i + step]
+            s = (r[c1[i : i + step]] * m1 + r[c2[i : i + step]] * m2) @ t.T
+            s += b
+            out[i : i + step] = log_softmax(s, self.cls[x])
         own = np.flatnonzero(w < len(u))
         own = own[np.argsort(self.cls[w[own]], kind="stable")]
         g = self.cls[w[own]]
         for rows in np.split(own, np.flatnonzero(np.diff(g)) + 1) if len(own) else []:
             k = self.cls[w[rows[0]]]
             lo, hi = self.first[k], self.first[k + 1]
-            step = max(1, (1 << 22) // (hi - lo))
+            step = max(256, (1 << 19) // (hi - lo))
             for i in range(0, len(rows) if hi - lo > 1 else 0, step):
                 o = rows[i : i + step]
-                out[o] += log_softmax((r[c1[o]] * m1 + r[c2[o]] * m2) @ u[lo:hi].T + a[lo:hi], w[o] - lo)
+                s = (r[c1[o]] * m1 + r[c2[o]] * m2) @ u[lo:hi].T
+                s += a[lo:hi]
+                out[o] += log_softmax(s, w[o] - lo)
         return out / math.log(10)
 
 
