@@ -63,7 +63,7 @@ def predictions(c: EvalConfig, src: str = SUPPLIERS, tgt: str = CUSTOMERS, pairs
     scale = {Scaling.NONE: "v", Scaling.VOLUME: "v_x", Scaling.VOLUME_DET: "v_x * sqrt(sdet) * (w00_x * w11_x - w01_x * w01_x)"}[c.scaling]
     return f"""{FIELD},
 src AS ({src}), tgt AS ({tgt}), prs AS ({pairs}),
-spot AS (SELECT s.id AS source_id, s.x0 AS sx0, s.x1 AS sx1, {mixed(("v", "m0", "m1", "w00", "w01", "w11"))} FROM {located("src", "x0", "x1")} s JOIN vrt a ON va = a.vertex_id JOIN vrt b ON vb = b.vertex_id JOIN vrt c ON vc = c.vertex_id),
+spot AS (SELECT s.id AS source_id, s.x0 AS sx0, s.x1 AS sx1, {mixed(("v", "m0", "m1", "w00", "w01", "w11"))} FROM {located("src", "x0", "x1")} s JOIN vrt a ON va = a.vertex_id JOIN vrt b ON vb = b.vertex_id JOIN vrt c ON vc = c.vertex_id WHERE on_mesh),
 near AS (SELECT spot.*, smp.*, (sx0 - x0) * (sx0 - x0) + (sx1 - x1) * (sx1 - x1) AS d2 FROM spot, smp QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY (sx0 - x0) * (sx0 - x0) + (sx1 - x1) * (sx1 - x1), sample_id) <= {c.num_neighbors}),
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY source_id ORDER BY d2, sample_id) AS INTEGER) AS rnk FROM near),
 met AS (SELECT p.target_id, n.*, t.x0 AS y0, t.x1 AS y1, {z[0]} AS z0, {z[1]} AS z1 FROM prs p JOIN ranked n ON p.source_id = n.source_id JOIN tgt t ON p.target_id = t.id),
@@ -76,15 +76,22 @@ def phi(kernel: str, u: str) -> str:
     return {"gaussian": f"exp(-0.5 * ({u}) * ({u}))", "multiquadric": f"-sqrt(1 + ({u}) * ({u}))", "inverse_multiquadric": f"1 / sqrt(1 + ({u}) * ({u}))", "linear": f"-({u})", "cubic": f"({u}) * ({u}) * ({u})", "thin_plate_spline": f"CASE WHEN ({u}) = 0 THEN 0 ELSE ({u}) * ({u}) * ln({u}) END"}[kernel]
 
 
-def kernel(c: EvalConfig, rbf: RBFScheme, src: str = SUPPLIERS, tgt: str = CUSTOMERS, pairs: str = ALL_PAIRS) -> str:
-    """Common table expressions that end in ker: target_id, source_id, value, by the closed forms for up to three centres in the plane."""
+def fitted(rbf: RBFScheme) -> str:
+    """Common table expressions from kept (target_id, source_id, ord, d0, d1: centre, value) to ker: target_id, source_id,
+    value, by the closed forms for up to three centres in the plane."""
     k, far = rbf.kernel.value, "sqrt((a0 - b0) ** 2 + (a1 - b1) ** 2)"
     g = [phi(k, f"{rbf.shape} * sqrt({n}0 * {n}0 + {n}1 * {n}1) / {far}") for n in "ab"]
     two = f"0.5 + (({g[0]}) - ({g[1]})) / (2 * (({phi(k, '0.0')}) + {rbf.smoothing} - ({phi(k, str(rbf.shape))})))"
-    cols = ", ".join(f"max(CASE WHEN ord = {i} THEN x0 - sx0 END) AS {n}0, max(CASE WHEN ord = {i} THEN x1 - sx1 END) AS {n}1, max(CASE WHEN ord = {i} THEN value END) AS f{n}" for i, n in enumerate("abc", 1))
+    cols = ", ".join(f"max(CASE WHEN nth = {i} THEN d0 END) AS {n}0, max(CASE WHEN nth = {i} THEN d1 END) AS {n}1, max(CASE WHEN nth = {i} THEN value END) AS f{n}" for i, n in enumerate("abc", 1))
     area = "((b0 - a0) * (c1 - a1) - (c0 - a0) * (b1 - a1))"
     three = f"(fa * (b0 * c1 - c0 * b1) + fb * (c0 * a1 - a0 * c1) + fc * (a0 * b1 - b0 * a1)) / {area}"
-    return f"""{predictions(c, src, tgt, pairs)},
-kept AS (SELECT *, row_number() OVER (PARTITION BY target_id, source_id ORDER BY rnk) AS ord FROM pred WHERE NOT excluded),
-wide AS (SELECT target_id, source_id, count(*) AS n, bool_or(value <> 0) AS live, {cols} FROM kept GROUP BY target_id, source_id),
+    return f"""numbered AS (SELECT *, row_number() OVER (PARTITION BY target_id, source_id ORDER BY ord) AS nth FROM kept),
+wide AS (SELECT target_id, source_id, count(*) AS n, bool_or(value <> 0) AS live, {cols} FROM numbered GROUP BY target_id, source_id),
 ker AS (SELECT target_id, source_id, CASE n WHEN 1 THEN fa WHEN 2 THEN ({two}) * fa + (1 - ({two})) * fb ELSE {three} END AS value FROM wide WHERE live)"""
+
+
+def kernel(c: EvalConfig, rbf: RBFScheme, src: str = SUPPLIERS, tgt: str = CUSTOMERS, pairs: str = ALL_PAIRS) -> str:
+    """Common table expressions that end in ker: target_id, source_id, value."""
+    return f"""{predictions(c, src, tgt, pairs)},
+kept AS (SELECT target_id, source_id, rnk AS ord, x0 - sx0 AS d0, x1 - sx1 AS d1, value FROM pred WHERE NOT excluded),
+{fitted(rbf)}"""

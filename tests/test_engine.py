@@ -503,3 +503,28 @@ def test_frog(spark):
     assert np.allclose(frog.values(y[:3], x[:2]), np.array([r.value for r in exact.where("target_id < 3 and source_id < 2").orderBy("target_id", "source_id").collect()]).reshape(3, 2))
     assert errors[1] < errors[0] < 0.6
     assert frog.storage_matched_rank(10, 100) == 1 and frog.median_int([3, 1, 2, 9]) == 3
+
+
+def test_pairs_are_entries_of_blocks():
+    """Pairs evaluated together give the block's entries, on buckets of cells and on a structured square alike."""
+    from itertools import product
+
+    from pulsefield.config import EvalConfig, Frame, RBFScheme, Scaling, Support
+    from pulsefield.functions.evaluator import FieldArrays, KernelArrays, MeshArrays
+
+    rng, n = np.random.default_rng(1), 6
+    v = np.array([[i / n, j / n] for j in range(n + 1) for i in range(n + 1)])
+    corner = [j * (n + 1) + i for j in range(n) for i in range(n)]
+    cells = np.array([c for a in corner for c in ([a, a + 1, a + n + 2], [a, a + n + 2, a + n + 1])])
+    points = rng.random((9, 2)) * 0.8 + 0.1
+    y, x = rng.random((11, 2)), rng.random((7, 2))
+    x[3] = points[2]
+    t, s = (z.ravel() for z in np.meshgrid(np.arange(11), np.arange(7), indexing="ij"))
+    psi, v1, v2 = rng.normal(size=(3, len(v))), 1 + rng.random(9), 1 + rng.random(len(v))
+    fields = [FieldArrays(m, m, psi, np.arange(9) % 3, points, True, v1, points + 0.01, np.tile(np.diag([0.02, 0.03]), (9, 1, 1)), v2, v + 0.01, np.tile(np.diag([0.02, 0.025]), (len(v), 1, 1))) for m in (MeshArrays(v, cells), MeshArrays(v, cells, n))]
+    for frame, scaling, support, k, (two, combine) in product(Frame, Scaling, Support, (1, 2, 4), ((False, "pooled"), (True, "crisscross"))):
+        c = EvalConfig(frame, scaling, support, 2.0, k, combine)
+        want = KernelArrays(fields[0], fields[0] if two else None, c, RBFScheme()).block(y, x)
+        for f in fields:
+            got = KernelArrays(f, f if two else None, c, RBFScheme()).pairs(y, x, t, s).reshape(want.shape)
+            assert np.allclose(got, want, rtol=1e-9, atol=1e-9)
