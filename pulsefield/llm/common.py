@@ -42,29 +42,35 @@ def shared_dir(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 @contextmanager
-def clean_shuffles(spark: SparkSession):
-    """Plans that run meanwhile delete their shuffle files as they end, as nothing reads them again."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+def settings(spark: SparkSession, rows: int | None = None):
+    """For plans that run inside: they delete their shuffle files as they end, as nothing reads them again, and send at
+    most `rows` rows in an Arrow batch."""
+    own = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"} | ({ROWS: str(rows)} if rows else {})
+    before = {key: spark._jsparkSession.conf().get(key) for key in own}
+    for key, value in own.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
+def checkpoint(df: DataFrame, rows: int | None = None) -> DataFrame:
     """Cut lineage with a reliable checkpoint in the shared folder that the session names."""
     shared_dir(df.sparkSession)
-    with clean_shuffles(df.sparkSession):
-        return df.select("*").checkpoint()  # a plan of its own, made under the setting
+    with settings(df.sparkSession, rows):
+        return df.select("*").checkpoint()  # a plan of its own, made under the settings
 
 
-def stored(df: DataFrame) -> tuple[DataFrame, str]:
+def stored(df: DataFrame, rows: int | None = None) -> tuple[DataFrame, str]:
     """Cut lineage with a Parquet table in the shared folder; denser than a checkpoint where rows are many. remove() it by its path."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    with clean_shuffles(df.sparkSession):
+    with settings(df.sparkSession, rows):
         df.write.parquet(path)
     return df.sparkSession.read.parquet(path), path
 
@@ -75,15 +81,13 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def small_batches(spark: SparkSession, rows: int = 1024, size: int = 8 << 20) -> None:
-    """Texts can be long: rows and bytes in an Arrow batch between the JVM and Python, unless the session has its own numbers.
+def small_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Texts can be long: rows in an Arrow batch between the JVM and Python, unless the session has its own number.
 
-    Spark reads both as a plan runs, after the operator has returned it, so they stay set.
+    Spark reads it as a plan runs, after the operator has returned it, so it stays set.
     """
-    for key, default, own in (("maxRecordsPerBatch", "10000", str(rows)), ("maxBytesPerBatch", "67108864b", str(size))):
-        key = f"spark.sql.execution.arrow.{key}"
-        if spark._jsparkSession.conf().get(key) == default:
-            spark.conf.set(key, own)
+    if spark._jsparkSession.conf().get(ROWS) == "10000":
+        spark.conf.set(ROWS, str(rows))
 
 
 def slices(batch: pa.RecordBatch, text: int, most: int = STEP_BYTES, rows: int = 8192):

@@ -257,8 +257,7 @@ def link_components(df: DataFrame, n: int = 3, num: int = 90, den: int = 100, te
         hint = F.broadcast if want.count() * 64 <= broadcast_bytes else (lambda x: x)
         src = df.select(F.col(doc).alias("d"), F.xxhash64(text).alias("h"), F.col(text).cast("string").alias("t"))
         texts = src.join(hint(want), (F.col("h") == F.col("th")) & F.col("d").eqNullSafe(F.col("doc"))).select("node", "t")
-        out = checkpoint(verified(pairs, texts, n, num, den))
-        return out
+        return checkpoint(verified(pairs, texts, n, num, den), rows=64)  # two texts a row
 
     def met_pairs(met: DataFrame) -> DataFrame:
         """The pairs that met and have not been verified yet."""
