@@ -237,7 +237,7 @@ def sampled(df: DataFrame, length: int, gram: int) -> DataFrame:
 def contexts(found: DataFrame, docs: DataFrame, length: int, gram: int, broadcast_bytes: int) -> DataFrame:
     """h, a, pos, left (reversed) and right bytes of the suffixes found: h, a, pos."""
     per_text = checkpoint(found.groupBy("a").agg(F.collect_list("h").alias("hs"), F.collect_list("pos").alias("ps")).withColumnRenamed("a", "of"))
-    size = per_text.agg(F.coalesce(F.sum(12 * F.size("hs") + 64), F.lit(0))).first()[0]
+    size = per_text.agg(F.coalesce(F.sum(24 * F.size("hs") + 128), F.lit(0))).first()[0]
     reps = docs.groupBy("a").agg(F.min("doc").alias("rep")) if size > broadcast_bytes else None
     if reps is None:
         rows = docs.join(F.broadcast(per_text), F.col("a") == F.col("of"))
@@ -363,15 +363,16 @@ def drop_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int
     twice = around.where("one <> other").select("h", "ctx")
     hint = F.broadcast if twice.count() * 24 <= broadcast_bytes else (lambda x: x)
     whole = found.join(hint(twice), ["h", "ctx"])
-    groups = around.groupBy("h").agg(F.count(F.lit(1)).alias("g"), F.max(F.expr("one = other")).alias("alone")).where("g > 1 and alone").drop("alone")
-    reps = checkpoint(around.join(groups, "h").select("h", "one.a", "one.pos", "g"))
+    groups = checkpoint(around.groupBy("h").agg(F.count(F.lit(1)).alias("g"), F.max(F.expr("one = other")).alias("alone")).where("g > 1 and alone").drop("alone"))
+    hint = F.broadcast if groups.count() * 24 <= broadcast_bytes else (lambda x: x)
+    reps = checkpoint(around.join(hint(groups), "h").select("h", "one.a", "one.pos", "g"))
     cold = contexts(reps.where(f"g <= {hot}"), docs, length, gram, broadcast_bytes)
     spans = every.where("ctx = 0 and h = 0").union(whole.select(*every.columns)).select("a", F.col("lo").alias("pos"), "size").union(sorted_spans(cold, length, gram))
     many = reps.where(f"g > {hot}")
     if many.limit(1).count():
         spans = spans.union(counted_spans(contexts(many, docs, length, gram, broadcast_bytes), length, gram, broadcast_bytes))
     gone = checkpoint(spans.groupBy("a").agg(F.collect_set(F.struct("pos", "size")).alias("s")).withColumnRenamed("a", "of"))
-    size = gone.agg(F.coalesce(F.sum(24 * F.size("s") + 64), F.lit(0))).first()[0]
+    size = gone.agg(F.coalesce(F.sum(48 * F.size("s") + 128), F.lit(0))).first()[0]
     remove(df.sparkSession, path)
     hint = F.broadcast if size <= broadcast_bytes else (lambda x: x)
     hint2 = F.broadcast if copies.count() * 32 <= broadcast_bytes else (lambda x: x)
