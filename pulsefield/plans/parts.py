@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pulsefield.config import EvalConfig, Frame, RBFKernel, RBFScheme, RSVDOptions, Scaling, Support, SymmetricCombine, rbf_min_degree
+from pulsefield.config import CompressionMethod, EvalConfig, Frame, KernelLowRankOptions, RBFKernel, RBFScheme, RSVDOptions, Scaling, Support, SymmetricCombine, rbf_min_degree
 from pulsefield.functions import lowrank
 from pulsefield.functions.rbf import rbf_interpolate
 from pulsefield.functions.spd import clamp_column
@@ -213,6 +213,27 @@ def block_norms(spark, sf_dir):
     return digits(norms(compressed(spark, sf_dir, 1e-3)), "norm")
 
 
+@query("svd_blocks", PART_NORMS)
+def svd_blocks(spark, sf_dir):
+    """The same by truncated SVD at rtol 1e-4."""
+    return digits(norms(compressed(spark, sf_dir, 1e-4, KernelLowRankOptions(method=CompressionMethod.DENSE_SVD))), "norm")
+
+
+@query("aca_blocks", PART_NORMS)
+def aca_blocks(spark, sf_dir):
+    """The same by cross approximation at rtol 1e-7."""
+    return digits(norms(compressed(spark, sf_dir, 1e-7, KernelLowRankOptions(method=CompressionMethod.ACA))), "norm")
+
+
+@query("kernel_low_rank", f"WITH {sql.kernel(OPEN, RBF)}, n AS (SELECT sqrt(sum(value * value)) AS norm FROM ker) SELECT CAST(0 AS INTEGER) AS part_id, TRUE AS below_full_rank, {digits_sql('norm', 2)} FROM n")
+def kernel_low_rank(spark, sf_dir):
+    """One factored block for the whole kernel: its norm, and that it has fewer than all ranks."""
+    k = kernel_of(spark, sf_dir, OPEN)
+    rows = B.kernel_low_rank(k, S.targets(spark, sf_dir), S.sources(spark, sf_dir), 1e-2, KernelLowRankOptions(method=CompressionMethod.DENSE_SVD))
+    b = B.BlockLowRank(0, 0, rows)
+    return digits(norms(b).join(rows.select("part_id", (F.col("rank") < F.least(F.size("source_ids"), F.size("target_ids"))).alias("below_full_rank")), "part_id"), "norm", 2)
+
+
 @query("brlr_round_trip", product_sql(False))
 def brlr_round_trip(spark, sf_dir):
     """The operator written, read again and multiplied."""

@@ -28,14 +28,3 @@ def test_without_text_operators(tmp_path):
     from tests.conftest import ROOT
 
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
-
-
-def test_recompress_reads_all_components(spark, small, tmp_path):
-    """A component past the sixth that is no number isn't passed over."""
-    from pulsefield.plans.catalogue import recompress
-
-    table = spark.read.parquet(f"{small}/embeddings.parquet").select("label", "embedding")
-    assert all(r.same_product and r.rank_falls for r in recompress(spark, small).collect())
-    table.selectExpr("label", "transform(embedding, (x, i) -> if(i = 63, cast('NaN' as float), x)) as embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
-    with pytest.raises(Exception, match="SVD|NaN|inf"):
-        recompress(spark, str(tmp_path)).collect()
