@@ -15,7 +15,7 @@ _PLACES = {
     "pulsefield.operators.predictions": "predictions predictions_over_targets support_ellipsoids",
     "pulsefield.operators.kernel": "KernelEvaluator",
     "pulsefield.operators.partition": "block_target_sets recursive_bisection_partition",
-    "pulsefield.operators.blocks": "BlockLowRank block_low_rank kernel_low_rank randomized_svd_blocks",
+    "pulsefield.operators.blocks": "Block BlockBuildInfo BlockLowRank BlockLowRankBuildResult KernelLowRankResult block_low_rank block_low_rank_result kernel_low_rank kernel_low_rank_result randomized_svd_blocks",
 }
 _WHERE = {name: place for place, names in _PLACES.items() for name in names.split()}
 __all__ = sorted(_WHERE)

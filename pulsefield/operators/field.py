@@ -165,6 +165,73 @@ class ImpulseResponseField:
         if self.stale:
             raise RuntimeError("the sample search is stale; call rebuild_kdtree() after add_batch(..., rebuild=False)")
 
+    # What the field holds, as small arrays on the driver, and its operators as methods
+
+    def _samples(self, name: str, width: int | None, present: bool = True) -> np.ndarray | None:
+        if not present:
+            return None
+        rows = [r[0] for r in self.samples.orderBy("sample_id").select(name).collect()] if self.samples is not None else []
+        return np.array(rows, float).reshape(len(rows), *([width] if width else []))
+
+    @property
+    def sample_points(self) -> np.ndarray:
+        return self._samples("xs", self.dim_source)
+
+    @property
+    def sample_V(self) -> np.ndarray | None:
+        return self._samples("v", None, "v" in self.sample_has)
+
+    @property
+    def sample_mu(self) -> np.ndarray | None:
+        return self._samples("mu", self.dim_target, "mu" in self.sample_has)
+
+    @property
+    def sample_Sigma(self) -> np.ndarray | None:
+        d = self.dim_target
+        flat = self._samples("sigma", d * d, "sigma" in self.sample_has)
+        return None if flat is None else flat.reshape(-1, d, d)
+
+    @property
+    def point2batch(self) -> np.ndarray:
+        return self._samples("batch_id", None).astype(int)
+
+    def batch_range(self, batch: int) -> tuple[int, int]:
+        """The half-open range of the batch's sample ids."""
+        low, high = self.samples.where(F.col("batch_id") == batch).agg(F.min("sample_id"), F.max("sample_id")).first() if self.samples is not None else (None, None)
+        if low is None:
+            raise ValueError(f"batch_range: there is no batch {batch}")
+        return low, high + 1
+
+    def batch_values(self, batch: int) -> np.ndarray:
+        """The batch's response at each target vertex."""
+        rows = self.batches.where(F.col("batch_id") == batch).orderBy("vertex_id").select("psi").collect() if self.batches is not None else []
+        if not rows:
+            raise ValueError(f"batch_values: there is no batch {batch}")
+        return np.array([r.psi for r in rows], float)
+
+    def predictions(self, pairs: DataFrame, sources: DataFrame, config: EvalConfig) -> DataFrame:
+        from pulsefield.operators.predictions import predictions
+
+        return predictions(self, pairs, sources, config)
+
+    def predictions_over_targets(self, targets: DataFrame, sources: DataFrame, config: EvalConfig) -> DataFrame:
+        from pulsefield.operators.predictions import predictions_over_targets
+
+        return predictions_over_targets(self, targets, sources, config)
+
+    def support_ellipsoids(self, sources: DataFrame, config: EvalConfig) -> DataFrame:
+        from pulsefield.operators.predictions import support_ellipsoids
+
+        return support_ellipsoids(self, sources, config)
+
+    def nearest_sample_distance(self, sources: DataFrame) -> DataFrame:
+        """source_id, dist; infinite without samples."""
+        from pulsefield.operators.neighbors import nearest_sample_distance
+
+        if self.samples is None:
+            return sources.select("source_id", F.lit(float("inf")).alias("dist"))
+        return nearest_sample_distance(sources, self.samples.select("sample_id", "xs"), self.dim_source)
+
     def arrays(self, most_values: int = 1 << 25) -> FieldArrays:
         """The field as arrays for use inside a task; refuses more than most_values batch values."""
         target = self.target.arrays()

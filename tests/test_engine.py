@@ -528,3 +528,26 @@ def test_pairs_are_entries_of_blocks():
         for f in fields:
             got = KernelArrays(f, f if two else None, c, RBFScheme()).pairs(y, x, t, s).reshape(want.shape)
             assert np.allclose(got, want, rtol=1e-9, atol=1e-9)
+
+
+def test_field_and_results_on_the_driver(spark, small):
+    """The field's samples and batches as arrays, its operators as methods, and results with what they report."""
+    from pulsefield import block_low_rank_result, kernel_low_rank_result
+    from pulsefield.plans.catalogue import BASE, OPEN, kernel_of, partition
+    from pulsefield.sources import tables as S
+
+    f, sources, targets = S.field(spark, small), S.sources(spark, small), S.targets(spark, small).where("target_id < 30")
+    samples = S.samples(spark, small).orderBy("sample_id").collect()
+    assert f.sample_points.tolist() == [r.xs for r in samples] and f.sample_V.tolist() == [r.v for r in samples]
+    assert f.point2batch.tolist() == [r.batch_id for r in samples] and f.sample_Sigma.shape == (25, 2, 2) and f.sample_mu.shape == (25, 2)
+    ids = [r.sample_id for r in samples if r.batch_id == 1]
+    assert f.batch_range(1) == (min(ids), max(ids) + 1) and len(f.batch_values(1)) == 289
+    with pytest.raises(ValueError):
+        f.batch_range(99)
+    assert f.nearest_sample_distance(sources).count() == sources.count() and f.support_ellipsoids(sources, BASE).count() == 3 * sources.count()
+    k = kernel_of(spark, small, OPEN)
+    got = block_low_rank_result(k, targets, sources, partition(spark, small), 1e-2)
+    assert got.all_converged and not got.any_hit_max_rank and [i.part_id for i in got.infos] == [0]
+    exact = k.arrays().block(np.array([r.y for r in targets.orderBy("target_id").collect()]), np.array([r.x for r in sources.orderBy("source_id").collect()]))
+    for dense in (got.operator.block(0).to_dense(), kernel_low_rank_result(k, targets, sources, 1e-2).factors.to_dense()):
+        assert np.linalg.norm(dense - exact) <= 1.01e-2 * np.linalg.norm(exact)
