@@ -42,8 +42,10 @@ def trigrams(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     x = np.full(len(data) + 2 * n, 0x20, np.uint8)
     x[np.arange(len(data)) + 2 * np.repeat(np.arange(n), np.diff(off)) + 1] = _FOLD[data]
     x = x.astype(np.uint32)
-    h = (x[:-2] * np.uint32(0x9E3779B1) + x[1:-1] * np.uint32(0x85EBCA77) + x[2:] * np.uint32(0xC2B2AE3D)) >> np.uint32(20) if len(x) > 2 else np.zeros(0, np.uint32)
-    return h, np.minimum(off + 2 * np.arange(n + 1), len(h))
+    own = np.ones(len(x), bool)  # a text's last two places have no trigram inside it
+    own[(off[1:] + 2 * np.arange(1, n + 1))[:, None] - [2, 1]] = False
+    at = np.flatnonzero(own)
+    return (x[at] * np.uint32(0x9E3779B1) + x[at + 1] * np.uint32(0x85EBCA77) + x[at + 2] * np.uint32(0xC2B2AE3D)) >> np.uint32(20), off
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, reg: float = 1e-3, rounds: int = 120) -> tuple[np.ndarray, float]:

@@ -17,9 +17,17 @@ from pyspark.sql import types as T
 
 from pulsefield.llm.common import map_text
 
-# Fixed values of the format: kbit/s of MPEG-1 and MPEG-2/2.5 Layer III, and the sampling rates of MPEG-1.
+# Fixed values of the format: kbit/s of MPEG-1 and MPEG-2/2.5 by layer, and the sampling rates of MPEG-1.
 RATES_1 = [0, 32, 40, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320]
 RATES_2 = [0, 8, 16, 24, 32, 40, 48, 56, 64, 80, 96, 112, 128, 144, 160]
+RATES = {
+    (True, 1): [0, 32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448],
+    (True, 2): [0, 32, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384],
+    (True, 3): RATES_1,
+    (False, 1): [0, 32, 48, 56, 64, 80, 96, 112, 128, 144, 160, 176, 192, 224, 256],
+    (False, 2): RATES_2,
+    (False, 3): RATES_2,
+}
 HERTZ = [44100, 48000, 32000]
 
 
@@ -31,6 +39,7 @@ class Header:
     kbps: int
     checked: bool
     side: int
+    layer: int
 
 
 @dataclass
@@ -47,24 +56,28 @@ class Parsed:
 
     @property
     def seconds(self) -> float:
-        return self.samples / self.hertz if self.hertz else 0.0
+        """Of what is heard: without the delay and padding that an encoder states."""
+        heard = max(0, self.samples - self.table.get("delay", 0) - self.table.get("padding", 0))
+        return heard / self.hertz if self.hertz else 0.0
 
 
 _known: dict[bytes, Header | None] = {}
 
 
 def header(four: bytes) -> Header | None:
-    """The Layer III frame header in four bytes, or None."""
+    """The frame header in four bytes, or None."""
     if four in _known:
         return _known[four]
     out = None
-    if len(four) == 4 and four[0] == 0xFF and four[1] & 0xE6 == 0xE2:
-        version, rate, hz = four[1] >> 3 & 3, four[2] >> 4, four[2] >> 2 & 3
-        if version != 1 and rate not in (0, 15) and hz != 3:
-            one, mono = version == 3, four[3] >> 6 == 3
-            kbps, hertz = (RATES_1 if one else RATES_2)[rate], HERTZ[hz] >> (0 if one else 1 if version == 2 else 2)
-            samples = 1152 if one else 576
-            out = Header(samples // 8 * kbps * 1000 // hertz + (four[2] >> 1 & 1), samples, hertz, kbps, not four[1] & 1, (17 if mono else 32) if one else (9 if mono else 17))
+    if len(four) == 4 and four[0] == 0xFF and four[1] & 0xE0 == 0xE0:
+        version, layer, rate, hz = four[1] >> 3 & 3, 4 - (four[1] >> 1 & 3), four[2] >> 4, four[2] >> 2 & 3
+        if version != 1 and layer < 4 and rate not in (0, 15) and hz != 3:
+            one, mono, padded = version == 3, four[3] >> 6 == 3, four[2] >> 1 & 1
+            kbps, hertz = RATES[one, layer][rate], HERTZ[hz] >> (0 if one else 1 if version == 2 else 2)
+            samples = 384 if layer == 1 else 1152 if one or layer == 2 else 576
+            size = (12_000 * kbps // hertz + padded) * 4 if layer == 1 else samples // 8 * kbps * 1000 // hertz + padded
+            side = 0 if layer < 3 else (17 if mono else 32) if one else (9 if mono else 17)
+            out = Header(size, samples, hertz, kbps, not four[1] & 1, side, layer)
     if len(_known) < 4096:
         _known[four] = out
     return out
@@ -148,7 +161,7 @@ def parse(data: bytes) -> Parsed:
                 at += h.size
                 synced = True
                 continue
-            if h.checked:
+            if h.checked and h.layer == 3:
                 out.checked += 1
                 out.bad_checksums += checksum(data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]) != int.from_bytes(data[at + 4 : at + 6], "big")
             out.frames.append((at, h))
@@ -176,6 +189,11 @@ def table(data: bytes, at: int, h: Header, out: Parsed) -> bool:
                 k += 4
         if flags & 4:
             out.toc = data[k : k + 100]
+            k += 100
+        k += 4 * bool(flags & 8)
+        if data[k : k + 4] in (b"LAME", b"Lavf", b"Lavc"):
+            gap = num(k + 21, 3)
+            out.table |= {"delay": gap >> 12, "padding": gap & 4095}
         out.table["flags"] = flags
     elif data[at + 36 : at + 40] == b"VBRI":
         out.table |= {"bytes": num(at + 46), "frames": num(at + 50)}
@@ -200,12 +218,11 @@ def audio_columns(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
     """Each text's bytes in an MPEG stream, read back from it: sizes, digests, exact duration and frame seek offsets.
 
     Null and empty texts are one block of 64 zero bytes; equal texts give equal values; repeated rows stay; an empty
-    table gives no rows; other input columns, whatever their names, are not read. media adds the stream itself, its
-    duration in seconds and the offset of each frame.
+    table gives no rows; other input columns, whatever their names, are not read. media adds the stream itself.
     """
-    fields = [("n_bytes", T.LongType()), ("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType())]
+    fields = [("n_bytes", T.LongType()), ("payload_bytes", T.LongType()), ("payload_sha256", T.StringType()), ("tail_crc32", T.LongType()), ("media_bytes", T.LongType()), ("media_sha256", T.StringType()), ("feature", T.StringType()), ("seconds", T.DoubleType()), ("seek", T.ArrayType(T.LongType(), False))]
     if media:
-        fields += [("media", T.BinaryType()), ("seconds", T.DoubleType()), ("seek", T.ArrayType(T.LongType(), False))]
+        fields.append(("media", T.BinaryType()))
 
     def row(t: str | None) -> tuple:
         raw = (t or "").encode()
@@ -213,10 +230,10 @@ def audio_columns(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("d
         got, p = read(stream)
         seek = [a for a, _ in p.frames]
         what = f"frames={len(seek)};samples={p.samples};us={p.samples * 1_000_000 // p.hertz};crc_ok={p.checked - p.bad_checksums};crc_bad={p.bad_checksums};xing_frames={p.table.get('frames')};toc_crc={zlib.crc32(p.toc)};seek_crc={zlib.crc32(','.join(map(str, seek)).encode())};skipped={p.skipped}"
-        out = (len(raw), len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-64:]), len(stream), hashlib.sha256(stream).hexdigest(), what)
-        return (*out, stream, p.seconds, seek) if media else out
+        out = (len(raw), len(got), hashlib.sha256(got).hexdigest(), zlib.crc32(got[-64:]), len(stream), hashlib.sha256(stream).hexdigest(), what, p.seconds, seek)
+        return (*out, stream) if media else out
 
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary(), pa.float64(), pa.list_(pa.field("element", pa.int64(), False))]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64(), pa.list_(pa.field("element", pa.int64(), False)), pa.binary()]
 
     def make():
         return lambda texts: [pa.array(c, k) for c, k in zip(zip(*map(row, texts.to_pylist()), strict=True), kinds, strict=False)]

@@ -111,6 +111,18 @@ def test_audio_resynchronises():
     assert mpeg_audio.parse(stream[:at] + b"\x01" + stream[at + 1 :]).bad_checksums == 1
 
 
+def test_audio_layers_and_delays():
+    one, two = bytes([0xFF, 0xFF, 0x94, 0]), bytes([0xFF, 0xFD, 0xA4, 0])  # 48 kHz, 288 kbit/s in Layer I, 192 in Layer II
+    for four, size, samples in ((one, 288, 384), (two, 576, 1152)):
+        p = mpeg_audio.parse((four + bytes(size - 4)) * 5)
+        assert [a for a, _ in p.frames] == [k * size for k in range(5)] and p.seconds == 5 * samples / 48000
+    stream = mpeg_audio.write(b"x" * 4096)
+    at = stream.index(b"Xing") + 4 + 4 + 4 + 4 + 100
+    lame = b"LAME3.100" + bytes(12) + (576 << 12 | 1000).to_bytes(3, "big")
+    p = mpeg_audio.parse(stream[:at] + lame + stream[at + len(lame) :])
+    assert p.table["delay"] == 576 and p.seconds == (1152 * len(p.frames) - 1576) / 48000
+
+
 def test_audio_query(spark, small):
     import zlib
 
@@ -118,6 +130,10 @@ def test_audio_query(spark, small):
     for r in queries.op8_mpeg_audio(spark, small).collect():
         raw = texts[r.doc_id].encode()
         payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        stream = mpeg_audio.write(payload)
+        starts = [k for k in range(stream.index(b"Xing") - 38 + 192, len(stream) - 3) if stream[k : k + 2] == b"\xff\xfa"]
+        assert (r.media_bytes, r.media_sha256, list(r.seek)) == (len(stream), hashlib.sha256(stream).hexdigest(), starts)
+        assert r.seconds == 1152 * len(starts) / 48000
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
 
 
@@ -129,6 +145,27 @@ def test_language(spark, small):
     assert got.where("score < 0 or score > 1").count() == 0
 
 
+def test_language_by_brute_force():
+    """Votes and margins worked out text by text, from trigrams counted one by one and the machines' weights."""
+    import math
+
+    m = language_id.Model(["the and of it is that", "der und die das ist ein", "le la les est une des", "el los que una es por"] * 3, ["en", "de", "fr", "es"] * 3)
+    texts = ["The end of it.", "und das ist!", "Les amis est une", "que los es", "zzz", "é", "Ab 12"]
+    for t, lang, score in zip(texts, *m.predict(pa.array(texts)), strict=True):
+        raw = [32, *(b if not b < 128 or chr(b).isalpha() else 32 for b in t.encode().translate(FOLD)), 32]
+        grams = [((a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D) % 2**32) >> 20 for a, b, c in zip(raw, raw[1:], raw[2:])]
+        margin = {p: sum(m.w[g, k] for g in grams) / len(grams) + m.b[k] for k, p in enumerate(m.pairs)}
+
+        def best(names):
+            of = {n: [margin[p] * (1 if p[0] == n else -1) for p in margin if n in p and set(p) <= set(names)] for n in names}
+            top = max(names, key=lambda n: sum((x > 0) + 1e-3 * math.tanh(x) for x in of[n]))
+            return top, min(of[top], default=math.inf)
+
+        family, sure = best(list(m.families))
+        want, own = best(m.families[family])
+        assert lang == want and abs(score - 1 / (1 + math.exp(-4 * max(-20, min(20, sure, own))))) < 1e-9
+
+
 def test_language_needs_letters():
     m = language_id.Model(["the and of it is", "der und die das ist", "le la les est une", "el los que una es"] * 3, ["en", "de", "fr", "es"] * 3)
     pred, score = m.predict(pa.array([None, "", "123 !?", "the of and"]))
