@@ -2,11 +2,13 @@
 
 Features are frequencies of hashed byte trigrams of letters and blanks over the whole text. All machines, those between
 families and those between the languages of a family, are linear in them, so a text is one gather and one ragged sum.
-They are fitted on a bounded sample of labelled rows (per_lang rows a language, chosen by a hash) in the driver.
+They are fitted in the driver on the trigram counts of a bounded sample of labelled rows (per_lang rows a language, chosen
+by a hash).
 """
 
 from __future__ import annotations
 
+import zlib
 from itertools import combinations
 
 import numpy as np
@@ -16,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsefield.llm.common import LOWER, map_text, pack, sums
+from pulsefield.llm.common import LOWER, map_arrow, map_text, pack, small_batches, squeeze, sums, unsqueeze
 
 WIDTH = 4096
 #: Families of closely related languages; a language of none is a family of its own.
@@ -67,26 +69,37 @@ def fit_svm(x: np.ndarray, y: np.ndarray, reg: float = 1e-3, rounds: int = 120)
     return w, b
 
 
+def features(text: str) -> list[np.ndarray]:
+    """Trigram counts of a text and, if it is long, of a short piece of it too, as texts can be short."""
+    raw = text.encode()
+    parts = [raw]
+    if len(raw) > 160:
+        at = zlib.crc32(raw) % (len(raw) - 120)
+        parts.append(raw[at : at + 120])
+    return [np.bincount(trigrams(np.frombuffer(r, np.uint8), np.array([0, len(r)]))[0], minlength=WIDTH).astype(np.uint32) for r in parts]
+
+
 class Model:
     """languages, their families, and machines: (left set, right set) with weights over trigrams."""
 
-    def __init__(self, texts: list[str], langs: list[str], seed: int = 7):
-        self.langs = sorted(set(langs))
+    def __init__(self, texts: list[str], langs: list[str]):
+        rows = [(f, lang) for t, lang in zip(texts, langs, strict=True) for f in features(t)]
+        self.learn([f for f, _ in rows], [lang for _, lang in rows])
+
+    @staticmethod
+    def of(counts: list[np.ndarray], langs: list[str]) -> Model:
+        """A model of texts that are known by their trigram counts."""
+        out = Model.__new__(Model)
+        out.learn(counts, langs)
+        return out
+
+    def learn(self, rows: list[np.ndarray], labels: list[str]) -> None:
+        self.langs = sorted(set(labels))
         family = {lang: next((f for f, m in FAMILIES.items() if lang in m), f"only-{lang}") for lang in self.langs}
         self.families = {f: [x for x in self.langs if family[x] == f] for f in sorted(set(family.values()))}
-        rng = np.random.default_rng(seed)
-        rows, labels = [], []
-        for t, lang in zip(texts, langs, strict=True):
-            raw = t.encode()
-            rows.append(raw)
-            if len(raw) > 160:  # a short piece too, as texts can be short
-                at = int(rng.integers(0, len(raw) - 120))
-                rows.append(raw[at : at + 120])
-            labels += [lang] * (len(rows) - len(labels))
         x = np.zeros((len(rows), WIDTH), np.float32)
-        for i, r in enumerate(rows):
-            h, _ = trigrams(np.frombuffer(r, np.uint8), np.array([0, len(r)]))
-            x[i] = np.bincount(h, minlength=WIDTH) / max(1, len(h))
+        for i, f in enumerate(rows):
+            x[i] = f / max(1, int(f.sum()))
         mean = x.mean(0) if len(rows) else np.zeros(WIDTH, np.float32)
         scale = 1 / (x.std(0) + 1e-4) / np.sqrt(WIDTH) if len(rows) else mean
         x -= mean
@@ -149,9 +162,16 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", doc: str = "doc_i
         return Model([], [])
     span = 1 << 30
     upto = F.create_map(*[F.lit(v) for k, n in count.items() for v in (k, min(span, per_lang * span // n))])
-    got = rows.where((F.pmod(F.xxhash64("d", F.lit(5)), F.lit(span)) < upto[F.col("l")]) & F.col("t").isNotNull()).collect()
-    got.sort(key=lambda r: (r.l, str(r.d), r.t))
-    return Model([r.t for r in got], [r.l for r in got])
+    some = rows.where((F.pmod(F.xxhash64("d", F.lit(5)), F.lit(span)) < upto[F.col("l")]) & F.col("t").isNotNull()).select("l", "t")
+
+    def count(batches):  # so that the driver gets counts of one size, however long the texts are
+        for b in batches:
+            got = [(lang, squeeze(f)) for lang, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for f in features(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.binary())], names=["l", "f"])
+
+    small_batches(df.sparkSession)
+    got = sorted(map_arrow(some, count, "l string, f binary").collect(), key=lambda r: (r.l, bytes(r.f)))
+    return Model.of([unsqueeze(r.f, np.uint32) for r in got], [r.l for r in got])
 
 
 def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
