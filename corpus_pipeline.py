@@ -22,7 +22,7 @@ from pulsefield.llm.ngram_join import link_components
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Documents whose language score is below this are rejected. The winner's score is never below 0.5, the boundary itself;
 #: the README has the held-out scores of clean texts and of random letters from which this was chosen.
-LEAST_SCORE = 0.72
+LEAST_SCORE = 0.75
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
