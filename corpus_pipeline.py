@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept; all but the last return the
 columns of documents. Stages 1, 3 and 4 drop whole documents, stage 2 lines, and stage 5 adds tokens.
+
+In every stage an empty table gives an empty table, repeated rows are judged alike, columns beside those of documents are
+not read, and a row with nulls stays unless the stage's own rule drops it: a null text has no language and goes in stage 1;
+in the later stages it has no lines, words or tokens, so nothing is dropped for it.
 """
 
 from __future__ import annotations
@@ -13,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pulsefield.llm.bpe_codec import round_trip
-from pulsefield.llm.common import BROADCAST_BYTES, checkpoint, read_table, shared_dir
+from pulsefield.llm.common import BROADCAST_BYTES, checkpoint, read_table, remove, shared_dir
 from pulsefield.llm.decontamination import decontaminate
 from pulsefield.llm.language_id import UNKNOWN, fit, identify
 from pulsefield.llm.line_dedup import drop_boilerplate
@@ -86,10 +90,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written as Parquet in the shared folder and read again."""
+    """All stages over documents; each result is written as Parquet in the shared folder, read again, and goes after the next."""
     docs = read_table(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder, before = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            remove(spark, before)
+        before = f"{folder}/{name}"
     return docs

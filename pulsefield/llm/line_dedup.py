@@ -39,8 +39,8 @@ def drop_boilerplate(df: DataFrame, text: str = "text", site: str = "source", ra
     """keep columns, n_lines, n_dropped and the text without its site's boilerplate lines, one row for each input row.
 
     Null texts have 0 lines and stay null; a null site is a site of its own; lines of blanks only are neither counted
-    nor dropped; repeated rows count as so many pages, or with `once` equal texts of a site as one; an empty table gives no rows; columns other than `keep`, text
-    and site are not read.
+    nor dropped; repeated rows count as so many pages, or with `once` equal texts of a site as one; an empty table gives
+    no rows; columns other than `keep`, text and site are not read.
     """
     found = checkpoint(boilerplate(df, text, site, ratio, min_pages, once))
     size = found.agg(F.coalesce(F.sum(16 * F.col("n") + 32 * SLOTS), F.lit(0))).first()[0]
