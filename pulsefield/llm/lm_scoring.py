@@ -7,7 +7,7 @@ q = c1 * r[first] + c2 * r[second]; groups and shapes score q . t[class] + b[cla
 so a token's probability is that of its class times its own inside, and the model is a proper distribution over all
 words. Both levels are trained by noise-contrastive estimation and normalised exactly by batched matrix products.
 
-Training texts are dealt by a hash into shards, as many as their tokens ask for. Each shard trains a model on all its
+Training rows are dealt by a hash of id and text into shards, as many as their tokens ask for, so copies spread out. Each shard trains a model on all its
 tokens in the order of that hash, from one start, and the weighted mean of the shards' models is the model; so scores do
 not depend on how the table is partitioned.
 """
@@ -28,29 +28,29 @@ from pulsefield.llm.common import SPACES, checkpoint, coded_words, hashes_of, ma
 #: Most frequent words whose counts every task holds (all leaves at least); all others get theirs over a join.
 HEAD = 1 << 20
 WIDTH = 16
-BATCH, NOISE, WITHIN, RATE = 4096, 64, 4, 0.3
+BATCH, NOISE, WITHIN, RATE = 4096, 32, 3, 0.3
 #: Training tokens of a shard, of its part in minibatches of a quarter, and of a draw of minibatches.
 SHARD, RAMP, DRAW = 1 << 22, 1 << 19, 1 << 18
 END = mix(np.array([0xE4D], np.uint64))[0]
 FAN_IN = 8
 
 
-def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes of each text and then END, their shapes, and n+1 offsets."""
+def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Each token's place among the distinct ones, n+1 offsets, and the distinct tokens' hashes and shapes; the last is END."""
     codes, off, distinct = coded_words(texts, SPACES)
     n = len(off) - 1
-    at = np.arange(len(codes)) + np.repeat(np.arange(n), np.diff(off))
-    h, shape = np.full(len(codes) + n, END, np.uint64), np.zeros(len(codes) + n, np.int32)
-    h[at], shape[at] = hashes_of(distinct)[codes], shapes_of(distinct)[codes]
-    return h, shape, off + np.arange(n + 1)
+    out = np.full(len(codes) + n, len(distinct), np.int32)
+    out[np.arange(len(codes)) + np.repeat(np.arange(n), np.diff(off))] = codes
+    return out, off + np.arange(n + 1), np.append(hashes_of(distinct), END), np.append(shapes_of(distinct), np.int32(0))
 
 
 def shapes_of(distinct: pa.Array) -> np.ndarray:
     """A number for the last two bytes and the length (up to 15) of each word, scattered over 20 bits."""
-    size = pc.binary_length(distinct).to_numpy(zero_copy_only=False).astype(np.int64)
-    end = np.cumsum(size)
-    data = np.frombuffer(b"".join(distinct.to_pylist()), np.uint8).astype(np.uint64)
-    last = [np.where(size > k, data[np.maximum(end - 1 - k, 0)], 0) if len(data) else np.zeros(len(size), np.uint64) for k in (0, 1)]
+    _, bounds, data = distinct.buffers()
+    bounds = np.frombuffer(bounds, np.int64)[distinct.offset : distinct.offset + len(distinct) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(1, np.uint8)
+    size, end = np.diff(bounds), bounds[1:]
+    last = [np.where(size > k, data[np.maximum(end - 1 - k, 0)], 0).astype(np.uint64) for k in (0, 1)]
     return (mix(last[0] << np.uint64(16) | last[1] << np.uint64(8) | np.minimum(size, 15).astype(np.uint64)) >> np.uint64(44)).astype(np.int32)
 
 
@@ -71,12 +71,11 @@ def count_words(df: DataFrame) -> DataFrame:
         for batch in batches:
             batch = batch.filter(pc.invert(batch.column(1)))
             for s in slices(batch, 0, 4 << 20):
-                h, shape, _ = tokens(s.column(0))
-                k, first, c = np.unique(h, return_index=True, return_counts=True)
-                keys.append(k)
-                shapes.append(shape[first])
-                counts.append(c.astype(np.int64))
-                held += len(k)
+                w, _, h, shape = tokens(s.column(0))
+                keys.append(h)
+                shapes.append(shape)
+                counts.append(np.bincount(w, minlength=len(h)))
+                held += len(h)
             if held > 2_000_000:
                 k, s, c = merged()
                 if len(k) > 1_000_000:
@@ -139,6 +138,7 @@ class Bilinear:
         self.inner = counts / of_group[self.group] if k else np.zeros(0)
         self.cum = np.concatenate([[0.0], np.cumsum(counts)])
         self.size = np.diff(self.first)
+        self.expected = np.log(NOISE * self.noise).astype(np.float32), np.log(WITHIN * self.inner).astype(np.float32)
         draw = lambda n: rng.normal(0, 0.1, (n, WIDTH)).astype(np.float32)
         # contexts r, classes t and b, leaves u and a, and the weights of the two places
         self.p = [draw(k + n_shapes), draw(len(self.noise)), np.log(self.noise).astype(np.float32), draw(k), np.log(self.inner).astype(np.float32), np.ones(WIDTH, np.float32), np.full(WIDTH, 0.5, np.float32)]
@@ -152,7 +152,7 @@ class Bilinear:
             if grad.ndim == 1:
                 g = np.bincount(back, grad, len(rows))
             else:
-                g = np.stack([np.bincount(back, grad[:, d], len(rows)) for d in range(WIDTH)], 1)
+                g = np.stack([np.bincount(back, column, len(rows)) for column in np.ascontiguousarray(grad.T, np.float64)], 1)
             g = (g / n).astype(np.float32)
             s = self.g[k][rows] + g * g * 400
             self.g[k][rows] = s
@@ -162,7 +162,7 @@ class Bilinear:
         """One minibatch of noise-contrastive estimation: of classes against shared noise, of leaves inside their groups."""
         r, t, b, u, a, m1, m2 = self.p
         n = len(w)
-        lk = np.log(NOISE * self.noise).astype(np.float32)
+        lk, li = self.expected
         noise = rng.choice(len(b), NOISE, p=self.noise)
         r1, r2, cls = r[c1], r[c2], self.cls[w]
         q = r1 * m1 + r2 * m2
@@ -179,7 +179,6 @@ class Bilinear:
             other = np.searchsorted(self.cum, low[:, None] + rng.random((len(own), WITHIN)) * (high - low)[:, None], "right") - 1
             other = np.clip(other, self.first[g][:, None], self.first[g + 1][:, None] - 1)
             z, ux, un = q[own], u[x], u[other]
-            li = np.log(WITHIN * self.inner).astype(np.float32)
             up = 1 / (1 + np.exp(np.clip((z * ux).sum(1) + a[x] - li[x], -30, 30)))
             down = 1 / (1 + np.exp(-np.clip(np.matmul(un, z[:, :, None])[:, :, 0] + a[other] - li[other], -30, 30)))
             dq[own] += up[:, None] * ux - np.matmul(down[:, None, :], un)[:, 0, :]
@@ -250,7 +249,7 @@ def train(rows: DataFrame, start, end: int, n_tokens: int, shard_tokens: int) ->
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(n_shards))).repartitionByRange(n_shards, "part").sortWithinPartitions("part", "key")
 
     def run(batches):
-        model, part, seen, held, rng = None, None, 0, [], None
+        model, part, seen, held, waiting, rng = None, None, 0, [], 0, None
 
         def learn():
             off = np.concatenate([[0], np.cumsum([len(x) for x in held])])
@@ -272,11 +271,12 @@ def train(rows: DataFrame, start, end: int, n_tokens: int, shard_tokens: int) ->
                     if part is not None:
                         seen += learn() if held else 0
                         yield done()
-                    model, part, seen, held, rng = start.value(), p, 0, [], np.random.default_rng(p)
+                    model, part, seen, held, waiting, rng = start.value(), p, 0, [], 0, np.random.default_rng(p)
                 held.append(unsqueeze(ids, np.int32))
-                if sum(map(len, held)) >= DRAW:
+                waiting += len(held[-1])
+                if waiting >= DRAW:
                     seen += learn()
-                    held = []
+                    held, waiting = [], 0
         if part is not None:
             seen += learn() if held else 0
             yield done()
@@ -321,11 +321,11 @@ def score(df: DataFrame, held: Column, text: str = "text", doc: str = "doc_id",
     """
     spark = df.sparkSession
     small_batches(spark)
-    src = df.select(F.col(text).cast("string").alias("t"), F.coalesce(held, F.lit(False)).alias("held"), F.col(doc).alias("doc"), F.xxhash64(text).alias("key"), F.monotonically_increasing_id().alias("rid"))
+    src = df.select(F.col(text).cast("string").alias("t"), F.coalesce(held, F.lit(False)).alias("held"), F.col(doc).alias("doc"), F.xxhash64(F.col(doc), F.col(text)).alias("key"), F.monotonically_increasing_id().alias("rid"))
     counts, counted = stored(count_words(src.select("t", "held")))
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     leaves = min(v, max(256, math.ceil(v ** (2 / 3))))
-    n_shapes = max(16, math.isqrt(leaves))
+    n_shapes = max(16, math.isqrt(leaves) // 2)
     level = F.floor(F.log2("c") * 16)
     least, taken = 0, 0
     for r in counts.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # some hundred levels
@@ -354,16 +354,19 @@ def score(df: DataFrame, held: Column, text: str = "text", doc: str = "doc_id",
         logs = np.log10(head.c + 0.1)
         of_shape = np.log10(shape_mass)
         for batch in batches:
-            for s in slices(batch, 0, 1 << 20):
-                h, shape, off = tokens(s.column(0))
-                at = head.find(h)
+            for s in slices(batch, 0, 2 << 20):
+                word, off, h, shape = tokens(s.column(0))
                 rows = off[:-1]
-                base = np.where(at >= 0, logs[at], 0.0) if len(logs) else np.zeros(len(h))
-                w = np.where(at >= 0, head.leaf[at], -1) if len(logs) else np.full(len(h), -1, np.int32)
-                other = w < 0
-                w = np.where(other, leaves + shape % n_shapes, w).astype(np.int32)
-                inside = np.where(other, base - of_shape[shape % n_shapes], 0.0)
-                lost = np.flatnonzero(at < 0)
+                # What is known of each distinct word, then of each token.
+                at = head.find(h)
+                known = at >= 0
+                base = np.where(known, logs[at], 0.0) if len(logs) else np.zeros(len(h))
+                leaf = np.where(known, head.leaf[at], -1) if len(logs) else np.full(len(h), -1, np.int32)
+                other = leaf < 0
+                inside = np.where(other, base - of_shape[shape % n_shapes], 0.0)[word]
+                w = np.where(other, leaves + shape % n_shapes, leaf).astype(np.int32)[word]
+                base, known, h = base[word], known[word], h[word]
+                lost = np.flatnonzero(~known)
                 doc = np.searchsorted(off, lost, "right") - 1
                 o = np.lexsort((h[lost], doc))
                 x, d = h[lost][o], doc[o]
@@ -375,7 +378,7 @@ def score(df: DataFrame, held: Column, text: str = "text", doc: str = "doc_id",
                 total = lambda z: pa.array(np.add.reduceat(z, rows) if len(rows) else z)
                 ids = pa.array([squeeze(w[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
-                    [s.column(4), s.column(3), s.column(2), s.column(1), pa.array(np.diff(off)), total((at >= 0).astype(np.int64)), total(base), total(inside), ids, of(pa.array(x[first].view(np.int64)), pa.int64()), of(pa.array(many, pa.int32()), pa.int32())],
+                    [s.column(4), s.column(3), s.column(2), s.column(1), pa.array(np.diff(off)), total(known.astype(np.int64)), total(base), total(inside), ids, of(pa.array(x[first].view(np.int64)), pa.int64()), of(pa.array(many, pa.int32()), pa.int32())],
                     names=schema.names,
                 )
 

@@ -172,7 +172,7 @@ def test_language_model_score_brute_force(spark):
     mass = np.full(16, 0.1)
     model = lm_scoring.Bilinear(np.array([c[w] + 0.1 for w in order]), mass)
     leaf = {w: i for i, w in enumerate(order)}
-    keys = {r.doc_id: r.k for r in df.selectExpr("doc_id", "xxhash64(text) as k").collect()}
+    keys = {r.doc_id: r.k for r in df.selectExpr("doc_id", "xxhash64(doc_id, text) as k").collect()}
     held = [np.array([leaf[w] for w in [*words(texts[i]), None]], np.int32) for i in sorted(keys, key=keys.get)]
     w, off = np.concatenate(held), np.concatenate([[0], np.cumsum([len(x) for x in held])])
     rng = np.random.default_rng(0)
