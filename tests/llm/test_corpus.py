@@ -275,3 +275,16 @@ def test_pipeline_odd_rows(spark, odd, small):
             assert out.columns == list(corpus_pipeline.COLUMNS)
     kept = [r.doc_id for r in corpus_pipeline.near_copies(spark, docs, small).collect()]
     assert kept.count(5) == 1
+
+
+def test_repeats_with_shuffled_texts(spark, monkeypatch):
+    """Texts that meet their spans by a shuffle: copies, short and null texts have no spans, and the rows stay the same."""
+    from pulsefield.llm import suffix_dedup as sd
+
+    common = "".join(chr(97 + (i * i * 7 + i // 3) % 26) for i in range(500))
+    texts = ["x1 " + common + " y1", "zz2 " + common + " w2", "same " * 100, "same " * 100, "short", "short", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted(map(tuple, sd.drop_repeats(df).collect()))
+    assert [r[2] >= 500 for r in want] == [True, True, True, True, False, False, False, False]
+    monkeypatch.setattr(sd, "BESIDE_TEXTS", 0)
+    assert sorted(map(tuple, sd.drop_repeats(df).collect())) == want
