@@ -9,6 +9,7 @@ by a hash).
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterable
 from itertools import combinations
 
 import numpy as np
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsefield.llm.common import LOWER, map_arrow, map_text, pack, small_batches, squeeze, sums, unsqueeze
+from pulsefield.llm.common import LOWER, map_arrow, map_text, pack, small_batches, squeeze, sums, trim, unsqueeze
 
 WIDTH = 4096
 #: Families of closely related languages; a language of none is a family of its own.
@@ -87,21 +88,22 @@ class Model:
         self.learn([f for f, _ in rows], [lang for _, lang in rows])
 
     @staticmethod
-    def of(counts: list[np.ndarray], langs: list[str]) -> Model:
-        """A model of texts that are known by their trigram counts."""
+    def of(counts: Iterable[np.ndarray], langs: list[str]) -> Model:
+        """A model of texts that are known by their trigram counts, which are held one at a time."""
         out = Model.__new__(Model)
         out.learn(counts, langs)
         return out
 
-    def learn(self, rows: list[np.ndarray], labels: list[str]) -> None:
+    def learn(self, rows: Iterable[np.ndarray], labels: list[str]) -> None:
         self.langs = sorted(set(labels))
         family = {lang: next((f for f, m in FAMILIES.items() if lang in m), f"only-{lang}") for lang in self.langs}
         self.families = {f: [x for x in self.langs if family[x] == f] for f in sorted(set(family.values()))}
-        x = np.zeros((len(rows), WIDTH), np.float32)
+        x = np.zeros((len(labels), WIDTH), np.float32)
         for i, f in enumerate(rows):
             x[i] = f / max(1, int(f.sum()))
-        mean = x.mean(0) if len(rows) else np.zeros(WIDTH, np.float32)
-        scale = 1 / (x.std(0) + 1e-4) / np.sqrt(WIDTH) if len(rows) else mean
+        mean = x.mean(0) if len(labels) else np.zeros(WIDTH, np.float32)
+        # Some columns at a time: std() copies what it is given.
+        scale = 1 / (np.concatenate([x[:, k : k + 256].std(0) for k in range(0, WIDTH, 256)]) + 1e-4) / np.sqrt(WIDTH) if len(labels) else mean
         x -= mean
         x *= scale
         labels = np.array(labels)
@@ -171,7 +173,10 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", doc: str = "doc_i
 
     small_batches(df.sparkSession)
     got = sorted(map_arrow(some, count, "l string, f binary").collect(), key=lambda r: (r.l, bytes(r.f)))
-    return Model.of([unsqueeze(r.f, np.uint32) for r in got], [r.l for r in got])
+    model = Model.of((unsqueeze(r.f, np.uint32) for r in got), [r.l for r in got])
+    del got
+    trim()  # the driver goes on to other work
+    return model
 
 
 def identify(df: DataFrame, model: Model, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pulsefield.llm.common import BROADCAST_BYTES, SPACES, checkpoint, map_arrow, mix, slices, small_batches, squeeze, unsqueeze, word_hashes
+from pulsefield.llm.common import BROADCAST_BYTES, SPACES, checkpoint, map_arrow, mix, slices, small_batches, squeeze, trim, unsqueeze, word_hashes
 from pulsefield.llm.components import connected_components
 
 #: Cells of the word and shingle sketches, and cells in one of their rows.
@@ -124,7 +124,12 @@ def sketch(df: DataFrame, n: int, text: str) -> np.ndarray:
 def node_rows(df: DataFrame, n: int, num: int, den: int, text: str, doc: str) -> DataFrame:
     """doc, n, th, node and twin (two hashes of the set) of every row, with the set's parities s0..s3 (of 256 hash partitions) and sig (of 2n to 4n, a
     power of two), and its prefix, rarest first. A task gives the prefix of equal sets once; the others' are empty."""
-    codes = (256 * np.log2(1.0 + sketch(df, n, text))).astype(np.uint16)
+    counts = sketch(df, n, text)
+    codes = np.empty(len(counts), np.uint16)
+    for k in range(0, len(codes), ROW):  # a piece at a time, as the driver's memory is small
+        codes[k : k + ROW] = 256 * np.log2(1.0 + counts[k : k + ROW])
+    del counts
+    trim()
     sent = df.sparkSession.sparkContext.broadcast(codes)
     src = df.select(F.col(doc).alias("doc"), F.xxhash64(text).alias("th"), F.col(text).cast("string").alias("t"))
     longs = T.ArrayType(T.LongType(), False)

@@ -247,3 +247,18 @@ def test_odd_rows(spark, odd, none):
         assert run(none).count() == 0
     assert runs[4](odd).where(F.col("doc_id") == 6).first().n_hit > 100_000
     assert language_id.fit(none).langs == []
+
+
+def test_language_model_holds_one_row_of_counts_at_a_time():
+    """The counts may come one by one; while the model is fitted, less than twice its matrix is held."""
+    import tracemalloc
+
+    rng, n = np.random.default_rng(3), 600
+    few = rng.integers(0, 9, (8, language_id.WIDTH)).astype(np.uint32)
+    langs = ["en", "fr"] * (n // 2)
+    tracemalloc.start()
+    m = language_id.Model.of((few[k % 8].copy() for k in range(n)), langs)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2 * n * language_id.WIDTH * 4
+    assert np.array_equal(m.w, language_id.Model.of([few[k % 8] for k in range(n)], langs).w)
