@@ -119,6 +119,31 @@ class Head:
         return out
 
 
+def sigmoid(x: np.ndarray) -> np.ndarray:
+    """1 / (1 + exp(-x)) in place."""
+    np.negative(x, out=x)
+    with np.errstate(over="ignore"):  # 1 / (1 + inf) is 0
+        np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def log_softmax(q: np.ndarray, weights: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The logarithm of entry at[i] of the softmax of q[i] @ weights."""
+    s = q @ weights
+    mine = s[np.arange(len(s)), at]
+    with np.errstate(over="ignore"):
+        z = np.exp(s, out=s) @ np.ones(s.shape[1], np.float32)
+    far = np.flatnonzero(~((z > 1e-25) & (z < 1e25)))  # only these need their largest score taken off first
+    z[far] = 1
+    out = mine - np.log(z)
+    if len(far):
+        x = (q[far] @ weights).astype(np.float64)
+        x -= x.max(1, keepdims=True)
+        out[far] = x[np.arange(len(far)), at[far]] - np.log(np.exp(x).sum(1))
+    return out
+
+
 class Bilinear:
     """Leaves 0 to len(counts) - 1 by falling count, in groups, and then shapes; both are classes."""
 
@@ -138,6 +163,11 @@ class Bilinear:
         self.inner = counts / of_group[self.group] if k else np.zeros(0)
         self.cum = np.concatenate([[0.0], np.cumsum(counts)])
         self.size = np.diff(self.first)
+        # A group's mass in as many cells as it has leaves, and the leaf in which each cell begins.
+        cell = self.cum[self.first[self.group]] + of_group[self.group] * ((np.arange(k) - self.first[self.group]) / self.size[self.group])
+        self.guide = np.minimum(np.searchsorted(self.cum, cell, "right") - 1, max(0, k - 1))
+        self.ends = np.append(self.cum[1:-1], np.inf)
+        self.place = np.zeros(k + n_shapes, np.int64)
         self.expected = np.log(NOISE * self.noise).astype(np.float32), np.log(WITHIN * self.inner).astype(np.float32)
         draw = lambda n: rng.normal(0, 0.1, (n, WIDTH)).astype(np.float32)
         # contexts r, classes t and b, leaves u and a, and the weights of the two places
@@ -145,18 +175,45 @@ class Bilinear:
         self.g = [np.full(x.shape, 0.1, np.float32) for x in self.p]
 
     def move(self, ks: tuple[int, ...], ids: np.ndarray, grads: list[np.ndarray], n: int) -> None:
-        """Adagrad on the rows of parameters that a minibatch touched."""
+        """Adagrad on the rows of parameters that a minibatch touched; a gradient has a column for each of ids."""
         k = len(self.p[ks[0]])
-        rows, back = (np.arange(k), ids) if k < 2048 else np.unique(ids, return_inverse=True)
+        if k < 2048:
+            rows, back = np.arange(k), ids
+        else:  # the distinct ids in order, without a sort
+            touched = np.zeros(k, bool)
+            touched[ids] = True
+            rows = np.flatnonzero(touched)
+            self.place[rows] = np.arange(len(rows))
+            back = self.place.take(ids)
         for k, grad in zip(ks, grads, strict=True):
             if grad.ndim == 1:
-                g = np.bincount(back, grad, len(rows))
+                g = np.bincount(back, grad, len(rows)).astype(np.float32)
             else:
-                g = np.stack([np.bincount(back, column, len(rows)) for column in np.ascontiguousarray(grad.T, np.float64)], 1)
-            g = (g / n).astype(np.float32)
-            s = self.g[k][rows] + g * g * 400
+                g = np.empty((len(rows), len(grad)), np.float32)
+                for j, column in enumerate(grad):
+                    g[:, j] = np.bincount(back, column, len(rows))
+            g /= n
+            s = g * g
+            s *= 400
+            s += self.g[k].take(rows, 0)
             self.g[k][rows] = s
-            self.p[k][rows] += RATE * g * 20 / np.sqrt(s)
+            g *= RATE * 20
+            g /= np.sqrt(s, out=s)
+            g += self.p[k].take(rows, 0)
+            self.p[k][rows] = g
+
+    def others(self, g: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """The leaves at shares u of the groups' mass; each row of u is for one of the groups g."""
+        first, last = self.first.take(g)[:, None], self.first.take(g + 1)[:, None] - 1
+        low, high = self.cum.take(first), self.cum.take(last + 1)
+        key = (low + u * (high - low)).ravel()
+        out = self.guide.take(first + (u * (last + 1 - first)).astype(np.int64)).ravel()
+        out -= self.cum.take(out) > key  # a cell's start may have been rounded up
+        todo = np.flatnonzero(self.ends.take(out) <= key)
+        while len(todo):
+            out[todo] += 1
+            todo = todo[self.ends.take(out[todo]) <= key[todo]]
+        return np.clip(out.reshape(u.shape), first, last)
 
     def step(self, c1: np.ndarray, c2: np.ndarray, w: np.ndarray, rng) -> None:
         """One minibatch of noise-contrastive estimation: of classes against shared noise, of leaves inside their groups."""
@@ -164,28 +221,38 @@ class Bilinear:
         n = len(w)
         lk, li = self.expected
         noise = rng.choice(len(b), NOISE, p=self.noise)
-        r1, r2, cls = r[c1], r[c2], self.cls[w]
-        q = r1 * m1 + r2 * m2
-        tw, tn = t[cls], t[noise]
-        up = 1 / (1 + np.exp(np.clip((q * tw).sum(1) + b[cls] - lk[cls], -30, 30)))  # 1 - P(data)
-        down = 1 / (1 + np.exp(-np.clip(q @ tn.T + b[noise] - lk[noise], -30, 30)))  # P(data) of noise
-        dq = up[:, None] * tw - down @ tn
-        moves = [((1, 2), np.concatenate([cls, noise]), [np.concatenate([up[:, None] * q, -(down.T @ q)]), np.concatenate([up, -down.sum(0)])])]
+        r1, r2, cls = r.take(c1, 0), r.take(c2, 0), self.cls.take(w)
+        q = r1 * m1
+        q += r2 * m2
+        across = np.ascontiguousarray(q.T)
+        tw, tn = t.take(cls, 0), t[noise]
+        up = sigmoid((lk - b).take(cls) - np.einsum("ij,ij->i", q, tw))  # 1 - P(data)
+        down = q @ tn.T
+        down += b[noise] - lk[noise]
+        down = sigmoid(down)  # P(data) of noise
+        dq = up[:, None] * tw
+        dq -= down @ tn
+        moves = [((1, 2), np.concatenate([cls, noise]), [np.concatenate([up * across, -(across @ down)], 1), np.concatenate([up, -down.sum(0)])])]
         own = np.flatnonzero(w < len(u))
-        own = own[self.size[self.cls[w[own]]] > 1]
+        own = own[self.size.take(cls.take(own)) > 1]
         if len(own):
-            x, g = w[own], self.cls[w[own]]
-            low, high = self.cum[self.first[g]], self.cum[self.first[g + 1]]
-            other = np.searchsorted(self.cum, low[:, None] + rng.random((len(own), WITHIN)) * (high - low)[:, None], "right") - 1
-            other = np.clip(other, self.first[g][:, None], self.first[g + 1][:, None] - 1)
-            z, ux, un = q[own], u[x], u[other]
-            up = 1 / (1 + np.exp(np.clip((z * ux).sum(1) + a[x] - li[x], -30, 30)))
-            down = 1 / (1 + np.exp(-np.clip(np.matmul(un, z[:, :, None])[:, :, 0] + a[other] - li[other], -30, 30)))
-            dq[own] += up[:, None] * ux - np.matmul(down[:, None, :], un)[:, 0, :]
-            ids = np.concatenate([x, other.ravel()])
-            moves.append(((3, 4), ids, [np.concatenate([up[:, None] * z, -(down[:, :, None] * z[:, None, :]).reshape(-1, WIDTH)]), np.concatenate([up, -down.ravel()])]))
-        moves.append(((0,), np.concatenate([c1, c2]), [np.concatenate([dq * m1, dq * m2])]))
-        moves.append(((5, 6), np.arange(WIDTH), [(dq * r1).sum(0), (dq * r2).sum(0)]))
+            x = w.take(own)
+            other = self.others(cls.take(own), rng.random((len(own), WITHIN)))
+            z, ux, un = q.take(own, 0), u.take(x, 0), u.take(other, 0)
+            less = a - li
+            up = sigmoid(-less.take(x) - np.einsum("ij,ij->i", z, ux))
+            down = np.einsum("ijk,ik->ij", un, z)
+            down += less.take(other)
+            down = sigmoid(down)
+            ux *= up[:, None]
+            ux -= np.einsum("ij,ijk->ik", down, un)
+            dq[own] += ux
+            shares = np.concatenate([up[None], -down.T])
+            grad = shares * across.take(own, 1)[:, None, :]
+            moves.append(((3, 4), np.concatenate([x[None], other.T]).ravel(), [grad.reshape(WIDTH, -1), shares.ravel()]))
+        back = np.ascontiguousarray(dq.T)
+        moves.append(((0,), np.concatenate([c1, c2]), [np.concatenate([back * m1[:, None], back * m2[:, None]], 1)]))
+        moves.append(((5, 6), np.arange(WIDTH), [np.einsum("ij,ij->j", dq, r1), np.einsum("ij,ij->j", dq, r2)]))
         for ks, ids, grads in moves:
             self.move(ks, ids, grads, n)
 
@@ -201,20 +268,13 @@ class Bilinear:
     def log10(self, c1: np.ndarray, c2: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Normalised log10 probability of the class, and for a leaf of the leaf, after c2, c1 (c1 is the nearer)."""
         r, t, b, u, a, m1, m2 = self.p
-        out = np.empty(len(w))
-
-        def log_softmax(s: np.ndarray, at: np.ndarray) -> np.ndarray:
-            """The logarithm of one softmax entry a row; s is overwritten."""
-            s -= s.max(1, keepdims=True)
-            mine = s[np.arange(len(s)), at]
-            return mine - np.log(np.exp(s, out=s).sum(1))
-
+        out, q = np.empty(len(w)), np.ones((len(w), WIDTH + 1), np.float32)  # the last column meets the biases
+        tb, ua = np.column_stack([t, b]).T, np.column_stack([u, a]).T
         step = max(256, (1 << 19) // max(1, len(b)))  # scores that stay in a processor's cache
         for i in range(0, len(w), step):
-            x = w[i : i + step]
-            s = (r[c1[i : i + step]] * m1 + r[c2[i : i + step]] * m2) @ t.T
-            s += b
-            out[i : i + step] = log_softmax(s, self.cls[x])
+            at = slice(i, i + step)
+            np.add(r.take(c1[at], 0) * m1, r.take(c2[at], 0) * m2, out=q[at, :-1])
+            out[at] = log_softmax(q[at], tb, self.cls.take(w[at]))
         own = np.flatnonzero(w < len(u))
         own = own[np.argsort(self.cls[w[own]], kind="stable")]
         g = self.cls[w[own]]
@@ -224,9 +284,7 @@ class Bilinear:
             step = max(256, (1 << 19) // (hi - lo))
             for i in range(0, len(rows) if hi - lo > 1 else 0, step):
                 o = rows[i : i + step]
-                s = (r[c1[o]] * m1 + r[c2[o]] * m2) @ u[lo:hi].T
-                s += a[lo:hi]
-                out[o] += log_softmax(s, w[o] - lo)
+                out[o] += log_softmax(q.take(o, 0), ua[:, lo:hi], w[o] - lo)
         return out / math.log(10)
 
 
@@ -390,7 +448,7 @@ def score(df: DataFrame, held: Column, text: str = "text", doc: str = "doc_id",
     model = Start(top.c[top.top] + 0.1, shape_mass)()
     if learned is not None:
         model.load(learned)
-    model.g = []
+    model.g, model.guide, model.ends, model.place = [], None, None, None
     model_sent = spark.sparkContext.broadcast(model)
 
     judged = rows.select("rid", "doc", "held", "n_tokens", "known", "base", "inside", "ids")

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -148,6 +149,112 @@ def test_language_model_is_normalised():
         assert abs((10**logs).sum() - 1) < 1e-5
 
 
+def test_language_model_draws_by_mass():
+    """A leaf drawn inside a group is the one that a search in the summed counts finds."""
+    rng = np.random.default_rng(5)
+    model = lm_scoring.Bilinear(np.sort(rng.pareto(0.7, 3000) * 40 + 0.1)[::-1], np.array([2.0, 0.1]))
+    g, u = rng.integers(0, model.n_groups, 5000), rng.random((5000, 3))
+    u[:200] = np.arange(600).reshape(200, 3) % 8 / 8
+    low, high = model.cum[model.first[g]][:, None], model.cum[model.first[g + 1]][:, None]
+    want = np.clip(np.searchsorted(model.cum, low + u * (high - low), "right") - 1, model.first[g][:, None], model.first[g + 1][:, None] - 1)
+    assert (model.others(g, u) == want).all()
+
+
+def test_language_model_step_brute_force():
+    """A minibatch moves the parameters as the estimation's gradients say, token by token; tables over 2048 rows too."""
+    for counts in (np.array([90.0, 50, 50, 30, 20, 20, 10, 1, 1]), np.sort(np.random.default_rng(1).pareto(0.8, 3000) + 1)[::-1]):
+        rng, model = np.random.default_rng(2), lm_scoring.Bilinear(counts, np.array([20.0, 3]))
+        k, scale = len(counts), model.noise
+        c1, c2, w = (rng.integers(0, k + 2, 50) % np.array([k + 2, 9])[rng.integers(0, 2, 50)] for _ in range(3))
+        r, t, b, u, a, m1, m2 = (x.astype(float) for x in model.p)
+        grads = [np.zeros(x.shape) for x in model.p]
+        seed = np.random.default_rng(3)
+        model.step(c1, c2, w, seed)
+        seed = np.random.default_rng(3)
+        noise = seed.choice(len(b), lm_scoring.NOISE, p=scale)
+        own = [i for i in range(50) if w[i] < k and model.size[model.group[w[i]]] > 1]
+        inner = dict(zip(own, seed.random((len(own), lm_scoring.WITHIN)), strict=True))
+        for i in range(50):
+            q = r[c1[i]] * m1 + r[c2[i]] * m2
+            dq = np.zeros(lm_scoring.WIDTH)
+            g = model.cls[w[i]]
+            pairs = [(t, b, grads[1], grads[2], scale * lm_scoring.NOISE, g, noise)]
+            if i in inner:
+                low, high = model.cum[model.first[g]], model.cum[model.first[g + 1]]
+                drawn = np.searchsorted(model.cum, low + inner[i] * (high - low), "right") - 1
+                pairs.append((u, a, grads[3], grads[4], model.inner * lm_scoring.WITHIN, w[i], drawn))
+            for vectors, biases, gv, gb, expected, one, others in pairs:
+                for j, is_data in [(one, 1), *((o, 0) for o in others)]:
+                    d = is_data - 1 / (1 + np.exp(np.log(expected[j]) - vectors[j] @ q - biases[j]))
+                    dq += d * vectors[j]
+                    gv[j] += d * q
+                    gb[j] += d
+            grads[0][c1[i]] += dq * m1
+            grads[0][c2[i]] += dq * m2
+            grads[5] += dq * r[c1[i]]
+            grads[6] += dq * r[c2[i]]
+        for got, x, g in zip(model.p, (r, t, b, u, a, m1, m2), grads, strict=True):
+            g /= 50
+            assert np.allclose(got, x + lm_scoring.RATE * g * 20 / np.sqrt(0.1 + g * g * 400), rtol=1e-4, atol=1e-4)
+
+
+def plain_scores(model, c1, c2, w):
+    """Both softmaxes from the formula, the largest score of each row taken off first."""
+    r, t, b, u, a, m1, m2 = model.p
+
+    def log_softmax(s, at):
+        s -= s.max(1, keepdims=True)
+        mine = s[np.arange(len(s)), at]
+        return mine - np.log(np.exp(s, out=s).sum(1))
+
+    out, step = np.empty(len(w)), (1 << 19) // len(b)
+    for i in range(0, len(w), step):
+        at = slice(i, i + step)
+        out[at] = log_softmax((r[c1[at]] * m1 + r[c2[at]] * m2) @ t.T + b, model.cls[w[at]])
+    for k in range(model.n_groups):
+        lo, hi = model.first[k], model.first[k + 1]
+        o = np.flatnonzero((w >= lo) & (w < hi)) if hi - lo > 1 else []
+        if len(o):
+            out[o] += log_softmax((r[c1[o]] * m1 + r[c2[o]] * m2) @ u[lo:hi].T + a[lo:hi], w[o] - lo)
+    return out / math.log(10)
+
+
+def test_language_model_far_scores():
+    """Scores beyond a float's exponent are normalised like others."""
+    rng = np.random.default_rng(4)
+    model = lm_scoring.Bilinear(np.sort(rng.pareto(0.8, 60) + 1)[::-1], np.array([2.0, 1]))
+    for by in (1, 30, 3000):
+        model.p = [(x * by).astype(np.float32) if i not in (5, 6) else x for i, x in enumerate(model.p)]
+        c1, c2, w = (rng.integers(0, 62, 2000) for _ in range(3))
+        want = plain_scores(model, c1, c2, w)
+        assert np.allclose(model.log10(c1, c2, w), want, rtol=1e-4, atol=1e-3) and np.isfinite(want).all()
+
+
+def test_language_model_cost():
+    """A token is learned from and scored in under twice the CPU time of the plain softmaxes; it took 2.6 to 2.9 times that before."""
+    rng = np.random.default_rng(6)
+    counts = 1e6 / np.arange(1, 20_001)
+    start = lambda: lm_scoring.Bilinear(counts, np.full(70, 2000.0))
+    c1, c2, w = (rng.choice(20_000, 1 << 17, p=counts / counts.sum()).astype(np.int32) for _ in range(3))
+
+    def learn():
+        model, noise = start(), np.random.default_rng(0)
+        began = time.thread_time()
+        for i in range(0, len(w), 4096):
+            model.step(c1[i : i + 4096], c2[i : i + 4096], w[i : i + 4096], noise)
+        model.log10(c1, c2, w)
+        return time.thread_time() - began
+
+    def plain():
+        model = start()
+        began = time.thread_time()
+        plain_scores(model, c1, c2, w)
+        return time.thread_time() - began
+
+    took, base = zip(*((learn(), plain()) for _ in range(5)), strict=True)
+    assert min(took) < 2 * min(base)
+
+
 def test_language_model_in_any_layout(spark, small):
     """Scores are those of one task and of many."""
     df = spark.read.parquet(f"{small}/documents.parquet")
